@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing
+from . import exact, mixing, packing, toxicity
 
-QUERIES = {f.__name__: f for f in (packing.op5_packing, exact.op7_exact_dedup, mixing.op10_mixing)}
+QUERIES = {f.__name__: f for f in (packing.op5_packing, exact.op7_exact_dedup, toxicity.op9_toxicity, mixing.op10_mixing)}
 
 SQL = {"op7_exact_dedup": exact.SQL, "op10_mixing": mixing.SQL}
