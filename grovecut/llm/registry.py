@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, ngramjoin, packing, toxicity
+from . import exact, mixing, ngramjoin, packing, suffixes, toxicity
 
-QUERIES = {f.__name__: f for f in (ngramjoin.op4_ngram_join, packing.op5_packing, exact.op7_exact_dedup, toxicity.op9_toxicity, mixing.op10_mixing)}
+QUERIES = {f.__name__: f for f in (suffixes.op1_suffix_dedup, ngramjoin.op4_ngram_join, packing.op5_packing, exact.op7_exact_dedup, toxicity.op9_toxicity, mixing.op10_mixing)}
 
-SQL = {"op4_ngram_join": ngramjoin.SQL, "op7_exact_dedup": exact.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op1_suffix_dedup": suffixes.SQL, "op4_ngram_join": ngramjoin.SQL, "op7_exact_dedup": exact.SQL, "op10_mixing": mixing.SQL}
