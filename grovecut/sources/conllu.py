@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def _token(line: Column) -> Column:
         F.when(at(6).rlike("^[0-9]+$"), at(6).cast("int")).alias("head"),
         _or_blank(at(7)).alias("deprel_full"),
         _or_blank(misc).alias("misc"),
-        ~F.coalesce(F.array_contains(F.split(at(9), r"\|"), "SpaceAfter=No"), F.lit(False)).alias("space_after"),
+        (~F.coalesce(F.array_contains(F.split(at(9), r"\|"), "SpaceAfter=No"), F.lit(False))).alias("space_after"),
     )
 
 
@@ -43,8 +45,8 @@ def read_conllu(spark: SparkSession, path: str, line_sep: str = "\n\n") -> DataF
     """
     base = spark.read.option("lineSep", line_sep).option("recursiveFileLookup", True)
     base = base.option("pathGlobFilter", "*.conllu") if not path.endswith(".conllu") else base
-    raw = base.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    files = sorted(raw.inputFiles())
+    raw = base.text(path).select("value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    files = sorted(re.sub("^file:/+", "file:/", f) for f in raw.inputFiles())
     rank = F.array_position(F.array(*map(F.lit, files)), F.col("path")) if len(files) <= 64 else None
     if rank is None:
         known = spark.createDataFrame(list(enumerate(files, 1)), "file_rank int, path string")
