@@ -182,8 +182,8 @@ def compared(counted: DataFrame, other: DataFrame, size: int, other_size: int) -
 
 
 def example(sentences: DataFrame, counted: DataFrame) -> DataFrame:
-    """counted with the exemplar's sentence, its nodes marked A[form] in the key's order."""
-    text = sentences.select(F.col("sent_key").alias("_sent"), F.transform("toks", lambda t: F.struct(t["form"].alias("form"), t["space_after"].alias("space_after"))).alias("_toks"))
+    """counted with the exemplar's sentence and its id, its nodes marked A[form] in the key's order."""
+    text = sentences.select(F.col("sent_key").alias("_sent"), F.col("sent_id").alias("example_id"), F.transform("toks", lambda t: F.struct(t["form"].alias("form"), t["space_after"].alias("space_after"))).alias("_toks"))
     return counted.join(text, F.col("exemplar.sent_key") == F.col("_sent"), "left").withColumn("example", marked(F.col("_toks"), F.col("exemplar.locs"))).drop("_sent", "_toks")
 
 

@@ -237,17 +237,18 @@ def subtree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grew_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grew patterns of trees of two nodes."""
     c = M.counts(bank(spark, sf_dir), spec(size=(2, 2)))
-    head = F.col("head_name")
-    first = F.col("grew_nodes")[0] < F.col("grew_nodes")[1]
-    other = F.array_join(F.when(first, F.col("words")[1]).otherwise(F.col("words")[0]), "&")
-    order = F.when(first, "A << B").otherwise("B << A")
-    text = F.concat(F.lit("pattern {A [upos="), head, F.lit("]; B [upos="), other, F.lit("]; A -["), F.col("grew_rels")[0], F.lit("]-> B; "), order, F.lit("} without {A -> X0} without {B -> X1}"))
-    return c.select("key", text.alias("pattern"), "number")
+    first = F.col("grew_nodes")[0] < F.col("grew_nodes")[1]  # the head comes before its dependent
+    one, two = F.col("words")[0][0], F.col("words")[1][0]
+    before = F.concat(F.lit("pattern {A [upos="), one, F.lit("]; B [upos="), two, F.lit("]; A -["), F.col("grew_rels")[0], F.lit("]-> B; A << B} without {A -> X0} without {B -> X1}"))
+    after = F.concat(F.lit("pattern {B [upos="), two, F.lit("]; A [upos="), one, F.lit("]; B -["), F.col("grew_rels")[0], F.lit("]-> A; B >> A} without {B -> X0} without {A -> X1}"))
+    return c.select("key", F.when(first, before).otherwise(after).alias("pattern"), "number")
 
 
 GREW_SQL = f"""WITH {derived.SQL},
 {tree_sql()}
-SELECT k.full_key AS key, any_value('pattern {{A [upos=' || k.name || ']; B [upos=' || t.upos || ']; A -[' || t.deprel || ']-> B; ' || CASE WHEN k.id < t.id THEN 'A << B' ELSE 'B << A' END || '}} without {{A -> X0}} without {{B -> X1}}') AS pattern, count(*) AS number
+SELECT k.full_key AS key, any_value(CASE WHEN k.id < t.id
+    THEN 'pattern {{A [upos=' || k.name || ']; B [upos=' || t.upos || ']; A -[' || t.deprel || ']-> B; A << B}} without {{A -> X0}} without {{B -> X1}}'
+    ELSE 'pattern {{B [upos=' || k.name || ']; A [upos=' || t.upos || ']; B -[' || t.deprel || ']-> A; B >> A}} without {{B -> X0}} without {{A -> X1}}' END) AS pattern, count(*) AS number
 FROM k JOIN tok t ON t.sent_key = k.sent_key AND t.head = k.id WHERE n0 = 2 GROUP BY k.full_key"""
 
 

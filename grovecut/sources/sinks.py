@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.trees import label
 from ..operators.mine import detailed, occurrences, sentence_counts
 from ..plans.spec import MineSpec
+from .corpora import corpus_name
 
-GREW_URL = "https://universal.grew.fr/?corpus="
+GREW_URL = "http://universal.grew.fr/?corpus="
 ASSOCIATION = (("MI", "mi"), ("MI3", "mi3"), ("Dice", "dice"), ("logDice", "log_dice"), ("t-score", "t_score"), ("simple-LL", "simple_ll"))
 KEYNESS = (("Ratio", "ratio"), ("LL", "ll"), ("BIC", "bic"), ("Log ratio", "log_ratio"), ("OR", "odds_ratio"), ("%DIFF", "diff"))
 
@@ -33,44 +34,49 @@ def two(x: float | None) -> str:
 
 
 def grew(row, spec: MineSpec) -> str:
-    """The pattern in Grew's language for a counted tree: nodes, links, order if fixed, and no more dependents if complete."""
-    kinds, names = spec.node_types, dict(enumerate(row["grew_words"]))
-    nodes, links = [], []
-    for k in range(len(names)):
+    """The pattern in Grew's language for a counted tree: nodes head first, links, order of each link if fixed, and no more dependents if complete.
+
+    Nodes are called by their place in the key.
+    """
+    locs, before = list(row["exemplar"]["locs"]), list(row["grew_nodes"])
+    if set(locs) != set(before):  # the exemplar is another match than the first; both have the same shape
+        swap = dict(zip(sorted(locs), sorted(before)))
+        locs = [swap[p] for p in locs]
+    name = {p: label(k) for k, p in enumerate(locs)}
+    words = dict(zip(locs, row["words"]))
+    nodes, links, order = [], [], []
+    for p in before:
         tests = []
-        for kind, value in zip(kinds, names[k]):
-            if kind in ("upos", "xpos"):
-                tests.append(f"{kind}={value}")
-            elif kind == "feats":
+        for kind, value in zip(spec.node_types or ("generic",), words[p]):
+            if kind == "feats":
                 tests += [x for x in value.split("|") if x != "_"]
-            elif kind == "lemma":
-                tests.append(f'lemma="{value}"')
-            elif kind != "deprel":
-                tests.append(f'form="{value}"')
-        nodes.append(f"{label(k)} [{', '.join(tests)}]")
+            elif kind in ("upos", "xpos", "deprel"):
+                tests.append(f"{kind}={value}")
+            elif kind != "generic":
+                tests.append(f'{"lemma" if kind == "lemma" else "form"}="{value}"')
+        nodes.append(f"{name[p]} [{', '.join(tests)}]")
     for edge, rel in zip(row["grew_links"], row["grew_rels"]):
-        links.append(f"{label(edge['a'])} -[{rel}]-> {label(edge['b'])}" if spec.labeled else f"{label(edge['a'])} -> {label(edge['b'])}")
-    order = []
-    if spec.fixed and len(names) > 1:
-        places = sorted(range(len(names)), key=lambda k: row["grew_places"][k])
-        order = [f"{label(a)} << {label(b)}" for a, b in zip(places, places[1:])]
-    text = "pattern {" + "; ".join([*nodes, *links, *order]) + "}"
+        a, b = before[edge["a"]], before[edge["b"]]
+        links.append(f"{name[a]} -[{rel}]-> {name[b]}" if spec.labeled else f"{name[a]} -> {name[b]}")
+        order.append(f"{name[a]} {'<<' if a < b else '>>'} {name[b]}")
+    text = "pattern {" + "; ".join([*nodes, *links, *(order if spec.fixed else ())]) + "}"
     if spec.complete:
-        text += "".join(f" without {{{label(k)} -> X{k}}}" for k in range(len(names)))
+        text += " " + " ".join(f"without {{{name[p]} -> X{k}}}" for k, p in enumerate(before))
     return text
 
 
 def grew_url(corpus: str, pattern: str) -> str:
-    return GREW_URL + corpus + "&request=" + urllib.parse.quote(pattern, safe="")
+    return GREW_URL + corpus + "&request=" + urllib.parse.quote(pattern)
 
 
-def header(spec: MineSpec, width: int, compare: bool) -> list[str]:
+def header(spec: MineSpec, width: int, compare: bool, corpus: str | None = None) -> list[str]:
     out = ["Tree"]
     if spec.node_info:
         out += [f"Node {label(k)}-{t}" for k in range(width) for t in (spec.node_types or ("generic",))]
     out += ["Absolute frequency", "Relative frequency"]
-    out += ["Order"] * spec.fixed + ["Grew-match pattern"] * spec.grew_match + ["Depsearch query"] * spec.depsearch
+    out += ["Order"] * spec.fixed + ["Grew-match query"] * spec.grew_match + ["Grew-match URL"] * (spec.grew_match and corpus is not None) + ["Depsearch tree query"] * (spec.fixed and spec.depsearch)
     out += ["Number of nodes"] * spec.nodes_number + ["Head node"] * spec.head_info + ["Example"] * spec.example
+    out += ["Annodoc"] * annodocs(spec)
     out += [t for t, _ in ASSOCIATION] * spec.association_measures
     if compare:
         out += ["Absolute frequency in second treebank", "Relative frequency in second treebank", *(t for t, _ in KEYNESS)]
@@ -85,7 +91,8 @@ def lines(result: DataFrame, spec: MineSpec, compare: bool = False) -> Iterator[
         if not spec.query:
             widest = result.agg(F.max("n")).head()[0] or 0
             width = min(width, widest) if spec.greedy_counter else width
-        yield header(spec, width, compare)
+        corpus = corpus_name(spec.input) if spec.input else None
+        yield header(spec, width, compare, corpus)
         for r in result.toLocalIterator():
             row = [bare(r["key_raw"])]
             if spec.node_info:
@@ -93,9 +100,11 @@ def lines(result: DataFrame, spec: MineSpec, compare: bool = False) -> Iterator[
                 row += (words + [""] * (width * max(1, len(spec.node_types))))[: width * max(1, len(spec.node_types))]
             row += [str(r["number"]), f"{r['relative_frequency']:.1f}"]
             row += [r["order_letters"]] * spec.fixed
-            row += [grew(grew_row(r, spec), spec)] * spec.grew_match
-            row += [r["key_sorted"]] * spec.depsearch + [str(r["n"])] * spec.nodes_number + [r["head_name"]] * spec.head_info
-            row += [r["example"]] * spec.example if spec.example else []
+            row += [grew(r, spec)] * spec.grew_match
+            row += [grew_url(corpus, grew(r, spec))] if spec.grew_match and corpus else []
+            row += [r["key_sorted"]] * (spec.fixed and spec.depsearch) + [str(r["n"])] * spec.nodes_number + [r["head_name"]] * spec.head_info
+            row += [r["example"]] if spec.example else []
+            row += [annodoc(r)] if annodocs(spec) else []
             row += [two(r[c]) for _, c in ASSOCIATION] if spec.association_measures else []
             if compare:
                 row += [f"{r['number_2']:.0f}", f"{r['relative_frequency_2']:.1f}", *(two(r[c]) for _, c in KEYNESS)]
@@ -104,15 +113,6 @@ def lines(result: DataFrame, spec: MineSpec, compare: bool = False) -> Iterator[
         result.unpersist()
 
 
-def grew_row(r, spec: MineSpec) -> dict:
-    """What grew() reads, from a result row: names and places by node, head first, and labels by link."""
-    by_place = dict(zip(r["exemplar"]["locs"], r["words"]))
-    nodes = list(r["grew_nodes"])
-    if set(nodes) != set(by_place):  # the exemplar is another match than the first; both have the same shape
-        by_place, nodes = dict(zip(sorted(nodes), (w for _, w in sorted(by_place.items())))), nodes
-    return {"grew_words": [by_place[p] for p in nodes], "grew_places": nodes, "grew_links": r["grew_links"], "grew_rels": r["grew_rels"]}
-
-
 def tsv(rows: Iterable[list[str]]) -> str:
     """Rows as TSV text with CRLF line ends and minimal quoting."""
     out = io.StringIO()
@@ -133,7 +133,7 @@ def write_sentence_counts(sentences: DataFrame, spec: MineSpec, path: str) -> No
     wide = sentences.select("sent_key", "sent_id").join(counted.groupBy("sent_key").agg(F.map_from_entries(F.collect_list(F.struct("key", "number"))).alias("m")), "sent_key", "left").orderBy("sent_key")
     with open(path, "w", encoding="utf-8", newline="") as f:
         writer = csv.writer(f, delimiter="\t", lineterminator="\n")
-        writer.writerow(["Sentence id", *(bare(k) if not spec.fixed else k for k in keys)])
+        writer.writerow(["Sentence_id", *keys])
         for r in wide.toLocalIterator():
             m = r["m"] or {}
             writer.writerow([r["sent_id"], *(m.get(k, 0) for k in keys)])
@@ -162,6 +162,10 @@ def write_annodoc(sentences: DataFrame, spec: MineSpec, examples: str, details:
             f.write(f"{r['sent_id']}\t{json.dumps(sorted(p + 1 for p in r['locs']))}\n")
 
 
+def annodocs(spec: MineSpec) -> bool:
+    return bool(spec.annodoc_example_dir and spec.annodoc_detailed_dir)
+
+
 def annodoc(row) -> str:
     """The JSON that names a key's example."""
-    return json.dumps({"id": row["exemplar"]["sent_key"], "positions": sorted(p + 1 for p in row["exemplar"]["locs"]), "subtree_hash": hashlib.sha1(row["key"].encode()).hexdigest()})
+    return json.dumps({"id": row["example_id"] if "example_id" in row else row["exemplar"]["sent_key"], "positions": sorted(p + 1 for p in row["exemplar"]["locs"]), "subtree_hash": hashlib.sha1(row["key"].encode()).hexdigest()})

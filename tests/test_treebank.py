@@ -67,9 +67,9 @@ def test_example_and_tsv(spark, folder):
     text = (folder / "out.tsv").read_bytes().decode()
     assert text.count("\r\n") == text.count("\n") == 3
     table = list(csv.reader(text.splitlines(), delimiter="\t"))
-    assert table[0] == "Tree|Node A-upos|Node B-upos|Absolute frequency|Relative frequency|Order|Grew-match pattern|Depsearch query|Number of nodes|Head node|Example|MI|MI3|Dice|logDice|t-score|simple-LL".split("|")
+    assert table[0] == "Tree|Node A-upos|Node B-upos|Absolute frequency|Relative frequency|Order|Grew-match query|Depsearch tree query|Number of nodes|Head node|Example|MI|MI3|Dice|logDice|t-score|simple-LL".split("|")
     assert table[1][:6] == ["ADJ <amod NOUN", "ADJ", "NOUN", "2", "142857.1", "AB"]
-    assert table[1][6] == "pattern {A [upos=NOUN]; B [upos=ADJ]; A -[amod]-> B; B << A} without {A -> X0} without {B -> X1}"
+    assert table[1][6] == "pattern {B [upos=NOUN]; A [upos=ADJ]; B -[amod]-> A; B >> A} without {B -> X0} without {A -> X1}"
     assert table[1][7:11] == ["NOUN >amod ADJ", "2", "NOUN", "A[old] B[town] sleeps soundly. "]
 
 
