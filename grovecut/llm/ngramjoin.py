@@ -3,10 +3,13 @@
 A set's grams are put in one order for all documents, frequent ones last (by a count sketch of all documents'
 grams, whose size is fixed; it steers cost, not results). Two sets with Jaccard of at least t share at least l grams
 within their first |x| - ceil(t|x|) + l. Each document takes the l that costs least by estimate: a longer prefix puts
-it into more lists, but a pair must then share more before it is verified. A pair uses the smaller l of its two.
+it into more lists, but a pair must then share more before it is verified. A pair uses the smaller l of its two,
+and the more its sizes ask for: with o shared grams needed, o - max(ceil(t|x|), ceil(t|y|)) + l of them are in the prefixes.
 
-Prefix grams go to owners by gram, as compressed arrays; an owner counts what pairs share; the counts of all owners
-are summed and pairs that share enough become candidates. Candidates' whole sets are then brought together, once for
+Prefix grams go to owners by gram, as compressed arrays (32 bits of a gram: a chance match can only add a candidate).
+An owner sends each list of documents with a gram on to where the lists of the same least document go, so that what
+pairs of a large group share is counted in few places; the counts are summed and pairs that share enough become
+candidates. Candidates' whole sets are then brought together, once for
 each group of documents that have candidates in common, and compared exactly. There is no cap on lists or partners.
 
 Sets are named by a 64-bit hash, so equal sets are one everywhere, whatever the number of copies. A text of fewer
@@ -28,11 +31,11 @@ from .common import BROADCAST_ROWS, cut, fresh, table
 from .components import components
 from .text import chunks, grams, mix, words
 
-NGRAM, JACCARD, MOST_MATCHES = 3, 0.5, 8
-#: Cells of the count sketch.
-SKETCH_BITS = 18
+NGRAM, JACCARD, MOST_MATCHES = 3, 0.5, 16
+#: Cells of the count sketch, 16 MB of counts whatever the corpus.
+SKETCH_BITS = 22
 #: Prefix grams that one owner gets, about, and sets that one verifying task holds at once.
-OWNER_GRAMS, BLOCK_SETS = 3_000_000, 2048
+OWNER_GRAMS, BLOCK_SETS = 2_000_000, 2048
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -68,25 +71,35 @@ def _scan(n: int):
     """(name, size, id) of each document's set, and this task's sketch (as rows with a slice)."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts, cells, held = np.zeros(1 << SKETCH_BITS, np.int32), [], 0
         for batch in batches:
             ids = batch.column("id")
             for first, bounds, g in sets(batch.column("text"), n):
-                counts += np.bincount((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                cells.append((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                held += len(g)
+                if held > 4_000_000:
+                    counts += np.bincount(np.concatenate(cells), minlength=len(counts)).astype(np.int32)
+                    cells, held = [], 0
                 size = np.diff(bounds)
                 has = np.flatnonzero(size > 0)
                 m = len(has)
                 yield pa.RecordBatch.from_arrays([pa.array(names(g, bounds)[has]), pa.array(size[has].astype(np.int32)), ids.slice(first, len(size)).take(pa.array(has)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["name", "size", "id", "slice", "counts"])
-        parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, 16)]
-        z = pa.nulls(16, pa.int64())
-        yield pa.RecordBatch.from_arrays([z, pa.nulls(16, pa.int32()), z, pa.array(range(16), pa.int32()), pa.array(parts, pa.binary())], ["name", "size", "id", "slice", "counts"])
+        if cells:
+            counts += np.bincount(np.concatenate(cells), minlength=len(counts)).astype(np.int32)
+        if counts.any():
+            for k, part in enumerate(np.split(counts, 16)):
+                # bytes of equal weight lie together, which packs the small counts well
+                packed = zlib.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["name", "size", "id", "slice", "counts"])
 
     return run
 
 
 def _add(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in group["counts"].to_pylist())
-    return pa.table({"slice": group["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros((1 << SKETCH_BITS) // 16, np.int64)
+    for c in group["counts"].to_pylist():
+        total += np.frombuffer(zlib.decompress(c), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+    return pa.table({"slice": group["slice"][:1], "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
 def prefix_order(g: np.ndarray, bounds: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +112,18 @@ def prefix_order(g: np.ndarray, bounds: np.ndarray, sketch: np.ndarray) -> tuple
     return np.lexsort((mix(g), level, row)), extra
 
 
-def choose_matches(size: np.ndarray, bounds: np.ndarray, extra: np.ndarray, jaccard: float) -> np.ndarray:
-    """The l of each document, by the cost of the lists its prefix joins and of the pairs left to verify."""
+def chance_partners(sketch: np.ndarray) -> float:
+    """Other documents that hold a gram, on average, frequent grams aside: what the cells vary beyond chance."""
+    mean = sketch.mean()
+    calm = sketch[sketch <= mean + 3 * np.sqrt(mean)]
+    return float(max(0.0, calm.var() / max(calm.mean(), 1.0) - 1.0)) + 0.05 if len(calm) else 0.05
+
+
+def choose_matches(size: np.ndarray, bounds: np.ndarray, extra: np.ndarray, jaccard: float, chance: float) -> np.ndarray:
+    """The l of each document, by the cost of the lists its prefix joins and of the pairs left to verify.
+
+    Partners in the lists of frequent grams share several (a part 1/l of the entries is left), chance partners of rare grams hardly ever do (a quarter is left each time). chance: those of one gram.
+    """
     need = np.ceil(jaccard * size - 1e-9).astype(np.int64)
     total = np.zeros(len(extra) + 1)
     np.cumsum(extra + 1, out=total[1:])
@@ -108,111 +131,177 @@ def choose_matches(size: np.ndarray, bounds: np.ndarray, extra: np.ndarray, jacc
     for l in range(1, MOST_MATCHES + 1):  # noqa: E741
         length = np.minimum(size, size - need + l)
         lists = total[bounds[:-1] + length] - total[bounds[:-1]]
-        this = np.where(l <= need, lists + 2.0 * size * (lists - length) / l, np.inf)
-        better = this < cost * 0.98
+        left = (lists - length) / l + chance * length * 0.25 ** (l - 1)
+        this = np.where(l <= need, lists + chance * length + 2.0 * size * left, np.inf)
+        better = this < cost
         best[better], cost[better] = l, this[better]
     return best
 
 
 def _prefixes(n: int, jaccard: float, owners: int, sketch_of):
+    """For each owner, from time to time, the documents' prefix grams in its range: 32 bits of each, document after document."""
+
     def run(batches):
         sketch = sketch_of.value
+        chance = chance_partners(sketch)
         kept: list = []
-        held = 0
+        held = count = 0
+        cuts = (np.arange(1, owners, dtype=np.float64) * (2.0**64 / owners)).astype(np.uint64)
 
         def flush():
-            grams_, ranks, docs, names_, sizes, ls = (np.concatenate(x) for x in zip(*kept))
-            order = np.argsort(grams_, kind="stable")
-            edges = np.searchsorted(grams_[order], (np.arange(1, owners, dtype=np.float64) * (2.0**64 / owners)).astype(np.uint64))
+            g, docs, names_, sizes, ls = (np.concatenate(x) for x in zip(*kept))
+            owner = np.searchsorted(cuts, g, "right")
+            order = np.lexsort((docs, owner))
+            g, docs, owner = g[order], docs[order], owner[order]
+            edges = np.searchsorted(owner, np.arange(owners + 1))
             rows = []
-            for owner, part in enumerate(np.split(order, edges)):
-                if len(part):
-                    part = np.sort(part)
-                    used, local = np.unique(docs[part], return_inverse=True)
-                    rows.append((owner, grams_[part].tobytes(), local.astype(np.uint32).tobytes(), ranks[part].astype(np.uint32).tobytes(), names_[used].tobytes(), sizes[used].astype(np.uint32).tobytes(), ls[used].astype(np.uint8).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], ["owner", "grams", "doc", "rank", "name", "size", "l"])
-
-        count = 0
+            for o, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+                if j > i:
+                    used, each = np.unique(docs[i:j], return_counts=True)
+                    rows.append((o, (mix(g[i:j]) >> np.uint64(32)).astype(np.uint32).tobytes(), each.astype(np.uint32).tobytes(), names_[used].tobytes(), sizes[used].astype(np.uint32).tobytes(), ls[used].astype(np.uint8).tobytes()))
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], ["owner", "grams", "each", "name", "size", "l"])
+
         for batch in batches:
             for _, bounds, g in sets(batch.column("text"), n):
                 size = np.diff(bounds)
                 if not len(g):
                     continue
+                name = names(g, bounds)
                 order, extra = prefix_order(g, bounds, sketch)
                 g, extra = g[order], extra[order]
-                ls = choose_matches(size, bounds, extra, jaccard)
+                ls = choose_matches(size, bounds, extra, jaccard, chance)
                 length = np.minimum(size, size - np.ceil(jaccard * size - 1e-9).astype(np.int64) + ls)
                 doc = np.repeat(np.arange(len(size)), length)
                 rank = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
-                kept.append((g[bounds[doc] + rank], rank, doc + count, names(g, bounds), size, ls))
+                kept.append((g[bounds[doc] + rank], doc + count, name, size, ls))
                 count += len(size)
                 held += len(doc)
-            if held > 4_000_000:
-                yield flush()
-                kept, held, count = [], 0, 0
+                if held > 2_000_000:
+                    yield flush()
+                    held = count = 0
         if held:
             yield flush()
 
     return run
 
 
-def _count(jaccard: float):
-    """An owner's shared prefix grams by pair, for pairs whose sizes allow the threshold."""
+def _read(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document, name, size, l) from rows of grams, each, name, size, l; equal names are one document."""
+    col = lambda c, kind: np.frombuffer(b"".join(group[c].to_pylist()), kind)
+    key, each, name, size, ls = col("grams", np.uint32), col("each", np.uint32), col("name", np.int64), col("size", np.uint32), col("l", np.uint8)
+    name, at, inverse = np.unique(name, return_index=True, return_inverse=True)
+    return key, np.repeat(inverse.astype(np.int32), each), name, size[at].astype(np.int64), ls[at].astype(np.int64)
+
+
+def _lists(tasks: int):
+    """An owner's lists of documents that share a gram, sent where the lists of the same least document go."""
+
+    def run(group: pa.Table) -> pa.Table:
+        g, doc, name, size, ls = _read(group)
+        code = np.unique((g.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64))
+        g, doc = code >> np.uint64(32), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+        length = np.diff(np.append(start, len(g)))
+        start, length = start[length > 1], length[length > 1]
+        least = doc[start]  # names are sorted, so the first is the least
+        task = (mix(name[least].view(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+        order = np.lexsort((start, least, task))
+        start, length, task = start[order], length[order], task[order]
+        edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])) if len(task) else np.zeros(0, np.int64)
+        rows = []
+        for i, j in zip(edges, np.append(edges[1:], len(task))):
+            inner = np.arange(length[i:j].sum()) - np.repeat(np.cumsum(length[i:j]) - length[i:j], length[i:j])
+            used, local = np.unique(doc[np.repeat(start[i:j], length[i:j]) + inner], return_inverse=True)
+            rows.append((int(task[i]), local.astype(np.uint32).tobytes(), length[i:j].astype(np.uint32).tobytes(), name[used].tobytes(), size[used].astype(np.uint32).tobytes(), ls[used].astype(np.uint8).tobytes()))
+        columns = list(zip(*rows)) if rows else [()] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 5))], ["task", "docs", "length", "name", "size", "l"])
+
+    return run
+
+
+#: Lists of more documents than this are counted by products of incidence matrices, label by label.
+LONG_LIST = 24
+
+
+def _pairs(jaccard: float):
+    """How many of the lists that came here each pair shares, for pairs whose sizes allow the threshold."""
 
     def run(group: pa.Table) -> pa.Table:
-        parts, base = [], 0
-        for r in group.to_pylist():
+        docs, lengths, tables, base = [], [], [], 0
+        for r in group.select(["docs", "length", "name", "size", "l"]).to_pylist():
             name = np.frombuffer(r["name"], np.int64)
-            parts.append((np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["doc"], np.uint32).astype(np.int64) + base, np.frombuffer(r["rank"], np.uint32).astype(np.int64), name, np.frombuffer(r["size"], np.uint32).astype(np.int64), np.frombuffer(r["l"], np.uint8).astype(np.int64)))
+            docs.append(np.frombuffer(r["docs"], np.uint32).astype(np.int64) + base)
+            lengths.append(np.frombuffer(r["length"], np.uint32).astype(np.int64))
+            tables.append((name, np.frombuffer(r["size"], np.uint32).astype(np.int64), np.frombuffer(r["l"], np.uint8).astype(np.int64)))
             base += len(name)
-        g, doc, rank, name, size, ls = (np.concatenate(x) for x in zip(*parts))
-        name, at, inverse = np.unique(name, return_index=True, return_inverse=True)  # equal sets are one
-        size, ls, doc = size[at], ls[at], inverse[doc]
+        name, size, ls = (np.concatenate(x) for x in zip(*tables))
+        name, at, inverse = np.unique(name, return_index=True, return_inverse=True)
+        size, ls = size[at], ls[at]
         need = np.ceil(jaccard * size - 1e-9).astype(np.int64)
-        order = np.lexsort((doc, g))
-        g, doc, rank = g[order], doc[order], rank[order]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-        g, doc, rank = g[new], doc[new], rank[new]
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-        length = np.diff(np.append(start, len(g)))
-        keys, counts, held = [], [], 0
-        total: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        doc, length = inverse[np.concatenate(docs)], np.concatenate(lengths)
+        start = np.cumsum(length) - length
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        held = 0
 
         def merge():
-            nonlocal total
-            k = np.concatenate([total[0], *keys])
-            c = np.concatenate([total[1], *counts])
-            u, inv = np.unique(k, return_inverse=True)
-            total = u, np.bincount(inv, c, len(u)).astype(np.int64)
-            keys.clear()
-            counts.clear()
-
-        for m in np.unique(length[length > 1]).tolist():
+            nonlocal held
+            u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.bincount(inv, np.concatenate(counts), len(u)).astype(np.int64)
+            keys[:], counts[:] = [u], [c]
+            held = 0
+
+        def add(a: np.ndarray, b: np.ndarray, c: np.ndarray | None):
+            nonlocal held
+            fine = np.minimum(size[a], size[b]) >= jaccard * np.maximum(size[a], size[b]) - 1e-9
+            k = a[fine] * len(name) + b[fine]
+            if c is None:
+                k, c = np.unique(k, return_counts=True)
+            else:
+                c = c[fine]
+            keys.append(k)
+            counts.append(c)
+            held += len(k)
+            if held > 3_000_000:
+                merge()
+
+        for m in np.unique(length[length <= LONG_LIST]).tolist():
             lists = start[length == m]
-            step = max(1, 2_000_000 // (m * m))
+            x, y = np.triu_indices(m, 1)
+            step = max(1, 1_000_000 // len(x))
             for i in range(0, len(lists), step):
-                here = lists[i : i + step]
-                for back in range(0, m, max(1, 2_000_000 // m)):  # of one long list, some rows at a time
-                    a = np.arange(back, min(m, back + max(1, 2_000_000 // m)))
-                    x, y = (a[:, None] + np.zeros(m, np.int64)[None, :]).ravel(), np.tile(np.arange(m), len(a))
-                    ok = x < y
-                    x, y = x[ok], y[ok]
-                    p, q = (here[:, None] + x[None, :]).ravel(), (here[:, None] + y[None, :]).ravel()
-                    da, db = doc[p], doc[q]
-                    l = np.minimum(ls[da], ls[db])  # noqa: E741
-                    fine = (np.minimum(size[da], size[db]) >= jaccard * np.maximum(size[da], size[db]) - 1e-9) & (rank[p] < size[da] - need[da] + l) & (rank[q] < size[db] - need[db] + l)
-                    u, c = np.unique(da[fine] * len(name) + db[fine], return_counts=True)
-                    keys.append(u)
-                    counts.append(c)
-                    held += len(u)
-                    if held > 4_000_000:
-                        merge()
-                        held = 0
+                here = lists[i : i + step, None]
+                p, q = doc[(here + x).ravel()], doc[(here + y).ravel()]
+                add(np.minimum(p, q), np.maximum(p, q), None)
+        long = np.flatnonzero(length > LONG_LIST)
+        label = np.minimum.reduceat(doc, start)[long] if len(long) else long
+        order = np.argsort(label, kind="stable")
+        for part in np.split(long[order], np.flatnonzero(np.diff(label[order])) + 1):
+            if not len(part):
+                continue
+            entries = np.concatenate([doc[start[k] : start[k] + length[k]] for k in part])
+            who, column = np.unique(entries, return_inverse=True)
+            row = np.repeat(np.arange(len(part)), length[part])
+            for i in range(0, len(who), 1024):
+                left = np.zeros((min(1024, len(who) - i), len(part)), np.float32)
+                of = (column >= i) & (column < i + 1024)
+                left[column[of] - i, row[of]] = 1
+                for j in range(i, len(who), 1024):
+                    right = np.zeros((min(1024, len(who) - j), len(part)), np.float32)
+                    of = (column >= j) & (column < j + 1024)
+                    right[column[of] - j, row[of]] = 1
+                    shared = left @ right.T
+                    a, b = np.nonzero(shared)
+                    up = a + i < b + j
+                    a, b = a[up], b[up]
+                    add(who[a + i], who[b + j], shared[a, b].astype(np.int64))
         merge()
-        k, c = total
+        k, c = keys[0], counts[0]
         a, b = k // max(1, len(name)), k % max(1, len(name))
-        return pa.table({"a": name[a], "b": name[b], "n": c.astype(np.int32), "l": np.minimum(ls[a], ls[b]).astype(np.int32)})
+        l = np.minimum(ls[a], ls[b])  # noqa: E741
+        # What isn't within both prefixes lies behind the prefix of one of the two: that leaves need - l grams at most.
+        least = np.ceil(jaccard / (1 + jaccard) * (size[a] + size[b]) - 1e-9).astype(np.int64) - np.maximum(need[a], need[b]) + l
+        return pa.table({"a": name[a], "b": name[b], "n": c.astype(np.int32), "l": np.maximum(l, least).astype(np.int32)})
 
     return run
 
@@ -277,13 +366,14 @@ def set_pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col:
     scanned = cut(rows.mapInArrow(_scan(n), "name long, size int, id long, slice int, counts binary"))
     named = scanned.where("slice IS NULL").select("name", "size", "id")
     sums = scanned.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect()
-    parts = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in sums}
-    sketch = np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros(1 << SKETCH_BITS, np.int64)
-    owners = max(4, int(sketch.sum() * (1 - jaccard) / owner_grams) + 1)
+    parts = {r["slice"]: np.frombuffer(r["counts"], np.float32) for r in sums}
+    sketch = np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros(1 << SKETCH_BITS, np.float32)
+    owners = max(4, int(sketch.sum(dtype=np.float64) * (1 - jaccard) / owner_grams) + 1)
     shared = spark.sparkContext.broadcast(sketch)
     texts = rows.select("text")
-    sent = texts.mapInArrow(_prefixes(n, jaccard, owners, shared), "owner int, grams binary, doc binary, rank binary, name binary, size binary, l binary")
-    counted = sent.groupBy("owner").applyInArrow(_count(jaccard), "a long, b long, n int, l int")
+    sent = texts.mapInArrow(_prefixes(n, jaccard, owners, shared), "owner int, grams binary, each binary, name binary, size binary, l binary")
+    lists = sent.groupBy("owner").applyInArrow(_lists(owners), "task int, docs binary, length binary, name binary, size binary, l binary")
+    counted = lists.groupBy("task").applyInArrow(_pairs(jaccard), "a long, b long, n int, l int")
     candidates = cut(counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("l").alias("l")).where("n >= l").select("a", "b"))
     # A pair goes to the block of the least partner of its two, a block of many sets to squares of it.
     ends = candidates.select(F.col("a").alias("v"), F.col("b").alias("w")).union(candidates.select(F.col("b").alias("v"), F.col("a").alias("w")))
