@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,36 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def least(df: DataFrame, key: str) -> Column:
     """Orders rows by key with nulls last, for min_by."""
     return F.struct(F.col(key).isNull(), F.col(key))
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: a Python worker outlives its tasks, and what it keeps is missing elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidy_batches(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, giving back memory at its end."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return inner
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run for applyInArrow, giving back memory after each group."""
+
+    def inner(group):
+        try:
+            return run(group)
+        finally:
+            _give_back()
+
+    return inner

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, fresh, table
+from .common import BROADCAST_ROWS, cut, fresh, table, tidy_batches, tidy_group
 from .components import components
 from .text import chunks, grams, mix, words
 
@@ -35,7 +35,7 @@ NGRAM, JACCARD, MOST_MATCHES = 3, 0.5, 16
 #: Cells of the count sketch, 16 MB of counts whatever the corpus.
 SKETCH_BITS = 22
 #: Prefix grams that one owner gets, about, and sets that one verifying task holds at once.
-OWNER_GRAMS, BLOCK_SETS = 2_000_000, 2048
+OWNER_GRAMS, BLOCK_SETS = 2_000_000, 1024
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -77,7 +77,7 @@ def _scan(n: int):
             for first, bounds, g in sets(batch.column("text"), n):
                 cells.append((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 held += len(g)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     counts += np.bincount(np.concatenate(cells), minlength=len(counts)).astype(np.int32)
                     cells, held = [], 0
                 size = np.diff(bounds)
@@ -177,7 +177,7 @@ def _prefixes(n: int, jaccard: float, owners: int, sketch_of):
                 kept.append((g[bounds[doc] + rank], doc + count, name, size, ls))
                 count += len(size)
                 held += len(doc)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield flush()
                     held = count = 0
         if held:
@@ -241,38 +241,36 @@ def _pairs(jaccard: float):
         need = np.ceil(jaccard * size - 1e-9).astype(np.int64)
         doc, length = inverse[np.concatenate(docs)], np.concatenate(lengths)
         start = np.cumsum(length) - length
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, counts, labels = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         held = 0
 
         def merge():
             nonlocal held
             u, inv = np.unique(np.concatenate(keys), return_inverse=True)
             c = np.bincount(inv, np.concatenate(counts), len(u)).astype(np.int64)
-            keys[:], counts[:] = [u], [c]
+            least = np.full(len(u), len(name), np.int64)
+            np.minimum.at(least, inv, np.concatenate(labels))
+            keys[:], counts[:], labels[:] = [u], [c], [least]
             held = 0
 
-        def add(a: np.ndarray, b: np.ndarray, c: np.ndarray | None):
+        def add(a: np.ndarray, b: np.ndarray, c: np.ndarray, label: np.ndarray):
             nonlocal held
             fine = np.minimum(size[a], size[b]) >= jaccard * np.maximum(size[a], size[b]) - 1e-9
-            k = a[fine] * len(name) + b[fine]
-            if c is None:
-                k, c = np.unique(k, return_counts=True)
-            else:
-                c = c[fine]
-            keys.append(k)
-            counts.append(c)
-            held += len(k)
-            if held > 3_000_000:
+            keys.append(a[fine] * len(name) + b[fine])
+            counts.append(c[fine])
+            labels.append(label[fine])
+            held += len(keys[-1])
+            if held > 1_000_000:
                 merge()
 
         for m in np.unique(length[length <= LONG_LIST]).tolist():
             lists = start[length == m]
             x, y = np.triu_indices(m, 1)
-            step = max(1, 1_000_000 // len(x))
+            step = max(1, 250_000 // len(x))
             for i in range(0, len(lists), step):
                 here = lists[i : i + step, None]
                 p, q = doc[(here + x).ravel()], doc[(here + y).ravel()]
-                add(np.minimum(p, q), np.maximum(p, q), None)
+                add(np.minimum(p, q), np.maximum(p, q), np.ones(len(p), np.int64), np.repeat(doc[here + np.arange(m)].min(1), len(x)))
         long = np.flatnonzero(length > LONG_LIST)
         label = np.minimum.reduceat(doc, start)[long] if len(long) else long
         order = np.argsort(label, kind="stable")
@@ -294,14 +292,14 @@ def _pairs(jaccard: float):
                     a, b = np.nonzero(shared)
                     up = a + i < b + j
                     a, b = a[up], b[up]
-                    add(who[a + i], who[b + j], shared[a, b].astype(np.int64))
+                    add(who[a + i], who[b + j], shared[a, b].astype(np.int64), np.full(len(a), who[0]))
         merge()
-        k, c = keys[0], counts[0]
+        k, c, label = keys[0], counts[0], labels[0]
         a, b = k // max(1, len(name)), k % max(1, len(name))
         l = np.minimum(ls[a], ls[b])  # noqa: E741
         # What isn't within both prefixes lies behind the prefix of one of the two: that leaves need - l grams at most.
         least = np.ceil(jaccard / (1 + jaccard) * (size[a] + size[b]) - 1e-9).astype(np.int64) - np.maximum(need[a], need[b]) + l
-        return pa.table({"a": name[a], "b": name[b], "n": c.astype(np.int32), "l": np.maximum(l, least).astype(np.int32)})
+        return pa.table({"a": name[a], "b": name[b], "n": c.astype(np.int32), "l": np.maximum(l, least).astype(np.int32), "label": name[label]})
 
     return run
 
@@ -363,7 +361,7 @@ def set_pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col:
     """(documents, pairs): (name, size, id) of each document with grams, and (a, b, jaccard) of the names of distinct sets that are alike, a < b."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scanned = cut(rows.mapInArrow(_scan(n), "name long, size int, id long, slice int, counts binary"))
+    scanned = cut(rows.mapInArrow(tidy_batches(_scan(n)), "name long, size int, id long, slice int, counts binary"))
     named = scanned.where("slice IS NULL").select("name", "size", "id")
     sums = scanned.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect()
     parts = {r["slice"]: np.frombuffer(r["counts"], np.float32) for r in sums}
@@ -371,15 +369,12 @@ def set_pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col:
     owners = max(4, int(sketch.sum(dtype=np.float64) * (1 - jaccard) / owner_grams) + 1)
     shared = spark.sparkContext.broadcast(sketch)
     texts = rows.select("text")
-    sent = texts.mapInArrow(_prefixes(n, jaccard, owners, shared), "owner int, grams binary, each binary, name binary, size binary, l binary")
-    lists = sent.groupBy("owner").applyInArrow(_lists(owners), "task int, docs binary, length binary, name binary, size binary, l binary")
-    counted = lists.groupBy("task").applyInArrow(_pairs(jaccard), "a long, b long, n int, l int")
-    candidates = cut(counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("l").alias("l")).where("n >= l").select("a", "b"))
-    # A pair goes to the block of the least partner of its two, a block of many sets to squares of it.
-    ends = candidates.select(F.col("a").alias("v"), F.col("b").alias("w")).union(candidates.select(F.col("b").alias("v"), F.col("a").alias("w")))
-    label = ends.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("label"))
-    pairs = candidates.join(label.select(F.col("v").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("v").alias("b"), F.col("label").alias("lb")), "b")
-    pairs = cut(pairs.select("a", "b", F.least("la", "lb").alias("label")))
+    sent = texts.mapInArrow(tidy_batches(_prefixes(n, jaccard, owners, shared)), "owner int, grams binary, each binary, name binary, size binary, l binary")
+    lists = sent.groupBy("owner").applyInArrow(tidy_group(_lists(owners)), "task int, docs binary, length binary, name binary, size binary, l binary")
+    counted = lists.groupBy("task").applyInArrow(tidy_group(_pairs(jaccard)), "a long, b long, n int, l int, label long")
+    # A pair goes to the block of the least document with which it shares a gram, a block of many sets to squares of it.
+    candidates = counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("l").alias("l"), F.min("label").alias("label"))
+    pairs = cut(candidates.where("n >= l").select("a", "b", "label"))
     members = pairs.select("label", F.col("a").alias("v")).union(pairs.select("label", F.col("b").alias("v"))).distinct()
     cuts = members.groupBy("label").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("k"))
     side = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.col("k")).cast("int")
@@ -390,13 +385,13 @@ def set_pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col:
     few = n_asked <= broadcast_rows
     if few:
         wanted = spark.sparkContext.broadcast(np.unique(np.array([r["name"] for r in asked.select("name").distinct().toLocalIterator()], np.int64)))
-    whole = texts.mapInArrow(_chosen(n, wanted), "name long, grams binary")
+    whole = texts.mapInArrow(tidy_batches(_chosen(n, wanted)), "name long, grams binary")
     asked = F.broadcast(asked) if few else asked
     delivered = whole.join(asked, "name").select("label", "x", "y", F.col("name").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     block = delivered.union(placed.select("label", "x", "y", "a", "b", F.lit(None).cast("binary").alias("grams")))
     tasks = max(4, n_asked // block_sets)
     block = block.select(F.pmod(F.xxhash64("label", "x", "y"), F.lit(tasks)).alias("task"), "a", "b", "grams")
-    return named, block.groupBy("task").applyInArrow(_verify(jaccard), "a long, b long, jaccard double")
+    return named, block.groupBy("task").applyInArrow(tidy_group(_verify(jaccard)), "a long, b long, jaccard double")
 
 
 def near_duplicates(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
@@ -408,6 +403,8 @@ def near_duplicates(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, i
     groups = cut(named.groupBy("name").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").alias("n")))
     one = groups.where("n > 1").select(F.col("ids").alias("left_ids"), F.col("ids").alias("right_ids"), F.lit(1.0).alias("jaccard"))
     a, b = groups.select(F.col("name").alias("a"), F.col("ids").alias("p")), groups.select(F.col("name").alias("b"), F.col("ids").alias("q"))
+    if (groups.agg(F.sum("n")).head()[0] or 0) <= how.get("broadcast_rows", BROADCAST_ROWS):
+        a, b = F.broadcast(a), F.broadcast(b)
     two = pairs.join(a, "a").join(b, "b")
     swap = F.coalesce(F.col("p")[0] <= F.col("q")[0], F.lit(True))
     return one.union(two.select(F.when(swap, F.col("p")).otherwise(F.col("q")), F.when(swap, F.col("q")).otherwise(F.col("p")), "jaccard"))

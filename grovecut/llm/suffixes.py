@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy_batches, tidy_group
 from .text import chunks, grams, mix, words
 
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 4
@@ -311,7 +311,7 @@ def passages(docs: DataFrame, length: int = PASSAGE_WORDS, id_col: str = "doc_id
         raise ValueError(f"a passage must have at least {ANCHOR_WORDS} words")
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = cut(rows.select("text").mapInArrow(_anchor_counts(length), "k0 long, k1 long").groupBy("k0", "k1").agg(F.count("*").alias("c")).where("c > 1"))
+    counts = cut(rows.select("text").mapInArrow(tidy_batches(_anchor_counts(length)), "k0 long, k1 long").groupBy("k0", "k1").agg(F.count("*").alias("c")).where("c > 1"))
     n = counts.count()
     filtered = n <= filter_anchors
     sample = counts if filtered else counts.where(F.abs(F.xxhash64("k0", "k1") % 1_000_000) < 1_000_000 * filter_anchors / n)
@@ -319,8 +319,8 @@ def passages(docs: DataFrame, length: int = PASSAGE_WORDS, id_col: str = "doc_id
     k0, k1, c = (got[x].to_numpy() for x in ("k0", "k1", "c"))
     splitters = Splitters(k0.view(np.uint64), k1.view(np.uint64), c, bucket_segments, filtered, n / max(1, len(k0)))
     shared = spark.sparkContext.broadcast(splitters)
-    sent = rows.mapInArrow(_segments(length, shared), "bucket int, doc binary, start binary, runs binary, across binary, words binary")
-    found = sent.groupBy("bucket").applyInArrow(_sort(length), "doc_id long, first long, last long, hash long, across boolean, known boolean")
+    sent = rows.mapInArrow(tidy_batches(_segments(length, shared)), "bucket int, doc binary, start binary, runs binary, across binary, words binary")
+    found = sent.groupBy("bucket").applyInArrow(tidy_group(_sort(length)), "doc_id long, first long, last long, hash long, across boolean, known boolean")
     if (splitters.parts > 1).any():
         found = cut(found)
         cross = found.where("across")

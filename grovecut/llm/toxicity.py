@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, table, tidy_batches
 from .text import CHUNK_BYTES, chunks
 
 #: Labelled rows that the lexicon is learned from at most, chosen by hash of the id.
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     """A model from at most max_labelled labelled rows, whose ids have the least hashes. Rows without a label or an id don't count."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "toxic").limit(max_labelled)
     known = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")))
-    sums = known.mapInArrow(_features, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= SUPPORT)
+    sums = known.mapInArrow(tidy_batches(_features), "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= SUPPORT)
     share = known.agg(F.avg("toxic")).head()[0] or 0.0
     terms = choose({r["feature"]: (r["a"], r["b"]) for r in sums.toLocalIterator()}, min(max(share, 1e-6), 1 - 1e-6))
     have = {t for t, *_ in terms}
@@ -329,7 +329,7 @@ def _score(model: Model):
 def toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, hits, quoted, terms) of the documents whose score reaches threshold."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, score double, hits int, quoted int, terms array<string>").where(F.col("score") >= threshold)
+    return rows.mapInArrow(tidy_batches(_score(model)), "doc_id long, score double, hits int, quoted int, terms array<string>").where(F.col("score") >= threshold)
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
