@@ -67,17 +67,17 @@ def fold(stream: Sequence, most: int = FOLD_TOKENS) -> list:
         shape.append(item[0])
         again = True
         while again:
-            again = False
-            for n in range(1, min(most, len(out)) + 1):
-                tail = shape[-n:]
-                if len(out) > n and isinstance(out[-n - 1], tuple) and out[-n - 1][0] == "+" and out[-n - 1][2] == tail:
-                    del out[-n:], shape[-n:]
+            again, last, size = False, shape[-1], len(shape)
+            for n in range(1, min(most, size - 1) + 1):
+                before = shape[-n - 1]
+                if before.__class__ is tuple and len(before[1]) == n and before[1][-1] == last and before[1] == tuple(shape[-n:]):
+                    del out[-n:], shape[-n:]  # once more what the group repeats
                     break
-                if len(out) >= 2 * n and shape[-2 * n : -n] == tail:
-                    part = out[-2 * n : -n]
+                if before == last and size >= 2 * n and shape[-2 * n : -n] == shape[-n:]:
+                    part, tail = out[-2 * n : -n], tuple(shape[-n:])
                     del out[-2 * n :], shape[-2 * n :]
-                    out.append(("+", part, tail))
-                    shape.append(("+", tuple(tail)))
+                    out.append(("+", part))
+                    shape.append(("+", tail))
                     again = True
                     break
     return out
@@ -232,31 +232,30 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return cut(forms.groupBy("host").applyInArrow(_infer, "host string, form string, pages long, wrapper string, fixed array<boolean>"))
 
 
-def _extract(batches):
+def _shape(batches):
     for batch in batches:
-        out = []
-        for i, page, fixed in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), batch.column("fixed").to_pylist()):
+        forms, every, tops = [], [], []
+        for page in batch.column("html").to_pylist():
             stream = tokens(page)
             folded = fold([(t, k) for k, (t, _) in enumerate(stream)])
-            tops = [x[1] for x in folded if x[0] == TEXT]
-            drop = {k for k, f in zip(tops, fixed or ()) if f}
-            out.append((i, [x for k, (t, x) in enumerate(stream) if t == TEXT and k not in drop]))
-        ids, slots = zip(*out) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["page_id", "slots"])
-
-
-def _shape(batches):
-    for batch in batches:
-        forms = [f"{xxh64_intdigest(json.dumps(form(fold([(t, k) for k, (t, _) in enumerate(tokens(p))])))):016x}" for p in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(forms, pa.string()), batch.column("html")], ["page_id", "host", "form", "html"])
+            place = {}
+            for k, (t, _) in enumerate(stream):
+                if t == TEXT:
+                    place[k] = len(place)
+            forms.append(f"{xxh64_intdigest(json.dumps(form(folded))):016x}")
+            every.append([x for t, x in stream if t == TEXT])
+            tops.append([place[x[1]] for x in folded if x[0] == TEXT])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(forms, pa.string()), pa.array(every, pa.list_(pa.string())), pa.array(tops, pa.list_(pa.int32()))], ["page_id", "host", "form", "texts", "tops"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, slots): the texts of each page that aren't its host's template, in order."""
     learned = wrappers(pages, url_col, html_col).select("host", "form", "fixed").where(F.exists("fixed", lambda x: x))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(host(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).cast("string").alias("html"))
-    shaped = rows.mapInArrow(_shape, "page_id long, host string, form string, html string")
-    return shaped.join(small(cut(learned)), ["host", "form"], "left").select("page_id", "html", "fixed").mapInArrow(_extract, "page_id long, slots array<string>")
+    shaped = rows.mapInArrow(_shape, "page_id long, host string, form string, texts array<string>, tops array<int>")
+    joined = shaped.join(small(cut(learned)), ["host", "form"], "left")
+    template = lambda i: F.coalesce(F.get("fixed", (F.array_position("tops", i) - 1).cast("int")), F.lit(False))
+    return joined.select("page_id", F.filter("texts", lambda _, i: ~template(i)).alias("slots"))
 
 
 def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
