@@ -125,5 +125,5 @@ def parse(text: str) -> QueryNode:
     for i, part in enumerate(nodes):
         if i != at:
             kid, edge = node(part), _edge(edges[i] if i < at else edges[i - 1])
-            kids.append(QueryNode(tuple((*a, *b) for b in edge for a in kid.any_of), kid.kids))
+            kids.append(QueryNode(tuple((*b, *a) for b in edge for a in kid.any_of), kid.kids))
     return QueryNode(head.any_of, head.kids + tuple(kids))
