@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,25 @@ from .spec import MineSpec
 HEIGHT = 8
 
 
+#: What makes the treebank of the query that is being built.
+_DERIVE: ContextVar[Callable[[DataFrame], DataFrame]] = ContextVar("derive", default=derived.derive)
+
+
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.derive(spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL"))
+    return _DERIVE.get()(spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL"))
+
+
+def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query on all sentences of each text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _DERIVE.set(derived.derive_whole)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _DERIVE.reset(before)
+
+    return run
 
 
 def tree_sql(name: str = "upos", fixed: bool = True, labeled: bool = True, ignored: str = "FALSE", allowed: str = "TRUE", tok: str = "tok", at: str = "k") -> str:
@@ -279,6 +297,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "depsearch_sorted": depsearch,
 }
 
+#: The same on whole texts; without SQL of their own, which holds for the first words of each text.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"{name}_whole": whole(query) for name, query in QUERIES.items()}
+
 SQL: dict[str, str] = {
     "corpus_size": f"WITH {derived.SQL} SELECT lang, count(*) AS tokens, count(DISTINCT sent_key) AS sentences FROM tok GROUP BY lang",
     "parent_link": f"WITH {derived.SQL} SELECT p.upos AS parent, c.upos AS child, c.deprel, count(*) AS number FROM tok c JOIN tok p ON p.sent_key = c.sent_key AND p.id = c.head GROUP BY ALL",

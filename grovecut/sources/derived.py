@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of each document that make its sentence.
+#: Words of a sentence.
 WORDS = 12
+#: Bits of sent_key that number the sentences of a document; a text of 2**31 bytes has fewer.
+SENTENCE_BITS = 27
+
+
+def _words() -> Column:
+    return F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != "")
 
 
 def derive(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """(path, sent_key, sent_id, toks, conllu): a tree over the first words of each document, path is its lang."""
-    w = F.slice(F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != ""), 1, words)
-    base = documents.select(F.col("lang").alias("path"), F.col("doc_id").alias("sent_key"), w.alias("w")).where(F.size("w") > 0)
+    w = F.slice(_words(), 1, words)
+    return _trees(documents.select(F.col("lang").alias("path"), F.col("doc_id").alias("sent_key"), w.alias("w")).where(F.size("w") > 0))
+
+
+def derive_whole(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """As derive(), with a tree over each run of so many words of the whole text; a document's last one may be shorter."""
+    # exploded, so that a text is split once and not for each of its sentences; slice() would copy all words each time
+    every = documents.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(_words())).alias("w")).where(F.size("w") > 0)
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / words).cast("int") - 1), lambda i: F.transform(F.sequence(i * words, F.least(i * words + words, F.size("w")) - 1), lambda k: F.get("w", k)))
+    one = every.select("lang", "doc_id", F.posexplode(runs).alias("number", "w"))
+    most = 1 << 63 - SENTENCE_BITS
+    key = F.when(F.col("doc_id").between(-most, most - 1), F.col("doc_id") * (1 << SENTENCE_BITS) + F.col("number")).when(F.col("doc_id").isNotNull(), F.raise_error(F.lit("doc_id is too large for sent_key")).cast("long"))
+    return _trees(one.select(F.col("lang").alias("path"), key.alias("sent_key"), "w"))
+
+
+def _trees(base: DataFrame) -> DataFrame:
     n = F.size("w")
     root = F.floor((n + 1) / 2).cast("int")
 

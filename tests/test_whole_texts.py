@@ -1,0 +1,42 @@
+"""Queries on whole texts against the SQL of the first words, on a table with a row for each run of words."""
+
+import pytest
+from conftest import SF
+
+from grovecut.plans import queries as Q
+from grovecut.sources import derived
+
+
+@pytest.fixture(scope="module")
+def cases(spark, tmp_path_factory):
+    """(documents of up to 60 words, the same with each run of words as a document of its own)."""
+    docs = [(r["doc_id"], r["lang"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    docs = [(i, lang, " ".join(text.split(" ")[: i % 60 + 1])) for i, lang, text in docs] + [(1000, "en", " \n")]
+    runs = []
+    for i, lang, text in docs:
+        w = [x for x in text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if x]
+        runs += [((i << derived.SENTENCE_BITS) + k, lang, " ".join(w[12 * k : 12 * k + 12])) for k in range(-(-len(w) // 12))]
+    out = []
+    for rows in (docs, runs):
+        out.append(str(tmp_path_factory.mktemp("sf")))
+        spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{out[-1]}/documents.parquet")
+    assert len(runs) > len(docs)
+    return out
+
+
+@pytest.mark.parametrize("name", Q.QUERIES)
+def test_whole_texts(spark, cases, name):
+    import duckdb
+    from conftest import rows
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{cases[1]}/documents.parquet/*.parquet'")
+    assert rows(Q.WHOLE[f"{name}_whole"](spark, cases[0]).toPandas()) == rows(con.execute(Q.SQL[name]).df())
+
+
+def test_no_word_is_left_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL")
+    words = sum(len([w for w in r["text"].replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if w]) for r in docs.collect())
+    assert Q.WHOLE["corpus_size_whole"](spark, SF).agg({"tokens": "sum"}).head()[0] == words
+    with pytest.raises(Exception, match="too large"):
+        derived.derive_whole(spark.createDataFrame([(1 << 40, "en", "a b")], "doc_id long, lang string, text string")).collect()
