@@ -287,6 +287,12 @@ def choose(counts: dict[str, tuple[int, int]], share: float, purity: float = PUR
     return terms
 
 
+def with_seed(terms: list[tuple[str, bool, float, int]], seed: Iterable[str]) -> list[tuple[str, bool, float, int]]:
+    """terms and every seed as a whole word that counts at once, whatever was learned of it: a learned beginning has no edits."""
+    seed = list(dict.fromkeys(seed))
+    return [x for x in terms if x[1] or x[0] not in seed] + [(s, False, 1.0, 1) for s in seed]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", seed: Iterable[str] = SEED) -> Model:
     """A model from at most max_labelled labelled rows, whose ids have the least hashes. Rows without a label or an id don't count."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "toxic").limit(max_labelled)
@@ -294,8 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     sums = known.mapInArrow(tidy_batches(_features), "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= SUPPORT)
     share = known.agg(F.avg("toxic")).head()[0] or 0.0
     terms = choose({r["feature"]: (r["a"], r["b"]) for r in sums.toLocalIterator()}, min(max(share, 1e-6), 1 - 1e-6))
-    have = {t for t, *_ in terms}
-    terms += [(s, False, 1.0, 1) for s in seed if s not in have and not any(b and s.startswith(t) for t, b, *_ in terms)]
+    terms = with_seed(terms, seed)
     model = Model(terms)
 
     def fuzzy(batches):

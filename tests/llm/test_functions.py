@@ -135,6 +135,15 @@ def test_quotation_is_not_abuse():
     assert 0 < score('he said "that idiot" and left') < toxicity.THRESHOLD and score("all is fine") == 0.0
 
 
+def test_a_learned_beginning_leaves_the_seed_its_edits():
+    learned = [("idiot", True, 0.97, 1), ("moron", False, 0.9, 3), ("pathetic", False, 0.9, 1)]
+    m = toxicity.Model(toxicity.with_seed(learned, toxicity.SEED))
+    score = lambda t: next((s for _, s, *_ in m.scores(pa.array([t]), toxicity._automaton(m))), 0.0)
+    for word in ("idiot", "idiots", "idi0t", "idiiot", "moron", "morron", "pathetic", "patetic"):
+        assert score(f"what a {word} here") >= toxicity.THRESHOLD, word
+    assert score("all is fine") == 0.0
+
+
 @pytest.mark.parametrize("kind,value", [("card", "4111 1111 1111 1111"), ("card", "4785380592391139"), ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("ip", "10.0.200.7"), ("iso", "2024-02-29"), ("dmy", "31.12.1999"), ("ssn", "123-45-6789"), ("phone", "+1 (017) 555-7713"), ("email", "Ana.Lo-99@mail.example.com")])
 def test_pseudonyms_are_valid_and_can_be_undone(kind, value):
     new, n = pii.replace(f"call {value}, now")
