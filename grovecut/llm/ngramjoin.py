@@ -6,15 +6,19 @@ within their first |x| - ceil(t|x|) + l. Each document takes the l that costs le
 it into more lists, but a pair must then share more before it is verified. A pair uses the smaller l of its two,
 and the more its sizes ask for: with o shared grams needed, o - max(ceil(t|x|), ceil(t|y|)) + l of them are in the prefixes.
 
-Prefix grams go to owners by gram, as compressed arrays (32 bits of a gram: a chance match can only add a candidate).
+Prefix grams go to owners by gram, as compressed arrays (32 bits of a gram; grams of one document that are alike in these
+are kept apart by their number, so a chance match can only add to a pair's count and so only add a candidate).
 An owner sends each list of documents with a gram on to where the lists of the same least document go, so that what
 pairs of a large group share is counted in few places; the counts are summed and pairs that share enough become
 candidates. Candidates' whole sets are then brought together, once for
 each group of documents that have candidates in common, and compared exactly. There is no cap on lists or partners.
+Which documents have candidates is told to the scan by a Bloom filter of fixed size; what it lets through in vain the
+join by name drops.
 
 Sets are named by a 64-bit hash, so equal sets are one everywhere, whatever the number of copies. A text of fewer
-words than n has one gram, all its words; texts without words, and null ones, have no grams and no partners.
-Repeated rows and ids are kept as they are; ids may be null.
+words than n has one gram, all its words; texts without words, and null ones, have no grams and no partners. A very long
+text is one set like any other. Repeated rows and ids are kept as they are; ids may be null. Ties don't matter: a pair
+counts from Jaccard = threshold on. An empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,8 +38,10 @@ from .text import chunks, grams, mix, words
 NGRAM, JACCARD, MOST_MATCHES = 3, 0.5, 16
 #: Cells of the count sketch, 16 MB of counts whatever the corpus.
 SKETCH_BITS = 22
-#: Prefix grams that one owner gets, about, and sets that one verifying task holds at once.
-OWNER_GRAMS, BLOCK_SETS = 2_000_000, 1024
+#: Prefix grams that one owner gets, about, sets on a side of a block of pairs, and sets that one verifying task gets, about.
+OWNER_GRAMS, BLOCK_SETS, TASK_SETS = 2_000_000, 4096, 1024
+#: Bits of the Bloom filter (16 MB whatever the corpus), slices in which it is built, and bits a name sets.
+BLOOM_BITS, BLOOM_SLICES, BLOOM_HASHES = 1 << 27, 16, 3
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -187,11 +193,12 @@ def _prefixes(n: int, jaccard: float, owners: int, sketch_of):
 
 
 def _read(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, document, name, size, l) from rows of grams, each, name, size, l; equal names are one document."""
+    """(key, document, name, size, l) from rows of grams, each, name, size, l; of equal names the first alone counts, with all its grams."""
     col = lambda c, kind: np.frombuffer(b"".join(group[c].to_pylist()), kind)
     key, each, name, size, ls = col("grams", np.uint32), col("each", np.uint32), col("name", np.int64), col("size", np.uint32), col("l", np.uint8)
     name, at, inverse = np.unique(name, return_index=True, return_inverse=True)
-    return key, np.repeat(inverse.astype(np.int32), each), name, size[at].astype(np.int64), ls[at].astype(np.int64)
+    one = np.repeat(at[inverse] == np.arange(len(inverse)), each)
+    return key[one], np.repeat(inverse.astype(np.int32), each)[one], name, size[at].astype(np.int64), ls[at].astype(np.int64)
 
 
 def _lists(tasks: int):
@@ -199,7 +206,7 @@ def _lists(tasks: int):
 
     def run(group: pa.Table) -> pa.Table:
         g, doc, name, size, ls = _read(group)
-        code = np.unique((g.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64))
+        code = np.sort((g.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64))
         g, doc = code >> np.uint64(32), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
         length = np.diff(np.append(start, len(g)))
@@ -255,7 +262,7 @@ def _pairs(jaccard: float):
 
         def add(a: np.ndarray, b: np.ndarray, c: np.ndarray, label: np.ndarray):
             nonlocal held
-            fine = np.minimum(size[a], size[b]) >= jaccard * np.maximum(size[a], size[b]) - 1e-9
+            fine = (a != b) & (np.minimum(size[a], size[b]) >= jaccard * np.maximum(size[a], size[b]) - 1e-9)
             keys.append(a[fine] * len(name) + b[fine])
             counts.append(c[fine])
             labels.append(label[fine])
@@ -283,11 +290,11 @@ def _pairs(jaccard: float):
             for i in range(0, len(who), 1024):
                 left = np.zeros((min(1024, len(who) - i), len(part)), np.float32)
                 of = (column >= i) & (column < i + 1024)
-                left[column[of] - i, row[of]] = 1
+                np.add.at(left, (column[of] - i, row[of]), 1)
                 for j in range(i, len(who), 1024):
                     right = np.zeros((min(1024, len(who) - j), len(part)), np.float32)
                     of = (column >= j) & (column < j + 1024)
-                    right[column[of] - j, row[of]] = 1
+                    np.add.at(right, (column[of] - j, row[of]), 1)
                     shared = left @ right.T
                     a, b = np.nonzero(shared)
                     up = a + i < b + j
@@ -304,8 +311,41 @@ def _pairs(jaccard: float):
     return run
 
 
+def _bits(name: np.ndarray) -> np.ndarray:
+    """The places of names in the filter, a column for each hash."""
+    h = mix(name.view(np.uint64))
+    step = (mix(h) << np.uint64(1)) | np.uint64(1)
+    return np.stack([(h + np.uint64(k) * step) % np.uint64(BLOOM_BITS) for k in range(BLOOM_HASHES)], 1).astype(np.int64)
+
+
+def _places(batches):
+    for batch in batches:
+        at = np.unique(_bits(batch.column("name").to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([pa.array((at // (BLOOM_BITS // BLOOM_SLICES)).astype(np.int32)), pa.array((at % (BLOOM_BITS // BLOOM_SLICES)).astype(np.int32))], ["slice", "at"])
+
+
+def _slice(group: pa.Table) -> pa.Table:
+    bits = np.zeros(BLOOM_BITS // BLOOM_SLICES, bool)
+    bits[group["at"].to_numpy()] = True
+    return pa.table({"slice": group["slice"][:1], "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
+
+
+def bloom(names_: DataFrame) -> np.ndarray:
+    """A filter of fixed size that lets all of names_ (column name) through, as packed bits."""
+    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+    step = len(out) // BLOOM_SLICES
+    for r in names_.select("name").mapInArrow(_places, "slice int, at int").distinct().groupBy("slice").applyInArrow(_slice, "slice int, bits binary").collect():
+        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
+def passes(filter_: np.ndarray, name: np.ndarray) -> np.ndarray:
+    at = _bits(name)
+    return ((filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+
+
 def _chosen(n: int, wanted):
-    """(name, grams) of the documents whose set is wanted (all if wanted is None), each set once a task."""
+    """(name, grams) of the documents whose set the filter lets through, each set once a task."""
 
     def run(batches):
         done: set[int] = set()
@@ -313,8 +353,7 @@ def _chosen(n: int, wanted):
             for _, bounds, g in sets(batch.column("text"), n):
                 name, size = names(g, bounds), np.diff(bounds)
                 take = size > 0
-                if wanted is not None:
-                    take &= np.isin(name, wanted.value)
+                take[take] = passes(wanted.value, name[take])
                 rows = []
                 for i in np.flatnonzero(take).tolist():
                     if (x := int(name[i])) not in done:
@@ -380,34 +419,34 @@ def set_pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col:
     side = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.col("k")).cast("int")
     placed = pairs.join(cuts, "label").select("a", "b", "label", F.least(side(F.col("a")), side(F.col("b"))).alias("x"), F.greatest(side(F.col("a")), side(F.col("b"))).alias("y"))
     asked = cut(placed.select("label", "x", "y", F.col("a").alias("name")).union(placed.select("label", "x", "y", F.col("b").alias("name"))).distinct())
-    wanted = None
     n_asked = asked.count()
-    few = n_asked <= broadcast_rows
-    if few:
-        wanted = spark.sparkContext.broadcast(np.unique(np.array([r["name"] for r in asked.select("name").distinct().toLocalIterator()], np.int64)))
+    wanted = spark.sparkContext.broadcast(bloom(asked))
     whole = texts.mapInArrow(tidy_batches(_chosen(n, wanted)), "name long, grams binary")
-    asked = F.broadcast(asked) if few else asked
+    asked = F.broadcast(asked) if n_asked <= broadcast_rows else asked
     delivered = whole.join(asked, "name").select("label", "x", "y", F.col("name").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     block = delivered.union(placed.select("label", "x", "y", "a", "b", F.lit(None).cast("binary").alias("grams")))
-    tasks = max(4, n_asked // block_sets)
+    tasks = max(4, n_asked // TASK_SETS)
     block = block.select(F.pmod(F.xxhash64("label", "x", "y"), F.lit(tasks)).alias("task"), "a", "b", "grams")
     return named, block.groupBy("task").applyInArrow(tidy_group(_verify(jaccard)), "a long, b long, jaccard double")
 
 
 def near_duplicates(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """(left_ids, right_ids, jaccard): every id of the left list with every id of the right one is a pair of at least this Jaccard.
+    """(doc_id, class_id, links): each row that is alike with another one (equal texts included), the least id that pairs connect it with, and how many rows it is alike with.
 
-    The lists are the ids of documents with the same set, sorted; a row with Jaccard 1 and equal lists holds such a set's own pairs. The least id of left_ids is below that of right_ids.
+    Rows without an id show doc_id null; class_id is null if no row of the class has one.
     """
     named, pairs = set_pairs(docs, jaccard, n, id_col, text_col, **how)
-    groups = cut(named.groupBy("name").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").alias("n")))
-    one = groups.where("n > 1").select(F.col("ids").alias("left_ids"), F.col("ids").alias("right_ids"), F.lit(1.0).alias("jaccard"))
-    a, b = groups.select(F.col("name").alias("a"), F.col("ids").alias("p")), groups.select(F.col("name").alias("b"), F.col("ids").alias("q"))
-    if (groups.agg(F.sum("n")).head()[0] or 0) <= how.get("broadcast_rows", BROADCAST_ROWS):
-        a, b = F.broadcast(a), F.broadcast(b)
-    two = pairs.join(a, "a").join(b, "b")
-    swap = F.coalesce(F.col("p")[0] <= F.col("q")[0], F.lit(True))
-    return one.union(two.select(F.when(swap, F.col("p")).otherwise(F.col("q")), F.when(swap, F.col("q")).otherwise(F.col("p")), "jaccard"))
+    pairs = cut(pairs.select("a", "b"))
+    copies = named.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    alike = both.join(copies.select(F.col("name").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
+    linked = components(pairs).select(F.col("node").alias("name"), "root")
+    sets_ = copies.join(alike.withColumnRenamed("a", "name"), "name", "left").join(linked, "name", "left").where("n > 1 OR others IS NOT NULL")
+    sets_ = cut(sets_.select("name", F.coalesce("root", "name").alias("root"), "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links")))
+    classes = sets_.groupBy("root").agg(F.min("least").alias("class_id"))
+    marks = cut(sets_.join(classes, "root").select("name", "class_id", "links"))
+    marks = F.broadcast(marks) if marks.count() <= how.get("broadcast_rows", BROADCAST_ROWS) else marks
+    return named.join(marks, "name").select(F.col("id").alias("doc_id"), "class_id", "links")
 
 
 def one_of_each(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
@@ -428,20 +467,24 @@ def one_of_each(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_co
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word 3-gram sets have a Jaccard of at least 0.5, as pairs of id lists."""
+    """All documents that have another one whose word 3-gram set has a Jaccard of at least 0.5 with theirs, with their class and number of links."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: The same pairs from all grams of all documents.
+#: The same classes and links from all grams of all documents.
 SQL = r"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 g AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS grams FROM w WHERE len(w) > 0),
-s AS (SELECT grams, len(grams) AS n, list_sort(list(doc_id)) AS ids, min(doc_id) AS least FROM g GROUP BY grams),
+s AS (SELECT len(grams) AS n, list(doc_id) AS ids, min(doc_id) AS least, grams FROM g GROUP BY grams),
 t AS (SELECT least, unnest(grams) AS gram FROM s),
-o AS (SELECT a.least AS a, b.least AS b, count(*) AS same FROM t a JOIN t b ON a.gram = b.gram AND a.least < b.least GROUP BY ALL)
-SELECT p.ids AS left_ids, q.ids AS right_ids, same / (p.n + q.n - same) AS jaccard
-FROM o JOIN s p ON p.least = o.a JOIN s q ON q.least = o.b WHERE same / (p.n + q.n - same) >= 0.5 - 1e-12
-UNION ALL SELECT ids, ids, 1.0 FROM s WHERE len(ids) > 1"""
+o AS (SELECT a.least AS a, b.least AS b, count(*) AS same FROM t a JOIN t b ON a.gram = b.gram AND a.least < b.least GROUP BY ALL),
+p AS (SELECT o.a, o.b FROM o JOIN s p ON p.least = o.a JOIN s q ON q.least = o.b WHERE same / (p.n + q.n - same) >= 0.5 - 1e-12),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT least AS node, least AS other FROM s UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other),
+c AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node),
+l AS (SELECT e.a, sum(len(s.ids)) AS others FROM e JOIN s ON s.least = e.b GROUP BY e.a)
+SELECT unnest(s.ids) AS doc_id, class_id, CAST(len(s.ids) - 1 + coalesce(others, 0) AS BIGINT) AS links
+FROM s JOIN c ON c.node = s.least LEFT JOIN l ON l.a = s.least WHERE len(s.ids) > 1 OR others IS NOT NULL"""
