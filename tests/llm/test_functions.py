@@ -161,36 +161,64 @@ def test_what_is_not_valid_stays():
         assert sorted(pii.permute(i, n, "k", "t") for i in range(min(n, 2000)) if n <= 2000) == (list(range(n)) if n <= 2000 else [])
 
 
+def covers(wrapper, stream):
+    return re.fullmatch(wrappers.pattern(wrapper), "".join(t + " " for t in stream)) is not None
+
+
+def required(stream):
+    return [[x, 0] for x in wrappers.form(wrappers.fold(stream))]
+
+
 def test_wrapper_of_a_template():
     page = lambda title, items, ad: f"<html><script>x</script><h1>{title}</h1><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul>{'<div>' + ad + '</div>' if ad else ''}<p>All rights reserved</p></html>"
     pages = [page("One", "ab", ""), page("Two", "cde", "buy"), page("Three", "f", ""), page("Four", "gh", "now")]
-    forms = [wrappers.form(wrappers.fold([(t, k) for k, (t, _) in enumerate(wrappers.tokens(p))])) for p in pages]
-    w = forms[0]
-    for f in forms[1:]:
-        if wrappers.fits(w, f, 0) != len(f):
-            w = wrappers.align(w, f)
-    for p in pages:
-        assert re.fullmatch(wrappers.pattern(w), "".join(t + " " for t, _ in wrappers.tokens(p)))
-    assert "+" in wrappers.pattern(w) and "?" in wrappers.pattern(w)
+    streams = [[t for t, _ in wrappers.tokens(p)] for p in pages]
+    w = wrappers._merged(map(required, streams))
+    assert all(covers(w, s) for s in streams) and "+" in wrappers.pattern(w) and "?" in wrappers.pattern(w)
+    assert not covers(w, streams[0][1:])
+    spots = [wrappers.places(w, wrappers.form(wrappers.fold(s))) for s in streams]
+    assert len({x[0] for x in spots}) == len({x[-1] for x in spots}) == 1 and min(min(x) for x in spots) == 0
     assert wrappers.tokens(None) == wrappers.tokens("") == [] and wrappers.tokens("a < b")[0][0] == "#"
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_alignment_covers_both(seed):
+@pytest.mark.parametrize("length", [1, 7, 8, 9, 24, 26, 63, 65, 700])
+def test_records_of_any_length_fold(length):
+    part = [f"<t{i}>" if i % 3 else f"#<t{i - 1}>" for i in range(length)]
+    folded = wrappers.fold(["<a>", *part * 6, "<b>"])
+    assert [i[0] for i in folded[::2]] == ["<a>", "<b>"] and len(folded) == 3 and len(folded[1][1]) == length
+    assert all(len(x) == 6 for x in folded[1][2]) and len(folded[1][2]) == sum(x[0] == "#" for x in part)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_alignment_covers_all(seed):
     rng = random.Random(seed)
 
     def stream():
         out = ["<a>"]
-        for _ in range(rng.randint(1, 4)):
-            out += rng.choice([["<p>", "#", "</p>"], ["<b>", "</b>"], ["<li>", "#", "</li>"] * rng.randint(1, 3), ["#"]])
+        for _ in range(rng.randint(1, 6)):
+            out += rng.choice([["<p>", "#<p>", "</p>"], ["<b>", "</b>"], ["<li>", "#<li>", "</li>"] * rng.randint(1, 3), ["#<a>"], ["<x>", "<li>", "#<li>", "</li>", "</x>"] * rng.randint(1, 2)])
         return out + ["</a>"]
 
-    streams = [stream() for _ in range(3)]
-    w = wrappers.form(wrappers.fold([(t, k) for k, t in enumerate(streams[0])]))
-    f = wrappers.form(wrappers.fold([(t, k) for k, t in enumerate(streams[1])]))
-    joined = wrappers.align(w, f)
-    for s in streams[:2]:
-        assert re.fullmatch(wrappers.pattern(joined), "".join(t + " " for t in s)), (s, wrappers.pattern(joined))
+    streams = [stream() for _ in range(6)]
+    for w in (wrappers._merged(map(required, streams)), wrappers.align(wrappers._merged(map(required, streams[:3])), wrappers._merged(map(required, streams[3:])))):
+        for s in streams:
+            folded = wrappers.fold(s)
+            assert covers(w, s), (s, wrappers.pattern(w))
+            assert sorted(k for i in folded for x in i[2] for k in x) == [k for k, x in enumerate(s) if x[0] == "#"]
+            spots = wrappers.places(w, wrappers.form(folded))
+            assert len(spots) == sum(len(i[2]) for i in folded) and spots.count(-1) <= 2
+
+
+def test_common_subsequence_is_longest():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = wrappers.common(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
 
 
 def test_budgets_and_prefix_rules():

@@ -214,6 +214,57 @@ def test_wrappers(spark):
     assert len(got[-1][1]) == 30_001 and wrappers.extract(df.limit(0)).count() == 0
 
 
+def site(rng, number, n):
+    """Pages of one host from a made template, and the texts of each that aren't its template's."""
+    parts = []
+    for k in range(rng.randint(4, 9)):
+        parts.append((rng.choice(["fixed", "slot", "maybe", "list", "cards"]), k))
+    pages = []
+    for page in range(n):
+        out, slots = [f"<html><body id={page}>"], []
+
+        def slot(tag):
+            slots.append(f"s{len(slots)} {page} {rng.random()}")
+            return f"<{tag}>{slots[-1]}</{tag}>"
+
+        for kind, k in parts:
+            if kind == "fixed":
+                out.append(f"<h{k}>Menu {k}</h{k}>")
+            elif kind == "slot":
+                out.append(slot(f"p{k}"))
+            elif kind == "maybe" and rng.random() < 0.6:
+                out.append(f"<div{k}><em{k}>Ad {k}</em{k}>{slot(f'q{k}')}</div{k}>")
+            elif kind == "list":
+                out.append(f"<ul{k}>" + "".join(slot(f"li{k}") for _ in range(rng.randint(1, 4))) + f"</ul{k}>")
+            elif kind == "cards":  # a record of 31 tokens and texts with a text that never changes
+                card = lambda: "".join(f"<c{k}x{j}></c{k}x{j}>" for j in range(12)) + slot(f"c{k}") + f"<b{k}>Read on</b{k}>"  # noqa: B023, E731
+                out.append(f"<div{k}>" + "".join(card() for _ in range(rng.randint(1, 3))) + f"</div{k}>")
+        out.append("<footer>Imprint</footer></body></html>")
+        pages.append((1000 * number + page, f"https://h{number}.org/{page}", "".join(out), slots))
+    return pages
+
+
+def test_wrappers_find_the_slots_of_made_templates(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    for number in range(12):
+        rows += site(rng, number, rng.randint(5, 60))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(5)
+    want = {r[0]: r[3] for r in rows}
+    for portion in (256, 3):  # wrappers of portions are merged
+        monkeypatch.setattr(wrappers, "FORMS_PORTION", portion)
+        got = {r["page_id"]: r["slots"] for r in wrappers.extract(df).collect()}
+        texts = lambda of: [of[i] for i in sorted(want)]
+        assert texts(got) == texts(want)
+
+
+def test_a_common_part_of_pages_of_different_forms_is_template(spark):
+    pages = [(i, f"http://h/{i}", f"<h1>T{i}</h1>" + "".join(f"<i{j}>x{i}{j}</i{j}>" for j in range(i)) + "<p>Imprint</p>") for i in range(4)]
+    learned, _ = wrappers.wrappers(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert learned.count() == 1
+    got = {r["page_id"]: r["slots"] for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: [f"T{i}"] + [f"x{i}{j}" for j in range(i)] for i in range(4)}
+
+
 def test_toxicity_held_out(spark, awkward, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
