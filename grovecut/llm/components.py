@@ -61,11 +61,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round is two groupings by node; their number grows with the logarithm of the largest component.
     """
     start = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = start.select("u").union(start.select("v")).distinct()
     first = start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     if dict(start.dtypes)["u"] == "bigint":
         first = first.mapInArrow(_contract, "u long, v long")
-    now, last = cut(first.distinct()), None
+    first = cut(first.distinct())
+    nodes = first.select("u").union(first.select("v")).union(start.where("u = v").select("u")).distinct()
+    now, last = first, None
     for _ in count():
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

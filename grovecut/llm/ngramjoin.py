@@ -11,7 +11,7 @@ are kept apart by their number, so a chance match can only add to a pair's count
 An owner sends each list of documents with a gram on to where the lists of the same least document go, so that what
 pairs of a large group share is counted in few places; the counts are summed and pairs that share enough become
 candidates. Candidates' whole sets are then brought together, once for
-each group of documents that have candidates in common, and compared exactly. There is no cap on lists or partners.
+each group of documents that candidates connect, and compared exactly. There is no cap on lists or partners.
 Which documents have candidates is told to the scan by a Bloom filter of fixed size; what it lets through in vain the
 join by name drops.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, fresh, table, tidy_batches, tidy_group
+from .common import BROADCAST_ROWS, cut, fresh, small, table, tidy_batches, tidy_group
 from .components import components
 from .text import chunks, grams, mix, words
 
@@ -248,24 +248,21 @@ def _pairs(jaccard: float):
         need = np.ceil(jaccard * size - 1e-9).astype(np.int64)
         doc, length = inverse[np.concatenate(docs)], np.concatenate(lengths)
         start = np.cumsum(length) - length
-        keys, counts, labels = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         held = 0
 
         def merge():
             nonlocal held
             u, inv = np.unique(np.concatenate(keys), return_inverse=True)
             c = np.bincount(inv, np.concatenate(counts), len(u)).astype(np.int64)
-            least = np.full(len(u), len(name), np.int64)
-            np.minimum.at(least, inv, np.concatenate(labels))
-            keys[:], counts[:], labels[:] = [u], [c], [least]
+            keys[:], counts[:] = [u], [c]
             held = 0
 
-        def add(a: np.ndarray, b: np.ndarray, c: np.ndarray, label: np.ndarray):
+        def add(a: np.ndarray, b: np.ndarray, c: np.ndarray):
             nonlocal held
             fine = (a != b) & (np.minimum(size[a], size[b]) >= jaccard * np.maximum(size[a], size[b]) - 1e-9)
             keys.append(a[fine] * len(name) + b[fine])
             counts.append(c[fine])
-            labels.append(label[fine])
             held += len(keys[-1])
             if held > 1_000_000:
                 merge()
@@ -277,7 +274,7 @@ def _pairs(jaccard: float):
             for i in range(0, len(lists), step):
                 here = lists[i : i + step, None]
                 p, q = doc[(here + x).ravel()], doc[(here + y).ravel()]
-                add(np.minimum(p, q), np.maximum(p, q), np.ones(len(p), np.int64), np.repeat(doc[here + np.arange(m)].min(1), len(x)))
+                add(np.minimum(p, q), np.maximum(p, q), np.ones(len(p), np.int64))
         long = np.flatnonzero(length > LONG_LIST)
         label = np.minimum.reduceat(doc, start)[long] if len(long) else long
         order = np.argsort(label, kind="stable")
@@ -299,14 +296,14 @@ def _pairs(jaccard: float):
                     a, b = np.nonzero(shared)
                     up = a + i < b + j
                     a, b = a[up], b[up]
-                    add(who[a + i], who[b + j], shared[a, b].astype(np.int64), np.full(len(a), who[0]))
+                    add(who[a + i], who[b + j], shared[a, b].astype(np.int64))
         merge()
-        k, c, label = keys[0], counts[0], labels[0]
+        k, c = keys[0], counts[0]
         a, b = k // max(1, len(name)), k % max(1, len(name))
         l = np.minimum(ls[a], ls[b])  # noqa: E741
         # What isn't within both prefixes lies behind the prefix of one of the two: that leaves need - l grams at most.
         least = np.ceil(jaccard / (1 + jaccard) * (size[a] + size[b]) - 1e-9).astype(np.int64) - np.maximum(need[a], need[b]) + l
-        return pa.table({"a": name[a], "b": name[b], "n": c.astype(np.int32), "l": np.maximum(l, least).astype(np.int32), "label": name[label]})
+        return pa.table({"a": name[a], "b": name[b], "n": c.astype(np.int32), "l": np.maximum(l, least).astype(np.int32)})
 
     return run
 
@@ -410,15 +407,20 @@ def set_pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col:
     texts = rows.select("text")
     sent = texts.mapInArrow(tidy_batches(_prefixes(n, jaccard, owners, shared)), "owner int, grams binary, each binary, name binary, size binary, l binary")
     lists = sent.groupBy("owner").applyInArrow(tidy_group(_lists(owners)), "task int, docs binary, length binary, name binary, size binary, l binary")
-    counted = lists.groupBy("task").applyInArrow(tidy_group(_pairs(jaccard)), "a long, b long, n int, l int, label long")
-    # A pair goes to the block of the least document with which it shares a gram, a block of many sets to squares of it.
-    candidates = counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("l").alias("l"), F.min("label").alias("label"))
-    pairs = cut(candidates.where("n >= l").select("a", "b", "label"))
-    members = pairs.select("label", F.col("a").alias("v")).union(pairs.select("label", F.col("b").alias("v"))).distinct()
-    cuts = members.groupBy("label").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("k"))
+    counted = lists.groupBy("task").applyInArrow(tidy_group(_pairs(jaccard)), "a long, b long, n int, l int")
+    candidates = counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("l").alias("l"))
+    pairs = cut(candidates.where("n >= l").select("a", "b"))
+    # Sets that candidates connect are a block, to which each is sent once; a block of many sets is cut into squares.
+    linked = cut(components(pairs))
+    cuts = linked.groupBy("root").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("k"))
+    nodes = cut(linked.join(cuts, "root").select("node", F.col("root").alias("label"), "k"))
     side = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.col("k")).cast("int")
-    placed = pairs.join(cuts, "label").select("a", "b", "label", F.least(side(F.col("a")), side(F.col("b"))).alias("x"), F.greatest(side(F.col("a")), side(F.col("b"))).alias("y"))
-    asked = cut(placed.select("label", "x", "y", F.col("a").alias("name")).union(placed.select("label", "x", "y", F.col("b").alias("name"))).distinct())
+    of_a = nodes.select(F.col("node").alias("a"), "label", "k")
+    placed = pairs.join(small(of_a, broadcast_rows), "a").select("a", "b", "label", "k", F.least(side(F.col("a")), side(F.col("b"))).alias("x"), F.greatest(side(F.col("a")), side(F.col("b"))).alias("y"))
+    whole_ = nodes.where("k = 1").select("label", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("node").alias("name"))
+    parts = placed.where("k > 1")
+    squares = parts.select("label", "x", "y", F.col("a").alias("name")).union(parts.select("label", "x", "y", F.col("b").alias("name"))).distinct()
+    asked = cut(whole_.union(squares))
     n_asked = asked.count()
     wanted = spark.sparkContext.broadcast(bloom(asked))
     whole = texts.mapInArrow(tidy_batches(_chosen(n, wanted)), "name long, grams binary")
