@@ -1,13 +1,21 @@
 """Toxic documents by Levenshtein automata over a lexicon trie, with context that tells quotation from abuse.
 
-The lexicon is learned from labelled documents: word beginnings and words that occur nearly only in toxic ones, each as
-long as its support allows. Whole words are matched with edits (see edits()), beginnings exactly. The Levenshtein
-automata of all terms are intersected with the trie into one deterministic automaton, whose states are built as words
-reach them; it runs over all words of a batch at once, one character a step, in numpy.
-
-A hit's score is its term's weight, less for edits, less within quotation marks or near a word of reporting, more next
-to the second person or other hits. A document's score is that of its worst hit, so that a text may quote much.
-Null and empty texts have no hits and score 0.
+The lexicon is a seed and what is learned from labelled documents: word beginnings (3 to 9 letters) and words that occur
+nearly only in toxic ones, each as long as its support allows. Every term, seed or learned, word or beginning, is matched
+with as many edits as its length allows (see edits()), the first letter included; terms of fewer than 5 letters exactly, and
+so are learned terms whose near words are found in clean labelled documents (see fit()).
+The Levenshtein automata of all terms are intersected with the trie into one deterministic automaton, whose states are
+built as words reach them; it runs over all words of a batch at once, one character a step, in numpy. Words that look like
+misspellings of a term but occur in clean labelled documents as often as in toxic ones are left alone.
+
+A hit's score is its term's weight, less for edits, less within quotation marks (QUOTE_WORDS apart at most) or near a word
+of reporting, more next to the second person or other hits. A document's score is that of its worst hit, so that a text may
+quote much.
+
+Null and empty texts have no hits and score 0. Very long texts are read whole. Repeated rows and rows without an id are
+scored each; of several labels of one id the highest counts. Of several terms a word matches the one with the fewest edits,
+then the first in the alphabet. Without labels the lexicon is the seed. An empty table gives an empty result. Other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -32,16 +40,21 @@ MAX_LABELLED = 6000
 PURITY, SUPPORT, KEEP = 0.85, 4, 0.9
 #: The chance that a term which says nothing gets in; divided by the number of features it is the level of the test.
 CHANCE = 0.01
-#: Terms of at least this weight are matched with edits.
-FUZZY = 0.95
 #: Occurrences in a document that count as a sign of their own: some beginnings are toxic only where they pile up.
 PILE = 3
 #: Documents from this score on are toxic.
 THRESHOLD = 0.5
 #: Words on either side of a hit that count as its context.
 WINDOW = 8
-
-SEED = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting")
+#: Words between two quotation marks up to which they are a pair.
+QUOTE_WORDS = 40
+
+SEED = tuple(
+    "idiot moron stupid loser scum worthless pathetic disgusting imbecile "
+    "trottel arschloch abschaum versager wertlos erbärmlich widerlich schwachkopf "
+    "idiota estúpido estúpida imbécil escoria patético asqueroso "
+    "crétin imbécile pathétique dégoûtant abruti".split()
+)
 REPORTING = frozenset("said says say called calls call calling quoted quote quotes wrote writes word words term insult insulted slur sagte sagt nannte schrieb wort dit disait appelé écrit mot dijo dice llamó escribió palabra".split())
 SECOND = frozenset("you your yours u du dich dir dein deine ihr euch tu toi vous votre ton tú te usted tus".split())
 MARKS = frozenset('"“”„«»')
@@ -52,7 +65,7 @@ _ALNUM = np.array([chr(i).isalnum() for i in range(0x10000)])
 
 
 def edits(term: str) -> int:
-    """Edits within which a word counts as a misspelling of term; the first letter must be right."""
+    """Edits within which a word counts as a misspelling of term."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
@@ -60,6 +73,7 @@ class Automaton:
     """The Levenshtein automata of the terms intersected with their trie, determinised on demand.
 
     terms: (text, is a beginning, edits allowed). State 0 is dead, 1 the start. accept[state] is (term number, edits) or None.
+    A state is the nodes that may have been reached, with their edits, and the best beginning (edits, term) so far.
     """
 
     def __init__(self, terms: Iterable[tuple[str, bool, int]]) -> None:
@@ -67,8 +81,9 @@ class Automaton:
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.most: list[int] = [0]
-        for number, (term, beginning, within) in enumerate(self.terms):
-            node, most = 0, 0 if beginning else within
+        for number, (term, _, most) in enumerate(self.terms):
+            node = 0
+            self.most[0] = max(self.most[0], most)
             for c in map(ord, term):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
@@ -84,11 +99,12 @@ class Automaton:
             if c < 0x10000:
                 self.symbol[c] = k + 1
         self.chars = [-1, *symbols]
-        self.number: dict = {frozenset(): 0, frozenset({(0, 0)}): 1}
-        self.sets: list = [frozenset(), frozenset({(0, 0)})]
-        self.accept: list = [None, None]
+        self.number: dict = {(frozenset(), None): 0}
+        self.sets: list = [(frozenset(), None)]
+        self.accept: list = [None]
         self.table = np.zeros((64, len(self.chars)), np.int32) - 1
         self.table[0] = 0
+        self._state(self._closed({0: 0}), None)
 
     def _closed(self, states: dict[int, int]) -> dict[int, int]:
         """With the characters that the word may lack."""
@@ -103,30 +119,28 @@ class Automaton:
         return states
 
     def _step(self, state: int, symbol: int) -> int:
-        kept = self.sets[state]
-        if isinstance(kept, tuple):  # a beginning that matched: nothing else matters
-            return state
+        kept, begun = self.sets[state]
         char, out = self.chars[symbol], {}
         for node, e in kept:
             for c, child in self.children[node].items():
                 cost = e + (c != char)
-                if (c == char or node) and cost <= self.most[child] and cost < out.get(child, 99):
+                if cost <= self.most[child] and cost < out.get(child, 99):
                     out[child] = cost
-            if node and e < self.most[node] and e + 1 < out.get(node, 99):
+            if e < self.most[node] and e + 1 < out.get(node, 99):
                 out[node] = e + 1
-        for node, e in out.items():
-            for t in self.ends[node]:
-                if e == 0 and self.terms[t][1]:
-                    return self._state(("begins", t), (t, 0))
-        out = self._closed(out)
-        best = min(((e, t) for node, e in out.items() for t in self.ends[node] if not self.terms[t][1] and e <= self.terms[t][2]), default=None)
-        return self._state(frozenset(out.items()), best and (best[1], best[0]))
-
-    def _state(self, key, accept) -> int:
+        return self._state(self._closed(out), begun)
+
+    def _state(self, out: dict[int, int], begun: tuple[int, int] | None) -> int:
+        met = [(e, t) for node, e in out.items() for t in self.ends[node] if e <= self.terms[t][2]]
+        begun = min([m for m in met if self.terms[m[1]][1]] + [begun] * (begun is not None), default=None)
+        if begun is not None:  # what can't be better any more is left out
+            out = {node: e for node, e in out.items() if e <= begun[0]}
+        key = frozenset(out.items()), begun
         if key not in self.number:
+            best = min([m for m in met if not self.terms[m[1]][1]] + [begun] * (begun is not None), default=None)
             self.number[key] = len(self.sets)
             self.sets.append(key)
-            self.accept.append(accept)
+            self.accept.append(best and (best[1], best[0]))
             if len(self.sets) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table) - 1])
         return self.number[key]
@@ -157,16 +171,16 @@ class Automaton:
 class Model:
     """A lexicon with weights, words that look like misspellings but aren't, and the scoring of documents."""
 
-    def __init__(self, terms: Iterable[tuple[str, bool, float, int]], not_these: Iterable[str] = ()) -> None:
-        self.terms = sorted(terms)
+    def __init__(self, terms: Iterable[tuple], not_these: Iterable[str] = ()) -> None:
+        """terms: (text, is a beginning, weight, least occurrences) and, unless as edits() says, the edits allowed."""
+        self.terms = sorted((*t[:4], t[4] if len(t) > 4 else edits(t[0])) for t in terms)
         self.not_these = frozenset(not_these)
 
     def key(self) -> tuple:
         return tuple(self.terms), self.not_these
 
-    def scores(self, column: pa.Array, automaton: Automaton) -> list[tuple[int, float, int, int, list[str]]]:
-        """(row, score, hits, quoted hits, words) of rows with hits."""
-        out = []
+    def hits(self, column: pa.Array, automaton: Automaton) -> Iterable[tuple]:
+        """(row, its text, where it begins, its first and last word, all words' starts and ends, hits, words by number) of rows with hits, before any are left out."""
         for first, part in chunks(column, CHUNK_BYTES):
             texts = [t or "" for t in part.to_pylist()]
             codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
@@ -183,11 +197,17 @@ class Model:
             owner = np.searchsorted(bounds, start[[w for w, _, _ in hits]], "right") - 1 if hits else ()
             for (w, term, e), row in zip(hits, owner):
                 rows.setdefault(int(row), []).append((w, term, e))
-            say = lambda w: codes[start[w] : end[w]].tobytes().decode("utf-32-le")
+            say = lambda w: codes[start[w] : end[w]].tobytes().decode("utf-32-le")  # noqa: B023, E731
             for row, found in rows.items():
-                if e := [h for h in found if h[2] == 0 or say(h[0]) not in self.not_these]:
-                    a, b = np.searchsorted(start, bounds[row : row + 2])
-                    out.append((first + row, *self._document(texts[row], int(bounds[row]), int(a), int(b), start, end, e, say)))
+                a, b = np.searchsorted(start, bounds[row : row + 2])
+                yield first + row, texts[row], int(bounds[row]), int(a), int(b), start, end, found, say
+
+    def scores(self, column: pa.Array, automaton: Automaton) -> list[tuple[int, float, int, int, list[str]]]:
+        """(row, score, hits, quoted hits, words) of rows with hits."""
+        out = []
+        for row, text, begin, a, b, start, end, found, say in self.hits(column, automaton):
+            if left := [h for h in found if h[2] == 0 or say(h[0]) not in self.not_these]:
+                out.append((row, *self._document(text, begin, a, b, start, end, left, say)))
         return out
 
     def _document(self, text, begin, a, b, start, end, found, say) -> tuple[float, int, int, list[str]]:
@@ -197,7 +217,7 @@ class Model:
             i, j = int(start[w]) - begin, int(end[w]) - begin
             k = bisect.bisect_left(marks, i)
             inside = k % 2 == 1 and k < len(marks)  # an opened mark that closes
-            inside = inside and j <= marks[k] and np.searchsorted(start, begin + marks[k]) - np.searchsorted(start, begin + marks[k - 1]) <= 5 * WINDOW
+            inside = inside and j <= marks[k] and np.searchsorted(start, begin + marks[k]) - np.searchsorted(start, begin + marks[k - 1]) <= QUOTE_WORDS
             quoted.append(bool(inside))
         score, often = 0.0, Counter(t for (_, t, _), q in zip(found, quoted) if not q)
         for (w, term, e), q in zip(found, quoted):
@@ -223,7 +243,7 @@ def _automaton(model: Model) -> Automaton:
     """One a worker and lexicon."""
     if model.key() not in _KEPT:
         _KEPT.clear()
-        _KEPT[model.key()] = Automaton((t, b, edits(t) if w >= FUZZY else 0) for t, b, w, _ in model.terms)
+        _KEPT[model.key()] = Automaton((t, b, e) for t, b, _, _, e in model.terms)
     return _KEPT[model.key()]
 
 
@@ -294,28 +314,39 @@ def with_seed(terms: list[tuple[str, bool, float, int]], seed: Iterable[str]) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", seed: Iterable[str] = SEED) -> Model:
-    """A model from at most max_labelled labelled rows, whose ids have the least hashes. Rows without a label or an id don't count."""
-    chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "toxic").limit(max_labelled)
+    """A model from at most max_labelled labelled rows, whose ids have the least hashes. Rows without a label or an id don't count.
+
+    A learned term that is met with edits in a clean labelled document is matched exactly from then on; as its words may then be near another term, this is done until no term is left to change.
+    """
+    seed = list(dict.fromkeys(seed))
+    chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     known = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")))
     sums = known.mapInArrow(tidy_batches(_features), "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= SUPPORT)
     share = known.agg(F.avg("toxic")).head()[0] or 0.0
     terms = choose({r["feature"]: (r["a"], r["b"]) for r in sums.toLocalIterator()}, min(max(share, 1e-6), 1 - 1e-6))
-    terms = with_seed(terms, seed)
-    model = Model(terms)
+    model, given = Model(with_seed(terms, seed)), set(seed)
+    while True:
+        near = known.mapInArrow(_near(model), "w string, t int, a long, b long").groupBy("w", "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("b > 0").collect()
+        strict = {r["t"] for r in near if r["w"] is None and model.terms[r["t"]][0] not in given}
+        if not strict:
+            return Model(model.terms, [r["w"] for r in near if r["w"] is not None and r["b"] >= r["a"]])
+        model = Model((*t[:4], 0 if k in strict else t[4]) for k, t in enumerate(model.terms))
+
 
-    def fuzzy(batches):
+def _near(model: Model):
+    """Documents, toxic and not, that hold a word with edits (w) of a term (t), and one of the term's words (w null)."""
+
+    def run(batches):
         automaton = _automaton(model)
         found: tuple[Counter, Counter] = Counter(), Counter()
-        exact = {t for t, *_ in model.terms}
         for batch in batches:
             toxic = batch.column("toxic").to_pylist()
-            for row, _, _, _, words in model.scores(batch.column("text"), automaton):
-                found[toxic[row]].update(w for w in words if w not in exact)
-        keys = sorted({*found[0], *found[1]})
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[1][k] for k in keys], pa.int64()), pa.array([found[0][k] for k in keys], pa.int64())], ["w", "a", "b"])
+            for row, *_, hits, say in model.hits(batch.column("text"), automaton):
+                found[toxic[row]].update({(say(w), t) for w, t, e in hits if e} | {(None, t) for _, t, e in hits if e})
+        keys = sorted({*found[0], *found[1]}, key=str)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[1][k] for k in keys], pa.int64()), pa.array([found[0][k] for k in keys], pa.int64())], ["w", "t", "a", "b"])
 
-    clean = known.mapInArrow(fuzzy, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("b > 0 AND b >= a").collect()
-    return Model(terms, [r["w"] for r in clean])
+    return run
 
 
 def _score(model: Model):

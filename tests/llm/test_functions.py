@@ -103,9 +103,19 @@ def distance(a, b):
     return row[-1]
 
 
+def best_term(word, terms):
+    """(edits, term) of the best of terms (text, is a beginning, edits allowed) for a word, or None."""
+    found = []
+    for k, (t, beginning, most) in enumerate(terms):
+        e = min(distance(word[:n], t) for n in (range(len(word) + 1) if beginning else [len(word)]))
+        if e <= most:
+            found.append((e, k))
+    return min(found, default=None)
+
+
 def test_automaton_is_the_edit_distance():
-    terms = [("moron", False, 1), ("morose", False, 1), ("worthless", False, 2), ("abc", False, 0), ("stem", True, 0)]
-    rng, words = random.Random(3), ["oron", "stemming", "ste", "wrthles", "morons", "", "abc", "abd"]
+    terms = [("moron", False, 1), ("morose", False, 1), ("worthless", False, 2), ("abc", False, 0), ("stem", True, 0), ("begin", True, 1), ("worst", True, 1)]
+    rng, words = random.Random(3), ["oron", "stemming", "ste", "wrthles", "morons", "", "abc", "abd", "xmoron", "1oron", "moro", "beging", "bgins", "ebegin", "worstless", "wort"]
     for t, *_ in terms:
         for _ in range(300):
             w = list(t)
@@ -116,16 +126,9 @@ def test_automaton_is_the_edit_distance():
     words = [w for w in words if w]
     codes = np.array([ord(c) for w in words for c in w], np.uint32)
     end = np.cumsum([len(w) for w in words])
-    found = {w: (t, e) for w, t, e in toxicity.Automaton(terms).run(codes, end - [len(w) for w in words], end)}
+    found = {w: (e, t) for w, t, e in toxicity.Automaton(terms).run(codes, end - [len(w) for w in words], end)}
     for i, w in enumerate(words):
-        if w.startswith("stem"):
-            assert found[i] == (4, 0)
-            continue
-        # the first letter must match and is matched before any edit
-        ok = [(distance(w[1:], t[1:]), k) for k, (t, b, m) in enumerate(terms) if not b and w[0] == t[0] and distance(w[1:], t[1:]) <= m]
-        assert (found.get(i) is None) == (not ok), w
-        if ok:
-            assert found[i] == (min(ok)[1], min(ok)[0])
+        assert found.get(i) == best_term(w, terms), w
 
 
 def test_quotation_is_not_abuse():
@@ -133,6 +136,14 @@ def test_quotation_is_not_abuse():
     score = lambda t: next((s for _, s, *_ in m.scores(pa.array([t]), toxicity._automaton(m))), 0.0)
     assert score("you are an idiot") >= toxicity.THRESHOLD and score("what an idoit idi0t") >= toxicity.THRESHOLD
     assert 0 < score('he said "that idiot" and left') < toxicity.THRESHOLD and score("all is fine") == 0.0
+    long = "fine words " * 40_000
+    assert score(long) == 0.0 and score(long + "you idiot " + long) >= toxicity.THRESHOLD
+
+
+@pytest.mark.parametrize("word", ["1diot", "xdiot", "diot", "5tupid", "stupd", "worthles", "orthless", "disgustng", "widerlch", "estupido"])
+def test_misspelled_anywhere(word):
+    m = toxicity.Model(toxicity.with_seed([("idiot", False, 0.83, 1)], toxicity.SEED))
+    assert [s >= toxicity.THRESHOLD for _, s, *_ in m.scores(pa.array([f"what a {word} here"]), toxicity._automaton(m))] == [True]
 
 
 def test_a_learned_beginning_leaves_the_seed_its_edits():
