@@ -1,177 +1,54 @@
-"""Trees of one sentence: enumeration, query matching and rendering. Plain Python, called for batches of sentences.
-
-A sentence is given as parallel lists; nodes are numbered 0 .. n-1 in surface order. A match is (head, set of nodes).
-"""
+"""Rendering of one tree: its key, its heads-first key and its links. Nodes are columns, each after its head (see forest)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from itertools import product
+from collections.abc import Sequence
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@dataclass
-class Sentence:
-    """A forest over tokens: head[i] is the index of i's head, -1 for a root, -2 for a token that isn't attached."""
-
-    head: list[int]
-    deprel: list[str]
-    token: list
-
-    def __post_init__(self) -> None:
-        self.kids: list[list[int]] = [[] for _ in self.head]
-        for i, h in enumerate(self.head):
-            if 0 <= h < len(self.head):
-                self.kids[h].append(i)
-        self.order: list[int] = []  # heads after their dependents, siblings in surface order
-        seen = set()
-        for root in (i for i, h in enumerate(self.head) if h == -1):
-            stack = [(root, False)]
-            while stack:
-                node, done = stack.pop()
-                if done:
-                    self.order.append(node)
-                elif node not in seen:
-                    seen.add(node)
-                    stack.append((node, True))
-                    stack += [(k, False) for k in reversed(self.kids[node])]
-
-
-def complete(s: Sentence, most: int, allowed: frozenset[str] | None) -> Iterator[tuple[int, frozenset[int]]]:
-    """Each node with all its descendants, if they are at most `most` and, labels being restricted, all edges below it are allowed."""
-    whole: dict[int, frozenset[int] | None] = {}
-    for v in s.order:
-        nodes: frozenset[int] | None = frozenset([v])
-        for k in s.kids[v]:
-            below = whole.get(k)
-            if nodes is None or below is None or (allowed is not None and s.deprel[k] not in allowed) or len(nodes) + len(below) > most:
-                nodes = None
-                break
-            nodes = nodes | below
-        whole[v] = nodes
-        if nodes is not None:
-            yield v, nodes
-
-
-def partial(s: Sentence, most: int, allowed: frozenset[str] | None) -> Iterator[tuple[int, frozenset[int]]]:
-    """Each connected set of at most `most` nodes, under its head."""
-    held: dict[int, list[frozenset[int]]] = {}
-    for v in s.order:
-        sets = [frozenset([v])]
-        for k in s.kids[v]:
-            if allowed is None or s.deprel[k] in allowed:
-                sets += [a | b for a in sets for b in held[k] if len(a) + len(b) <= most]
-        held[v] = sets
-        for nodes in sorted(sets, key=sorted):
-            yield v, nodes
-
-
-@dataclass(frozen=True)
-class Pattern:
-    """A node of a query: a test of a token with its incoming label, and dependents in any order."""
-
-    test: Callable[[dict, str], bool]
-    kids: tuple["Pattern", ...] = ()
-
-    def size(self) -> int:
-        return 1 + sum(k.size() for k in self.kids)
-
-
-def matches(s: Sentence, pattern: Pattern, exact: bool, allowed: frozenset[str] | None) -> Iterator[tuple[int, frozenset[int]]]:
-    """Each set of nodes that the pattern covers with distinct dependents for distinct query nodes; exact: with no others."""
-    memo: dict[tuple[int, int], frozenset[frozenset[int]]] = {}
-
-    def at(v: int, q: Pattern) -> frozenset[frozenset[int]]:
-        key = (v, id(q))
-        if key not in memo:
-            memo[key] = frozenset(_at(v, q))
-        return memo[key]
-
-    def _at(v: int, q: Pattern) -> Iterator[frozenset[int]]:
-        kids = s.kids[v]
-        if len(kids) < len(q.kids) or (exact and len(kids) != len(q.kids)) or not q.test(s.token[v], s.deprel[v]):
-            return
-        if not q.kids:
-            yield frozenset([v])
-            return
-        options = [[(k, sets) for k in kids if (allowed is None or s.deprel[k] in allowed) and (sets := at(k, c))] for c in q.kids]
-
-        def assign(i: int, used: frozenset[int], nodes: frozenset[int]) -> Iterator[frozenset[int]]:
-            if i == len(options):
-                yield nodes
-                return
-            for k, sets in options[i]:
-                if k not in used:
-                    for more in sets:
-                        yield from assign(i + 1, used | {k}, nodes | more)
-
-        yield from assign(0, frozenset(), frozenset([v]))
-
-    for v in s.order:
-        for nodes in sorted(at(v, pattern), key=sorted):
-            yield v, nodes
-
-
-def without(s: Sentence, head: int, nodes: frozenset[int], ignored: frozenset[str]) -> frozenset[int]:
-    """The match without dependents of ignored labels and what hangs on them."""
-    if not ignored:
-        return nodes
-    kept, stack = set(), [head]
-    while stack:
-        v = stack.pop()
-        kept.add(v)
-        stack += [k for k in s.kids[v] if k in nodes and s.deprel[k] not in ignored]
-    return frozenset(kept)
-
-
-@dataclass
-class Rendered:
-    key: str
-    nodes: list[int]
-    key_sorted: str
-    before: list[int]
-    links: list[tuple[int, int]]
-
+def dependents(above: Sequence[int]) -> list[list[int]]:
+    """Each node's dependents; above has the head of each node, for the first one anything."""
+    out: list[list[int]] = [[] for _ in above]
+    for j in range(1, len(above)):
+        out[above[j]].append(j)
+    return out
 
-def render(s: Sentence, head: int, nodes: frozenset[int], names: list[str], fixed: bool, labeled: bool) -> Rendered:
-    """The key of a match, its nodes in the key's order, the heads-first key, the nodes head first and the links."""
-    links: list[tuple[int, int]] = []
-    before: list[int] = []
 
-    def part(v: int) -> tuple[str, list[int]]:
-        before.append(v)
-        kids = [k for k in s.kids[v] if k in nodes]
-        if not kids:
-            return names[v], [v]
-        links.extend((v, k) for k in kids)
-        parts = [(part(k), s.deprel[k], k) for k in kids]
-        if not fixed:
-            parts.sort(key=lambda p: (p[0][0], p[1], p[2]))
+def render(names: Sequence[str], rels: Sequence[str], kids: list[list[int]], places: Sequence[int], fixed: bool, labeled: bool) -> tuple[str, list[int]]:
+    """The key of a tree and its nodes in the key's order. Without fixed order dependents are sorted by key, then label."""
+    key, under = list(names), [[j] for j in range(len(names))]
+    for j in range(len(names) - 1, -1, -1):
+        if not kids[j]:
+            continue
         left, right, a, b = [], [], [], []
-        for (key, under), rel, k in parts:
-            rel = rel if labeled else ""
-            if fixed and k < v:
-                left.append(f"{key} <{rel} ")
-                a += under
+        for i in kids[j] if fixed else sorted(kids[j], key=lambda i: (key[i], rels[i], i)):
+            rel = rels[i] if labeled else ""
+            if fixed and places[i] < places[j]:
+                left.append(f"{key[i]} <{rel} ")
+                a += under[i]
             else:
-                right.append(f" >{rel} {key}")
-                b += under
-        return "(" + "".join(left) + names[v] + "".join(right) + ")", [*a, v, *b]
+                right.append(f" >{rel} {key[i]}")
+                b += under[i]
+        key[j] = "(" + "".join(left) + names[j] + "".join(right) + ")"
+        under[j] = [*a, j, *b]
+    return key[0], under[0]
+
+
+def heads_first(names: Sequence[str], rels: Sequence[str], kids: list[list[int]], labeled: bool) -> str:
+    """The key with heads before their dependents, which are sorted by name; of equal names the earlier word comes first."""
+    out = list(names)
+    for j in range(len(names) - 1, -1, -1):
+        if kids[j]:
+            out[j] = "(" + names[j] + "".join(f" >{rels[i] if labeled else ''} {out[i]}" for i in sorted(kids[j], key=lambda i: names[i])) + ")"
+    return out[0][1:-1] if len(names) > 1 else out[0]
 
-    def heads(v: int) -> str:
-        kids = sorted((k for k in s.kids[v] if k in nodes), key=lambda k: (names[k], s.deprel[k], heads(k)))
-        if not kids:
-            return names[v]
-        return "(" + names[v] + "".join(f" >{s.deprel[k] if labeled else ''} {heads(k)}" for k in kids) + ")"
 
-    key, nodes_ = part(head)
-    sorted_key = heads(head)
-    return Rendered(key, nodes_, sorted_key[1:-1] if len(nodes_) > 1 else sorted_key, before, links)
+def links(kids: list[list[int]]) -> list[tuple[int, int]]:
+    return [(j, i) for j, own in enumerate(kids) for i in own]
 
 
-def letters(places: list[int]) -> str:
+def letters(places: Sequence[int]) -> str:
     """A for the first of the places in the text, B for the next, in the given order."""
     rank = {p: i for i, p in enumerate(sorted(places))}
     return "".join(LETTERS[rank[p] % 26] for p in places)
@@ -180,14 +57,3 @@ def letters(places: list[int]) -> str:
 def label(k: int) -> str:
     """A .. Z, A1 .. Z1, ..."""
     return LETTERS[k % 26] + (str(k // 26) if k >= 26 else "")
-
-
-def brute_partial(s: Sentence, most: int) -> set[frozenset[int]]:
-    """For tests: every subset that is connected and reachable."""
-    n, out = len(s.head), set()
-    reach = set(s.order)
-    for bits in product((0, 1), repeat=n):
-        nodes = frozenset(i for i, b in enumerate(bits) if b)
-        if 0 < len(nodes) <= most and nodes <= reach and sum(1 for v in nodes if s.head[v] not in nodes) == 1:
-            out.add(nodes)
-    return out

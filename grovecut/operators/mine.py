@@ -1,43 +1,40 @@
 """Mining: sentences -> matches -> counts -> statistics -> ranked result.
 
-Trees never cross a sentence, so enumeration, filters and rendering are one narrow step over sentences in Arrow batches.
-A batch counts its own keys before anything is shuffled; the shuffle carries a key at most once a batch. What follows is
-plain aggregation and joins.
+Trees never cross a sentence, so enumeration and filters are one narrow step over sentences in Arrow batches, in numpy (see
+functions.forest). Matches are counted by the identity of their trees; only one of each kind a batch is rendered. What is
+shuffled is a row for each key and batch. What follows is plain aggregation and joins. Unigrams and the size of the corpus
+come out of the same pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.trees import Pattern, Sentence, complete, letters, matches, partial, render, without
+from ..functions.forest import Forest, first_of_each, identity, linked, ties
+from ..functions.trees import dependents, heads_first, letters, links, render
+from ..plans.query import QueryNode, Test
 from ..plans.spec import MineSpec
 
 #: Sentences with fewer tokens are good examples whatever their length.
 SHORT = 15
+#: Tokens whose sentences are handled at once, and matches that are identified at once.
+TOKENS, MATCHES = 300_000, 1_500_000
 
-_MATCH = "key string, key_raw string, order_letters string, words array<array<string>>, n int, head_name string, key_sorted string, grew_nodes array<int>, grew_links array<struct<a:int,b:int>>, grew_rels array<string>, sent_key long, n_tokens int, ord array<int>, locs array<int>"
 
-
-MATCH_COLUMNS = [c.split()[0] for c in _MATCH.split(", ")]
-
-
-def prepare(sentences: DataFrame, spec: MineSpec) -> DataFrame:
-    """Only the columns that the spec's names and tests read."""
-    names = set(spec.node_types)
+def prepare(sentences: DataFrame, spec: MineSpec, *more: str) -> DataFrame:
+    """Only the columns that the spec's names and tests read, as arrays, and those of more."""
+    names = {f"{t}_raw" if t == "feats" else t for t in spec.node_types}
     tests = [t for any_of in (spec.head_any_of, *_any_ofs(spec)) for tests in any_of for t in tests]
     names |= {"feats" if t.field.startswith("feats.") else t.field for t in tests}
-    names = {"feats_raw" if x == "feats" and "feats" in spec.node_types and not any(t.field.startswith("feats.") for t in tests) else x for x in names}
-    if "feats" in spec.node_types:
-        names.add("feats_raw")
     names.discard("deprel")
-    kept = lambda c: F.transform("toks", lambda t: t[c])
-    label = kept("deprel_full") if spec.label_subtypes else F.transform("toks", lambda t: F.substring_index(t["deprel_full"], ":", 1))
-    return sentences.select("sent_key", kept("id").alias("id"), kept("head").alias("head"), label.alias("deprel"), *[kept(c).alias(c) for c in sorted(names)])
+    return sentences.select("sent_key", *more, *[F.col(f"toks.{c}").alias(c) for c in ("id", "head", "deprel_full", *sorted(names))])
 
 
 def _any_ofs(spec: MineSpec):
@@ -48,123 +45,361 @@ def _any_ofs(spec: MineSpec):
         todo += q.kids
 
 
-def _linked(ids: list[int], heads: list[int | None]) -> list[int]:
-    """Places of heads: -1 for a root; from the first missing head on, and where the head isn't in the sentence, -2."""
-    place = {i: k for k, i in enumerate(ids)}
-    out, broken = [], False
-    for h in heads:
-        broken = broken or h is None
-        out.append(-2 if broken else -1 if h == 0 else place.get(h, -2))
-    return out
+def _coded(column: pa.Array) -> tuple[np.ndarray, list]:
+    """(code of each value, values by code)."""
+    coded = pc.dictionary_encode(column, null_encoding="encode")
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+class Sentences:
+    """A batch of sentences as a forest with names, labels and tests; all arrays but offsets and length are by preorder number."""
+
+    def __init__(self, table: pa.Table, spec: MineSpec) -> None:
+        self.spec = spec
+        self.table = table.combine_chunks()
+        self.flat = {c: self._flat(c) for c in table.column_names if c not in ("sent_key", "path")}
+        ids = self.flat["id"].to_numpy(zero_copy_only=False).astype(np.int64)
+        length = pc.list_value_length(self.table["id"]).to_numpy().astype(np.int64)
+        sent = np.repeat(np.arange(len(length)), length)
+        head = self.flat["head"]
+        parent = linked(sent, ids, pc.fill_null(head, -1).to_numpy(zero_copy_only=False).astype(np.int64), head.is_valid().to_numpy(zero_copy_only=False))
+        self.length, self.keys = length, self.table["sent_key"].to_numpy()
+        self.forest = Forest(sent, parent)
+        token = self.token = self.forest.token
+        begin = np.cumsum(length) - length
+        self.place = token - begin[sent[token]]  # in the sentence
+        order = np.argsort(self.keys, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ahead = np.zeros(len(order), np.int64)  # tokens of sentences with lesser keys
+        ahead[order] = np.cumsum(length[order]) - length[order]
+        self.at = ahead[self.forest.sent] + self.forest.post  # heads after their dependents, through the corpus
+        code, labels = _coded(self.flat["deprel_full"])
+        if not spec.label_subtypes:
+            labels = [x.split(":")[0] for x in labels]
+        self.labels = sorted(set(labels))
+        known = {x: k for k, x in enumerate(self.labels)}
+        self.rel = np.array([known[x] for x in labels], np.int64)[code][token] if len(code) else code
+        self.parts = []
+        for kind in spec.node_types:
+            if kind == "deprel":
+                self.parts.append((self.rel, self.labels))
+            else:
+                code, values = _coded(self.flat["feats_raw" if kind == "feats" else kind])
+                self.parts.append((code[token], values))
+        name = np.zeros(self.forest.n, np.int64)
+        for code, values in self.parts:
+            name = name * len(values) + code
+            if len(self.parts) > 1:
+                name = np.unique(name, return_inverse=True)[1]
+        self.name = name
+
+    def _flat(self, column: str) -> pa.Array:
+        whole = self.table[column]
+        if isinstance(whole, pa.ChunkedArray):
+            whole = whole.combine_chunks() if whole.num_chunks != 1 else whole.chunk(0)
+        return whole.flatten()
+
+    def words(self, node: int) -> list[str]:
+        return [values[code[node]] for code, values in self.parts] or ["_"]
+
+    def labelled(self, wanted: Iterable[str]) -> np.ndarray:
+        return np.isin(self.rel, [k for k, x in enumerate(self.labels) if x in wanted])
+
+    def holds(self, test: Test) -> np.ndarray:
+        if test.field == "deprel":
+            have = self.labelled([test.value])
+        elif test.field.startswith("feats."):
+            maps = self.flat["feats"]
+            offsets = np.asarray(maps.offsets)
+            hit = pc.and_(pc.equal(maps.keys, test.field[6:]), pc.equal(maps.items, test.value))
+            total = np.concatenate([[0], np.cumsum(pc.fill_null(hit, False).to_numpy(zero_copy_only=False))])
+            have = (total[offsets[1:]] > total[offsets[:-1]])[self.token]
+        else:
+            have = pc.fill_null(pc.equal(self.flat[test.field], test.value), False).to_numpy(zero_copy_only=False)[self.token]
+        return have != test.negated
+
+    def any_of(self, alternatives: tuple[tuple[Test, ...], ...]) -> np.ndarray:
+        out = np.zeros(self.forest.n, bool)
+        for tests in alternatives:
+            one = np.ones(self.forest.n, bool)
+            for t in tests:
+                one &= self.holds(t)
+            out |= one
+        return out
+
+    def found(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(all nodes, nodes left without ignored labels) of the matches that pass the filters, those of one size together."""
+        spec, f = self.spec, self.forest
+        allowed = self.labelled(spec.allowed_labels) if spec.allowed_labels else None
+        heads = np.flatnonzero(self.any_of(spec.head_any_of)) if spec.head_any_of else np.arange(f.n)
+        low, high, (least, most) = *spec.bounds, spec.size
+        if spec.query:
+            parents, nodes = _preorder(spec.query_tree)
+            each = f.matches(heads, parents, [self.any_of(q.any_of) for q in nodes], spec.complete, allowed)
+        else:
+            each = (f.complete if spec.complete else f.partial)(heads, max(1, low, least), min(high, most), allowed)
+        ignored = self.labelled(spec.ignored_labels) if spec.ignored_labels else None
+        for nodes in each:
+            if ignored is None:
+                yield nodes, nodes
+                continue
+            kept = f.without(nodes, ignored)
+            n = kept.sum(1)
+            for k in np.unique(n).tolist():
+                if not least or least <= k <= most:
+                    rows = n == k
+                    yield nodes[rows], nodes[rows][kept[rows]].reshape(-1, k)
+
+    def identified(self, ordered: bool) -> Iterator[tuple[list, tuple[np.ndarray, np.ndarray]]]:
+        """([(all nodes, nodes, heads' columns)], identity of the matches one after the other) for about MATCHES matches at a time."""
+        held, count = [], 0
+        for every, nodes in self.found():
+            held.append((every, nodes, self.forest.links(nodes)))
+            count += len(nodes)
+            if count > MATCHES:
+                yield held, self._identity(held, ordered)
+                held, count = [], 0
+        if held:
+            yield held, self._identity(held, ordered)
+
+    def _identity(self, held: list, ordered: bool) -> tuple[np.ndarray, np.ndarray]:
+        rel = self.rel if self.spec.labeled else np.zeros_like(self.rel)
+        one = [identity(self.name[n], rel[n], above, self.place[n], ordered) for _, n, above in held]
+        return np.concatenate([x for x, _ in one]), np.concatenate([y for _, y in one])
+
+    def tree(self, nodes: np.ndarray, above: np.ndarray) -> tuple[list[str], list[str], list[list[int]], list[int]]:
+        names = ["&".join(self.words(v)) for v in nodes.tolist()]
+        return names, [self.labels[r] for r in self.rel[nodes].tolist()], dependents(above.tolist()), self.place[nodes].tolist()
+
+
+def _preorder(query: QueryNode) -> tuple[list[int], list[QueryNode]]:
+    """(place of the head of each node, nodes) of a query, heads first."""
+    parents, nodes, todo = [], [], [(-1, query)]
+    while todo:
+        parent, q = todo.pop()
+        parents.append(parent)
+        nodes.append(q)
+        todo += [(len(nodes) - 1, k) for k in reversed(q.kids)]
+    return parents, nodes
 
 
-def found(s: Sentence, spec: MineSpec, pattern: Pattern | None) -> Iterator[tuple[int, frozenset[int], frozenset[int]]]:
-    """(head, all nodes, nodes left without ignored labels) of the matches that pass the filters, heads after their dependents."""
-    allowed = frozenset(spec.allowed_labels) or None
-    ignored = frozenset(spec.ignored_labels)
-    low, high = spec.bounds
-    least, most = spec.size
-    heads = spec.head_any_of
-    if pattern is not None:
-        each = matches(s, pattern, spec.complete, allowed)
-    elif spec.complete:
-        each = complete(s, min(high, most or high), allowed)
-    else:
-        each = partial(s, min(high, most or high), allowed)
-    for v, nodes in each:
-        if pattern is None and not (low <= len(nodes) <= high and least <= len(nodes) <= most):
+def _gathered(batches: Iterable[pa.RecordBatch], spec: MineSpec) -> Iterator[Sentences]:
+    held, tokens = [], 0
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        if heads and not any(all(t.holds(s.token[v], s.deprel[v]) for t in tests) for tests in heads):
-            continue
-        kept = without(s, v, nodes, ignored)
-        if ignored and least and not least <= len(kept) <= most:
-            continue
-        yield v, nodes, kept
-
-
-def _sentences(pdf: pd.DataFrame, spec: MineSpec) -> Iterator[tuple[int, Sentence, list[str], list[list[str]]]]:
-    columns = [c for c in pdf.columns if c not in ("sent_key", "id", "head")]
-    kinds = [("feats_raw" if t == "feats" else t) for t in spec.node_types]
-    for row in pdf.itertuples(index=False):
-        values = {c: list(getattr(row, c)) for c in columns}
-        n = len(values["deprel"])
-        tokens = [{c: values[c][i] for c in columns} for i in range(n)]
-        if "feats" in values:
-            for t in tokens:
-                t["feats"] = dict(t["feats"]) if t["feats"] is not None else {}
-        parts = [[t[k] for k in kinds] or ["_"] for t in tokens]
-        heads = [None if h is None or h != h else int(h) for h in row.head]
-        yield row.sent_key, Sentence(_linked(list(row.id), heads), values["deprel"], tokens), ["&".join(p) for p in parts], parts
-
-
-def _rows(pdf: pd.DataFrame, spec: MineSpec, pattern: Pattern | None) -> Iterator[tuple]:
-    for sent_key, s, names, parts in _sentences(pdf, spec):
-        post = {v: k for k, v in enumerate(s.order)}
-        for v, nodes, kept in found(s, spec, pattern):
-            r = render(s, v, kept, names, spec.fixed, spec.labeled)
-            order = letters(r.nodes)
-            place = {x: k for k, x in enumerate(r.before)}
-            yield (r.key + order if spec.fixed else r.key, r.key, order, [parts[x] for x in r.nodes], len(r.nodes), names[v], r.key_sorted, r.before, [{"a": place[a], "b": place[b]} for a, b in r.links], [s.deprel[b] for _, b in r.links], sent_key, len(s.head), [post[v], *sorted(nodes)], r.nodes)
+        held.append(batch)
+        tokens += pc.sum(pc.list_value_length(batch.column("id"))).as_py() or 0
+        if tokens >= TOKENS:
+            yield Sentences(pa.Table.from_batches(held), spec)
+            held, tokens = [], 0
+    if held:
+        yield Sentences(pa.Table.from_batches(held), spec)
+
+
+_PLACE = "struct<sent_key:long,n_tokens:int,ord:array<int>,locs:array<int>>"
+#: Columns of a key: always, and by what is asked for.
+_ALWAYS = "key string, number long, key_raw string, order_letters string, n int, head_name string"
+PARTS = {
+    "words": "words array<array<string>>",
+    "shape": "key_sorted string, grew_nodes array<int>, grew_links array<struct<a:int,b:int>>, grew_rels array<string>, first struct<sent:long,ord:array<int>>",
+    "exemplar": f"exemplar {_PLACE}",
+}
+_ARROW = {
+    "words": pa.list_(pa.list_(pa.string())),
+    "grew_nodes": pa.list_(pa.int32()),
+    "grew_links": pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])),
+    "grew_rels": pa.list_(pa.string()),
+    "first": pa.struct([("sent", pa.int64()), ("ord", pa.list_(pa.int32()))]),
+    "exemplar": pa.struct([("sent_key", pa.int64()), ("n_tokens", pa.int32()), ("ord", pa.list_(pa.int32())), ("locs", pa.list_(pa.int32()))]),
+    "number": pa.int64(),
+    "n": pa.int32(),
+}
+
+
+def _columns(schema: str) -> list[str]:
+    """Names of the columns of a schema whose nested types hold no blanks."""
+    return [c.split(" ")[0] for c in schema.split(", ")]
+
+
+def _arrow(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    names = _columns(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW.get(n, pa.string())) for n, c in zip(names, columns)], names)
+
+
+def _key_rows(s: Sentences, spec: MineSpec, parts: frozenset[str], schema: str) -> Iterator[pa.RecordBatch]:
+    """A row for each tree of the batch (or a part of it): number, rendering and what else is asked for."""
+    f = s.forest
+    for held, (a, b) in s.identified(spec.fixed):
+        begin = np.cumsum([0] + [len(n) for _, n, _ in held])
+        head = np.concatenate([n[:, 0] for _, n, _ in held])
+        length = s.length[f.sent[head]]
+        whole = bool(parts & {"shape", "exemplar"})
+        tie = ties([s.place[e] for e, _, _ in held], int(s.length.max())) if whole and (spec.query or not spec.complete) else np.zeros(len(head), np.int64)
+        order, start, best = first_of_each(a, b, np.where(length < SHORT, 0, length), s.at[head], tie)
+        number = np.diff(np.append(start, len(order)))
+        early = first_of_each(a, b, s.at[head], tie)[2] if "shape" in parts else best
+        rows = []
+
+        def ord_(x: int, g: int, i: int) -> list[int]:
+            return [int(f.post[head[x]]), *np.sort(s.place[held[g][0][i]]).tolist()]
+
+        group = np.searchsorted(begin, best, "right") - 1
+        for x, g, y, n in zip(best.tolist(), group.tolist(), early.tolist(), number.tolist()):
+            i = x - begin[g]
+            nodes, above = held[g][1][i], held[g][2][i]
+            names, rels, kids, places = s.tree(nodes, above)
+            raw, under = render(names, rels, kids, places, spec.fixed, spec.labeled)
+            locs = [places[j] for j in under]
+            letter = letters(locs)
+            row = [raw + letter if spec.fixed else raw, n, raw, letter, len(names), names[0]]
+            if "words" in parts:
+                row.append([s.words(int(nodes[j])) for j in under])
+            if "shape" in parts:
+                h = int(np.searchsorted(begin, y, "right") - 1)
+                if y != x:
+                    names, rels, kids, places = s.tree(held[h][1][y - begin[h]], held[h][2][y - begin[h]])
+                edges = links(kids)
+                row += [heads_first(names, rels, kids, spec.labeled), places, [{"a": p, "b": q} for p, q in edges], [rels[q] for _, q in edges], {"sent": int(s.keys[f.sent[head[y]]]), "ord": ord_(y, h, y - begin[h])}]
+            if "exemplar" in parts:
+                row.append({"sent_key": int(s.keys[f.sent[head[x]]]), "n_tokens": int(length[x]), "ord": ord_(x, g, i), "locs": locs})
+            rows.append(tuple(row))
+            if len(rows) >= 20_000:
+                yield _arrow(schema, rows)
+                rows = []
+        if rows:
+            yield _arrow(schema, rows)
+
+
+def _schema(parts: Iterable[str]) -> str:
+    return ", ".join([_ALWAYS, *(PARTS[p] for p in PARTS if p in parts)])
+
+
+def _merged(rows: DataFrame, parts: Iterable[str], *by: str) -> DataFrame:
+    """Batches' rows as one a key: numbers added, the exemplar the first match in a sentence of fewer than 15 tokens, else the first in a shortest one; the shape of the first match."""
+    names = ["key_raw", "order_letters", *(["words"] if "words" in parts else []), "n", "head_name"]
+    aggregates = [F.sum("number").alias("number"), *[F.first(c).alias(c) for c in names]]
+    if "shape" in parts:
+        aggregates.append(F.min_by(F.struct("key_sorted", "grew_nodes", "grew_links", "grew_rels"), "first").alias("shape"))
+    if "exemplar" in parts:
+        e = F.col("exemplar")
+        aggregates.append(F.min_by(e, F.struct(F.when(e["n_tokens"] < SHORT, 0).otherwise(e["n_tokens"]), e["sent_key"], e["ord"])).alias("exemplar"))
+    out = rows.groupBy(*by, "key").agg(*aggregates)
+    return out.select(*by, "key", "number", *names, *(["shape.*"] if "shape" in parts else []), *(["exemplar"] if "exemplar" in parts else []))
+
+
+def counts(sentences: DataFrame, spec: MineSpec, parts: Iterable[str] = tuple(PARTS), by_path: bool = False) -> DataFrame:
+    """One row a key: its rendering and number, and of parts: words, shape (of the first match) and exemplar. by_path: a row for each path and key."""
+    parts = frozenset(parts)
+    schema = _schema(parts)
 
+    def run(batches):
+        for s in _gathered(batches, spec):
+            yield from _key_rows(s, spec, parts, schema)
 
-def occurrences(sentences: DataFrame, spec: MineSpec) -> DataFrame:
-    """One row a match: key, rendering, sentence, order within the corpus (ord) and places of the nodes (locs)."""
-    pattern = spec.query_tree.pattern() if spec.query else None
-    names = MATCH_COLUMNS
+    def run_by_path(batches):
+        for batch in batches:
+            for path in pc.unique(batch.column("path")).to_pylist():
+                for rows in run([batch.filter(pc.equal(batch.column("path"), path))]):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * rows.num_rows, pa.string()), *rows.columns], ["path", *rows.schema.names])
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame(list(_rows(pdf, spec, pattern)), columns=names)
+    if by_path:
+        return _merged(prepare(sentences, spec, "path").mapInArrow(run_by_path, "path string, " + schema), parts, "path")
+    return _merged(prepare(sentences, spec).mapInArrow(run, schema), parts)
 
-    return prepare(sentences, spec).mapInPandas(run, _MATCH)
 
+def surveyed(sentences: DataFrame, spec: MineSpec, parts: Iterable[str]) -> tuple[DataFrame, DataFrame, int]:
+    """(counts, unigrams, size) from one pass, whose rows (one for each key or name and batch) are kept for all that is built on them."""
+    parts = frozenset(parts)
+    schema = _schema(parts)
+    columns = _columns(schema)
 
-def counts(sentences: DataFrame, spec: MineSpec) -> DataFrame:
-    """One row a key: its rendering, number, and exemplar: the first match in a sentence of fewer than 15 tokens, else the first in a shortest one."""
-    pattern = spec.query_tree.pattern() if spec.query else None
-    names = [*MATCH_COLUMNS, "number", "first_sent", "first_ord"]
+    def rows(kind: str, names: list, numbers: list) -> pa.RecordBatch:
+        n = len(names)
+        own = {"key": pa.array(names, pa.string()), "number": pa.array(numbers, pa.int64())}
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), *[own[c] if c in own else pa.nulls(n, _ARROW.get(c, pa.string())) for c in columns]], ["kind", *columns])
 
     def run(batches):
-        for pdf in batches:
-            held: dict[str, list] = {}
-            for row in _rows(pdf, spec, pattern):
-                rank = (0 if row[11] < SHORT else row[11], row[10], row[12])
-                have = held.get(row[0])
-                if have is None:
-                    held[row[0]] = [rank, row, 1, (row[10], row[12])]
-                else:
-                    have[2] += 1
-                    if rank < have[0]:
-                        have[0], have[1] = rank, row
-                    have[3] = min(have[3], (row[10], row[12]))
-            yield pd.DataFrame([(*row, number, *first) for _, row, number, first in held.values()], columns=names)
-
-    partly = prepare(sentences, spec).mapInPandas(run, _MATCH + ", number long, first_sent long, first_ord array<int>")
-    rank = F.struct(F.when(F.col("n_tokens") < SHORT, 0).otherwise(F.col("n_tokens")), F.col("sent_key"), F.col("ord"))
-    early = F.struct("first_sent", "first_ord")
-    same = [F.first(c).alias(c) for c in ("key_raw", "order_letters", "words", "n", "head_name")]
-    pick = [F.min_by(F.struct("sent_key", "n_tokens", "ord", "locs"), rank).alias("exemplar"), F.min_by(F.struct("key_sorted", "grew_nodes", "grew_links", "grew_rels"), early).alias("shape")]
-    out = partly.groupBy("key").agg(F.sum("number").alias("number"), *same, *pick)
-    return out.select("key", "number", "key_raw", "order_letters", "words", "n", "head_name", "shape.*", "exemplar")
+        for s in _gathered(batches, spec):
+            for batch in _key_rows(s, spec, parts, schema):
+                yield pa.RecordBatch.from_arrays([pa.array(["key"] * batch.num_rows, pa.string()), *batch.columns], ["kind", *columns])
+            if spec.association_measures:
+                yield rows("name", *_names(s))
+            yield rows("size", [None], [int(s.length.sum())])
 
+    kept = prepare(sentences, spec).mapInArrow(run, "kind string, " + schema).persist()
+    size = kept.where("kind = 'size'").agg(F.coalesce(F.sum("number"), F.lit(0))).head()[0]
+    names = kept.where("kind = 'name'").groupBy(F.col("key").alias("name")).agg(F.sum("number").alias("c"))
+    return _merged(kept.where("kind = 'key'").drop("kind"), parts), names, size
 
-def corpus_size(sentences: DataFrame) -> Column:
-    """All tokens, attached or not."""
-    return F.coalesce(F.sum(F.size("toks")), F.lit(0)).cast("long")
+
+def _names(s: Sentences) -> tuple[list[str], list[int]]:
+    """Nodes that hang on a root, by name."""
+    codes, first, number = np.unique(s.name, return_index=True, return_counts=True)
+    return ["&".join(s.words(v)) for v in first.tolist()], number.tolist()
 
 
 def unigrams(sentences: DataFrame, spec: MineSpec) -> DataFrame:
     """(name, c): nodes that hang on a root, by name."""
 
     def run(batches):
-        for pdf in batches:
-            held: dict[str, int] = {}
-            for _, s, names, _ in _sentences(pdf, spec):
-                for v in s.order:
-                    held[names[v]] = held.get(names[v], 0) + 1
-            yield pd.DataFrame({"name": list(held), "c": list(held.values())})
+        for s in _gathered(batches, spec):
+            names, number = _names(s)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(number, pa.int64())], ["name", "c"])
 
-    return prepare(sentences, spec).mapInPandas(run, "name string, c long").groupBy("name").agg(F.sum("c").alias("c"))
+    return prepare(sentences, spec).mapInArrow(run, "name string, c long").groupBy("name").agg(F.sum("c").alias("c"))
+
+
+def depths(sentences: DataFrame) -> DataFrame:
+    """(depth, number): tokens by the edges between them and their root."""
+    spec = MineSpec(size=(1, 1), node_type=None)
+
+    def run(batches):
+        for s in _gathered(batches, spec):
+            number = np.bincount(s.forest.depth)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(number)).astype(np.int32)), pa.array(number.astype(np.int64))], ["depth", "number"])
+
+    return prepare(sentences, spec).mapInArrow(run, "depth int, number long").groupBy("depth").agg(F.sum("number").alias("number"))
+
+
+def occurrences(sentences: DataFrame, spec: MineSpec) -> DataFrame:
+    """One row a match: key, sentence, order within the sentence (ord) and places of the nodes in the key's order (locs)."""
+
+    def run(batches):
+        for s in _gathered(batches, spec):
+            f = s.forest
+            for held, (a, b) in s.identified(True):
+                begin = np.cumsum([0] + [len(n) for _, n, _ in held])
+                order, start, best = first_of_each(a, b)
+                kind = np.empty(len(a), np.int64)
+                kind[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(a))))
+                keys, columns = [], []
+                for x, g in zip(best.tolist(), (np.searchsorted(begin, best, "right") - 1).tolist()):
+                    names, rels, kids, places = s.tree(held[g][1][x - begin[g]], held[g][2][x - begin[g]])
+                    raw, under = render(names, rels, kids, places, spec.fixed, spec.labeled)
+                    keys.append(raw + letters([places[j] for j in under]) if spec.fixed else raw)
+                    columns.append(under)
+                for g, (every, nodes, _) in enumerate(held):
+                    own = kind[begin[g] : begin[g + 1]]
+                    m, k = nodes.shape
+                    present, inverse = np.unique(own, return_inverse=True)
+                    locs = np.take_along_axis(s.place[nodes], np.array([columns[x] for x in present.tolist()], np.int64).reshape(-1, k)[inverse], 1)
+                    ords = np.concatenate([f.post[nodes[:, :1]], np.sort(s.place[every], 1)], 1)
+                    flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]).astype(np.int32)), pa.array(x.ravel().astype(np.int32)))
+                    whole = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()).take(pa.array(own)), pa.array(s.keys[f.sent[nodes[:, 0]]]), flat(ords), flat(locs)], ["key", "sent_key", "ord", "locs"])
+                    for i in range(0, m, 50_000):
+                        yield whole.slice(i, 50_000)
+
+    return prepare(sentences, spec).mapInArrow(run, "key string, sent_key long, ord array<int>, locs array<int>")
+
+
+def corpus_size(sentences: DataFrame) -> Column:
+    """All tokens, attached or not."""
+    return F.coalesce(F.sum(F.size("toks")), F.lit(0)).cast("long")
 
 
 def associated(counted: DataFrame, unigram: DataFrame, size: int) -> DataFrame:
@@ -198,21 +433,39 @@ def marked(toks: Column, locs: Column) -> Column:
     return F.array_join(F.transform(toks, one), "")
 
 
-def mine(sentences: DataFrame, spec: MineSpec, other: DataFrame | None = None) -> DataFrame:
-    """The ranked result with raw numbers. other: sentences of the corpus to compare with."""
-    counted = counts(sentences, spec)
+def asked(spec: MineSpec) -> frozenset[str]:
+    """The parts of a key that the spec's result shows or needs."""
+    shape = spec.grew_match or spec.depsearch
+    exemplar = spec.example or spec.grew_match or bool(spec.annodoc_example_dir or spec.annodoc_detailed_dir)
+    words = spec.node_info or spec.grew_match or spec.association_measures
+    return frozenset([*["words"] * words, *["shape"] * shape, *["exemplar"] * exemplar])
+
+
+def mine(sentences: DataFrame, spec: MineSpec, other: DataFrame | None = None, parts: Iterable[str] | None = None) -> DataFrame:
+    """The ranked result with raw numbers. other: sentences of the corpus to compare with. parts: see counts(), by default what the spec shows."""
+    parts = asked(spec) if parts is None else frozenset(parts)
+    counted, names, size = surveyed(sentences, spec, parts)
+    second = None
+    if other is not None:
+        second, _, other_size = surveyed(other, spec, ())
+    return ranked(sentences, spec, counted, names, size, *((second, other_size) if second is not None else ()))
+
+
+def ranked(sentences: DataFrame, spec: MineSpec, counted: DataFrame, names: DataFrame, size: int, other: DataFrame | None = None, other_size: int = 0) -> DataFrame:
+    """Counts with thresholds, statistics, order and examples."""
     if spec.frequency_threshold:
         counted = counted.where(F.col("number") >= spec.frequency_threshold)
-    size = sentences.agg(corpus_size(sentences)).head()[0]
     out = counted.withColumn("relative_frequency", F.col("number") * 1_000_000.0 / F.lit(float(size)))
     if spec.association_measures:
-        out = associated(out, unigrams(sentences, spec), size)
+        out = associated(out, names, size)
     if other is not None:
-        out = compared(out, counts(other, spec), size, other.agg(corpus_size(other)).head()[0])
+        out = compared(out, other, size, other_size)
     out = out.orderBy(F.desc("number"), "key")
     if spec.max_lines:
         out = out.limit(spec.max_lines)
-    return example(sentences, out).orderBy(F.desc("number"), "key") if spec.example else out
+    if (spec.example or spec.annodoc_example_dir) and "example" not in out.columns:
+        out = example(sentences, out).orderBy(F.desc("number"), "key")
+    return out
 
 
 def sentence_counts(sentences: DataFrame, spec: MineSpec) -> DataFrame:

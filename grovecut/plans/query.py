@@ -1,4 +1,4 @@
-"""The tree query language: text -> QueryNode -> Pattern.
+"""The tree query language: text -> QueryNode.
 
     upos=NOUN&Case=Nom > _          a noun in the nominative that governs anything
     A > B > C                       A governs B and C
@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from ..functions.trees import Pattern
-
 FEATURES = frozenset("Abbr AdpType Animacy AdvType Aspect Case Clusivity ConjType Definite Degree Deixis DeixisRef Evident ExtPos Foreign Gender Mood NameType NounClass NounType NumForm Number NumType PartType Person Polarity Polite Poss PronType PunctType Reflex Style Tense Typo VerbForm VerbType Voice".split())
 FIELDS = {"L": "lemma", "lemma": "lemma", "upos": "upos", "xpos": "xpos", "form": "form", "feats": "feats_raw"}
 
@@ -26,15 +24,6 @@ class Test:
     value: str
     negated: bool = False
 
-    def holds(self, token: dict, deprel: str) -> bool:
-        if self.field == "deprel":
-            have = deprel
-        elif self.field.startswith("feats."):
-            have = (token["feats"] or {}).get(self.field[6:])
-        else:
-            have = token[self.field]
-        return (have == self.value) != self.negated
-
 
 @dataclass(frozen=True)
 class QueryNode:
@@ -46,9 +35,6 @@ class QueryNode:
     def size(self) -> int:
         return 1 + sum(k.size() for k in self.kids)
 
-    def pattern(self) -> Pattern:
-        return Pattern(lambda token, deprel: any(all(t.holds(token, deprel) for t in tests) for tests in self.any_of), tuple(k.pattern() for k in self.kids))
-
 
 def _split(text: str) -> list[str]:
     """Parts between blanks; a bracketed part is one, its brackets kept."""

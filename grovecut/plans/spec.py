@@ -48,6 +48,7 @@ class MineSpec:
     detailed_results_file: str | None = None
     annodoc_example_dir: str | None = None
     annodoc_detailed_dir: str | None = None
+    codes_mapper: str | None = None
 
     def __post_init__(self) -> None:
         if self.query:

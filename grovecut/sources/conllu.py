@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes by which places within a file are told apart; input splits must not be smaller.
-_BLOCK = 1 << 20
+from . import paths
 
+#: Bits of a place within a file; the bits above number the files.
+PLACE_BITS = 40
 TOKEN = "struct<id:int,form:string,lemma:string,upos:string,xpos:string,feats:map<string,string>,feats_raw:string,head:int,deprel_full:string,misc:string,space_after:boolean>"
 
 
@@ -38,23 +37,30 @@ def _token(line: Column) -> Column:
     )
 
 
-def read_conllu(spark: SparkSession, path: str, line_sep: str = "\n\n") -> DataFrame:
-    """(path, sent_key, sent_id, toks, conllu) of the sentences of a file or of all *.conllu files below a folder.
+def read_conllu(spark: SparkSession, path: str | list[str], line_sep: str | None = None) -> DataFrame:
+    """(path, sent_key, sent_id, toks, conllu) of the sentences of files or of all *.conllu files below a folder.
+
+    Lines end in LF or CRLF; a line of blanks is blank too. Files are cut at blank lines and so can be split. line_sep: the
+    two line ends at which they are split, by default those of the first file; other blank lines are found all the same.
 
-    Files are cut at blank lines and so can be split. sent_key rises with the path and the place in the file. line_sep: the two line ends around a blank line, "\\r\\n\\r\\n" in files with such ends.
+    sent_key rises with the path and the place in the file: a sentence's place is where its split begins and its number
+    there, which is less than the split's bytes.
     """
-    base = spark.read.option("lineSep", line_sep).option("recursiveFileLookup", True)
-    base = base.option("pathGlobFilter", "*.conllu") if not path.endswith(".conllu") else base
-    raw = base.text(path).select("value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    files = sorted(re.sub("^file:/+", "file:/", f) for f in raw.inputFiles())
-    rank = F.array_position(F.array(*map(F.lit, files)), F.col("path")) if len(files) <= 64 else None
-    if rank is None:
-        known = spark.createDataFrame(list(enumerate(files, 1)), "file_rank int, path string")
-        raw = raw.join(F.broadcast(known), "path")
-        rank = F.col("file_rank")
-    place = F.floor(F.col("block") / _BLOCK) * (1 << 25) + F.col("row").bitwiseAND(F.lit((1 << 25) - 1))
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    kept = raw.select("path", (rank.cast("long") * F.lit(1 << 45) + place).cast("long").alias("sent_key"), F.regexp_extract("value", r"(?m)^#\s*sent_id\s*=\s*(.*?)\s*$", 1).alias("sent_id"), F.filter(lines, lambda l: l.rlike("^[0-9]+\t")).alias("lines"), F.col("value").alias("conllu"))
+    listed = [path] if isinstance(path, str) else path
+    files = [f for p in listed for f, _ in paths.treebanks(spark, p)]
+    if not files:
+        raise FileNotFoundError(f"no *.conllu in {path}")
+    if line_sep is None:
+        line_sep = "\r\n\r\n" if "\r\n" in paths.head(spark, files[0]) else "\n\n"
+    raw = spark.read.option("lineSep", line_sep).text(files).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    raw = raw.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "block", F.explode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n(?:[ \t]*\r?\n)+")).alias("value"))
+    raw = raw.select("*", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    known = spark.createDataFrame([(k, f) for k, f in enumerate(files)], "file_rank long, path string")
+    raw = raw.join(known, "path")
+    key = F.col("file_rank") * F.lit(1 << PLACE_BITS) + F.col("block") + F.col("row")
+    text = F.regexp_replace("value", "\r(?=\n|$)", "")
+    lines = F.filter(F.split("value", "\n"), lambda x: x.rlike("^[0-9]+\t"))
+    kept = raw.withColumn("value", text).select("path", key.alias("sent_key"), F.regexp_extract("value", r"(?m)^#\s*sent_id\s*=\s*(.*?)\s*$", 1).alias("sent_id"), lines.alias("lines"), F.col("value").alias("conllu"))
     return kept.where(F.size("lines") > 0).select("path", "sent_key", F.when(F.col("sent_id") != "", F.col("sent_id")).alias("sent_id"), F.transform("lines", _token).alias("toks"), "conllu")
 
 

@@ -1,64 +1,127 @@
-"""Treebanks derived from plain text by arithmetic, the same in Spark and in SQL. They need no files of their own."""
+"""Treebanks derived from whole texts by arithmetic, the same in Spark and in SQL. They need no files of their own.
+
+A text's words (runs of characters other than space, tab, CR and LF) are cut into sentences of 9, 28, 4, 17 and 14 words in
+turn; the last one may be shorter. The word in the middle is the root; the others hang on a word between them and it.
+Sentences of 17 words and more have a second root, their last word but one; of sentences of 14 words the last has no head.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a sentence.
-WORDS = 12
+from .conllu import TOKEN
+
+LENGTHS = (9, 28, 4, 17, 14)
+#: No derived tree is higher: edges from the top to the bottom.
+HEIGHT = 14
 #: Bits of sent_key that number the sentences of a document; a text of 2**31 bytes has fewer.
-SENTENCE_BITS = 27
+SENTENCE_BITS = 30
+_BEGINS = np.cumsum([0, *LENGTHS])
+_TAGS = pa.array(["NOUN", "VERB", "ADJ", "ADP", "DET"])
+_LABELS = pa.array(["nsubj", "obj", "case", "amod", "root", "punct"])
 
 
-def _words() -> Column:
-    return F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != "")
+def _sentences(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, words) of each sentence of documents of so many words."""
+    count = words // 72 * 5 + np.searchsorted(_BEGINS[:-1], words % 72, "left")
+    doc = np.repeat(np.arange(len(words)), count)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    begin = number // 5 * 72 + _BEGINS[number % 5]
+    return doc, number, np.minimum(np.array(LENGTHS)[number % 5], words[doc] - begin)
 
 
-def derive(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """(path, sent_key, sent_id, toks, conllu): a tree over the first words of each document, path is its lang."""
-    w = F.slice(_words(), 1, words)
-    return _trees(documents.select(F.col("lang").alias("path"), F.col("doc_id").alias("sent_key"), w.alias("w")).where(F.size("w") > 0))
+def _pick(values: pa.Array, at: np.ndarray) -> pa.Array:
+    return values.take(pa.array(at))
 
 
-def derive_whole(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """As derive(), with a tree over each run of so many words of the whole text; a document's last one may be shorter."""
-    # exploded, so that a text is split once and not for each of its sentences; slice() would copy all words each time
-    every = documents.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(_words())).alias("w")).where(F.size("w") > 0)
-    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / words).cast("int") - 1), lambda i: F.transform(F.sequence(i * words, F.least(i * words + words, F.size("w")) - 1), lambda k: F.get("w", k)))
-    one = every.select("lang", "doc_id", F.posexplode(runs).alias("number", "w"))
+def _trees(batch: pa.RecordBatch) -> pa.RecordBatch:
+    split = pc.split_pattern_regex(pc.cast(batch.column("text"), pa.large_string()), "[ \t\r\n]+")
+    flat = split.flatten()
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(split)), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))[full]
+    form = flat.filter(pa.array(full)).cast(pa.string())
+    words = np.bincount(row, minlength=len(split))
+    ids = batch.column("doc_id")
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    doc_id = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
     most = 1 << 63 - SENTENCE_BITS
-    key = F.when(F.col("doc_id").between(-most, most - 1), F.col("doc_id") * (1 << SENTENCE_BITS) + F.col("number")).when(F.col("doc_id").isNotNull(), F.raise_error(F.lit("doc_id is too large for sent_key")).cast("long"))
-    return _trees(one.select(F.col("lang").alias("path"), key.alias("sent_key"), "w"))
+    if (known & ((doc_id < -most) | (doc_id >= most))).any():
+        raise ValueError("doc_id is too large for sent_key")
+    doc, number, n = _sentences(doc_id, words)
+    key = pa.array((doc_id[doc] << SENTENCE_BITS) + number, mask=~known[doc])
+    k = np.arange(len(form)) - np.repeat(np.cumsum(n) - n, n) + 1  # 1 .. n
+    n_ = np.repeat(n, n)
+    root = (n_ + 1) // 2
+    size = pc.utf8_length(form).to_numpy(zero_copy_only=False).astype(np.int64)
+    head = np.where(k > root, np.maximum(root, k - 1 - size % 3), np.minimum(root, k + 1 + size % 3))
+    head[(k == root) | ((n_ >= 17) & (k == n_ - 1))] = 0
+    label = np.where(k == root, 4, np.where(pc.ends_with(form, ".").to_numpy(zero_copy_only=False), 5, (k + size) % 4))
+    even = size % 2 == 0
+    plain = _pick(_LABELS, label)
+    rel = pc.if_else(pa.array(even), pc.binary_join_element_wise(plain, ":x", ""), plain)
+    case = _pick(pa.array(["Acc", "Nom"]), even.astype(np.int64))
+    numbered = _pick(pa.array(["Sing", "Plur"]), (size % 3 == 0).astype(np.int64))
+    pairs = pa.array(np.arange(0, 2 * len(k) + 1, 2).astype(np.int32))
+    names = _pick(pa.array(["Case", "Number"]), np.tile([0, 1], len(k)))
+    values = pa.concat_arrays([case, numbered]).take(pa.array(np.arange(2 * len(k)).reshape(2, -1).T.ravel()))
+    fields = {
+        "id": pa.array(k.astype(np.int32)),
+        "form": form,
+        "lemma": pc.utf8_lower(form),
+        "upos": _pick(_TAGS, size % 5),
+        "xpos": _pick(pa.array(["X0", "X1", "X2"]), size % 3),
+        "feats": pa.MapArray.from_arrays(pairs, names, values),
+        "feats_raw": pc.binary_join_element_wise("Case=", case, "|Number=", numbered, ""),
+        "head": pa.array(head.astype(np.int32), mask=(n_ == 14) & (k == 14)),
+        "deprel_full": rel,
+        "misc": _pick(pa.array(["Gloss=g", "_"]), (size % 4 != 0).astype(np.int64)),
+        "space_after": pa.array(size % 7 != 0),
+    }
+    toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+    sent_id = pc.binary_join_element_wise("s", pc.cast(key, pa.string()), "")
+    path = batch.column("lang").cast(pa.string()).take(pa.array(doc))
+    return pa.RecordBatch.from_arrays([path, key, sent_id, toks, pa.array([""] * len(doc), pa.string())], ["path", "sent_key", "sent_id", "toks", "conllu"])
 
 
-def _trees(base: DataFrame) -> DataFrame:
-    n = F.size("w")
-    root = F.floor((n + 1) / 2).cast("int")
+def _run(batches: Iterable[pa.RecordBatch]):
+    for batch in batches:
+        # Tokens take much more room than text: a piece has about a megabyte of it.
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(size // 1_000_000)) + 1 if len(size) else []
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if b > a:
+                yield _trees(batch.slice(a, b - a))
 
-    def token(form, k):
-        i, size = k + 1, F.length(form)
-        head = F.when(i == root, 0).when(i > root, F.greatest(root, i - 1 - size % 3)).otherwise(F.least(root, i + 1 + size % 3))
-        upos = F.element_at(F.array(*map(F.lit, ("NOUN", "VERB", "ADJ", "ADP", "DET"))), size % 5 + 1)
-        plain = F.when(i == root, "root").when(form.endswith("."), "punct").otherwise(F.element_at(F.array(*map(F.lit, ("nsubj", "obj", "case", "amod"))), (i + size) % 4 + 1))
-        case = F.when(size % 2 == 0, "Nom").otherwise("Acc")
-        return F.struct(
-            i.cast("int").alias("id"), form.alias("form"), F.lower(form).alias("lemma"), upos.alias("upos"), F.lit("_").alias("xpos"),
-            F.create_map(F.lit("Case"), case).alias("feats"), F.concat(F.lit("Case="), case).alias("feats_raw"), head.cast("int").alias("head"),
-            F.concat(plain, F.when(size % 2 == 0, ":x").otherwise("")).alias("deprel_full"), F.lit("_").alias("misc"), F.lit(True).alias("space_after"),
-        )
 
-    return base.select("path", "sent_key", F.concat(F.lit("s"), F.col("sent_key")).alias("sent_id"), F.transform("w", token).alias("toks"), F.lit("").alias("conllu"))
+def derive(documents: DataFrame) -> DataFrame:
+    """(path, sent_key, sent_id, toks, conllu): the sentences of each document, path is its lang. Null texts have none; without a doc_id sent_key is null."""
+    texts = documents.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    if len(documents.inputFiles()) < cores:  # a file is split at its row groups only, of which a small one has one
+        texts = texts.repartition(cores, "doc_id")
+    return texts.mapInArrow(_run, f"path string, sent_key long, sent_id string, toks array<{TOKEN}>, conllu string")
 
 
-#: The tokens in DuckDB, as a chain of WITH parts that ends in tok.
+#: The tokens in DuckDB, as a chain of WITH parts that ends in every (all tokens) and tok (those on a root).
 SQL = rf"""
-src AS (SELECT doc_id AS sent_key, lang, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')[1:{WORDS}] AS w FROM documents WHERE text IS NOT NULL),
-pos AS (SELECT sent_key, lang, len(w) AS n, (len(w) + 1) // 2 AS r, unnest(w) AS form, unnest(range(1, len(w) + 1)) AS id FROM src WHERE len(w) > 0),
-tok AS (
-  SELECT sent_key, lang, n, CAST(id AS INT) AS id, form, lower(form) AS lemma, length(form) AS l,
-    CAST(CASE WHEN id = r THEN 0 WHEN id > r THEN greatest(r, id - 1 - length(form) % 3) ELSE least(r, id + 1 + length(form) % 3) END AS INT) AS head,
-    CASE length(form) % 5 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' WHEN 2 THEN 'ADJ' WHEN 3 THEN 'ADP' ELSE 'DET' END AS upos,
-    CASE WHEN id = r THEN 'root' WHEN form LIKE '%.' THEN 'punct' ELSE CASE (id + length(form)) % 4 WHEN 0 THEN 'nsubj' WHEN 1 THEN 'obj' WHEN 2 THEN 'case' ELSE 'amod' END END AS deprel,
-    CASE WHEN length(form) % 2 = 0 THEN 'Nom' ELSE 'Acc' END AS kase
-  FROM pos)"""
+src AS (SELECT doc_id, lang, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+pos AS (SELECT doc_id, lang, len(w) AS words, unnest(w) AS form, unnest(range(len(w))) AS p FROM src WHERE len(w) > 0),
+cut AS (SELECT *, p % 72 AS i, CASE WHEN p % 72 < 9 THEN 0 WHEN p % 72 < 37 THEN 1 WHEN p % 72 < 41 THEN 2 WHEN p % 72 < 58 THEN 3 ELSE 4 END AS c FROM pos),
+num AS (SELECT doc_id * {1 << SENTENCE_BITS} + p // 72 * 5 + c AS sent_key, lang, form, i - [0, 9, 37, 41, 58][c + 1] + 1 AS id,
+  least([9, 28, 4, 17, 14][c + 1], words - (p // 72 * 72 + [0, 9, 37, 41, 58][c + 1])) AS n, length(form) AS l FROM cut),
+every AS (
+  SELECT sent_key, lang, CAST(n AS INT) AS n, CAST(id AS INT) AS id, form, lower(form) AS lemma, l,
+    CAST(CASE WHEN id = (n + 1) // 2 OR (n >= 17 AND id = n - 1) THEN 0 WHEN n = 14 AND id = 14 THEN NULL
+      WHEN id > (n + 1) // 2 THEN greatest((n + 1) // 2, id - 1 - l % 3) ELSE least((n + 1) // 2, id + 1 + l % 3) END AS INT) AS head,
+    ['NOUN', 'VERB', 'ADJ', 'ADP', 'DET'][l % 5 + 1] AS upos, 'X' || l % 3 AS xpos,
+    CASE WHEN id = (n + 1) // 2 THEN 'root' WHEN form LIKE '%.' THEN 'punct' ELSE ['nsubj', 'obj', 'case', 'amod'][(id + l) % 4 + 1] END AS deprel,
+    CASE WHEN l % 2 = 0 THEN 'Nom' ELSE 'Acc' END AS kase, CASE WHEN l % 3 = 0 THEN 'Plur' ELSE 'Sing' END AS num,
+    CASE WHEN l % 4 = 0 THEN 'Gloss=g' ELSE '_' END AS misc, l % 7 <> 0 AS space_after
+  FROM num),
+tok AS (SELECT * FROM every WHERE head IS NOT NULL)"""

@@ -11,8 +11,10 @@ import os
 import urllib.parse
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.trees import label
 from ..operators.mine import detailed, occurrences, sentence_counts
@@ -83,32 +85,70 @@ def header(spec: MineSpec, width: int, compare: bool, corpus: str | None = None)
     return out
 
 
+def with_grew(counted: DataFrame, spec: MineSpec) -> DataFrame:
+    """counted with a column pattern, the Grew pattern of each key."""
+    columns = counted.columns
+
+    def run(batches):
+        for batch in batches:
+            patterns = pa.array([grew(row, spec) for row in batch.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, patterns], [*columns, "pattern"])
+
+    return counted.mapInArrow(run, StructType([*counted.schema.fields, StructField("pattern", StringType())]))
+
+
+def result_width(result: DataFrame, spec: MineSpec) -> int:
+    """Node columns of a result."""
+    if spec.query or not spec.greedy_counter:
+        return spec.width
+    return min(spec.width, result.agg(F.max("n")).head()[0] or 0)
+
+
+def cells(r: dict, spec: MineSpec, width: int, compare: bool, corpus: str | None) -> list[str]:
+    """A row of the result file."""
+    row = [bare(r["key_raw"])]
+    if spec.node_info:
+        words = [w for node in r["words"] for w in node]
+        row += (words + [""] * (width * max(1, len(spec.node_types))))[: width * max(1, len(spec.node_types))]
+    row += [str(r["number"]), f"{r['relative_frequency']:.1f}"]
+    row += [r["order_letters"]] * spec.fixed
+    pattern = grew(r, spec) if spec.grew_match else ""
+    row += [pattern] * spec.grew_match
+    row += [grew_url(corpus, pattern)] if spec.grew_match and corpus else []
+    row += [r["key_sorted"]] if spec.fixed and spec.depsearch else []
+    row += [str(r["n"])] * spec.nodes_number + [r["head_name"]] * spec.head_info
+    row += [r["example"]] if spec.example else []
+    row += [annodoc(r)] if annodocs(spec) else []
+    row += [two(r[c]) for _, c in ASSOCIATION] if spec.association_measures else []
+    if compare:
+        row += [f"{r['number_2']:.0f}", f"{r['relative_frequency_2']:.1f}", *(two(r[c]) for _, c in KEYNESS)]
+    return row
+
+
+def corpus_of(spec: MineSpec) -> str | None:
+    return corpus_name(spec.input, mapping=spec.codes_mapper) if spec.input else None
+
+
+def formatted(result: DataFrame, spec: MineSpec, compare: bool = False, width: int | None = None) -> DataFrame:
+    """(cells): the rows of the result file, in the order of result."""
+    width = result_width(result, spec) if width is None else width
+    corpus = corpus_of(spec)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([cells(r, spec, width, compare, corpus) for r in batch.to_pylist()], pa.list_(pa.string()))], ["cells"])
+
+    return result.mapInArrow(run, "cells array<string>")
+
+
 def lines(result: DataFrame, spec: MineSpec, compare: bool = False) -> Iterator[list[str]]:
     """The header and the rows of a mined result as texts, in its order."""
     result = result.persist()
     try:
-        width = spec.width
-        if not spec.query:
-            widest = result.agg(F.max("n")).head()[0] or 0
-            width = min(width, widest) if spec.greedy_counter else width
-        corpus = corpus_name(spec.input) if spec.input else None
-        yield header(spec, width, compare, corpus)
-        for r in result.toLocalIterator():
-            row = [bare(r["key_raw"])]
-            if spec.node_info:
-                words = [w for node in r["words"] for w in node]
-                row += (words + [""] * (width * max(1, len(spec.node_types))))[: width * max(1, len(spec.node_types))]
-            row += [str(r["number"]), f"{r['relative_frequency']:.1f}"]
-            row += [r["order_letters"]] * spec.fixed
-            row += [grew(r, spec)] * spec.grew_match
-            row += [grew_url(corpus, grew(r, spec))] if spec.grew_match and corpus else []
-            row += [r["key_sorted"]] * (spec.fixed and spec.depsearch) + [str(r["n"])] * spec.nodes_number + [r["head_name"]] * spec.head_info
-            row += [r["example"]] if spec.example else []
-            row += [annodoc(r)] if annodocs(spec) else []
-            row += [two(r[c]) for _, c in ASSOCIATION] if spec.association_measures else []
-            if compare:
-                row += [f"{r['number_2']:.0f}", f"{r['relative_frequency_2']:.1f}", *(two(r[c]) for _, c in KEYNESS)]
-            yield row
+        width = result_width(result, spec)
+        yield header(spec, width, compare, corpus_of(spec))
+        for r in formatted(result, spec, compare, width).toLocalIterator():
+            yield list(r["cells"])
     finally:
         result.unpersist()
 
@@ -148,24 +188,39 @@ def write_detailed(sentences: DataFrame, spec: MineSpec, path: str) -> None:
             writer.writerow([r["key"], r["sent_id"], r["sentence"]])
 
 
-def write_annodoc(sentences: DataFrame, spec: MineSpec, examples: str, details: str) -> None:
-    """A CoNLL-U file for each sentence with a match, and for each key a file named by its hash with sentence ids and places. The folders must be new."""
-    for folder in (examples, details):
-        os.makedirs(folder)
-    found = occurrences(sentences, spec).join(sentences.select("sent_key", "sent_id", "conllu"), "sent_key").select("key", "sent_id", "conllu", "locs", "sent_key", "ord")
-    for r in found.orderBy("sent_key", "ord").toLocalIterator():
-        target = os.path.join(examples, f"{r['sent_id']}.conllu".replace("/", "_"))
+def write_examples(sentences: DataFrame, spec: MineSpec, folder: str) -> None:
+    """A CoNLL-U file for each sentence with a match, named by its id. The folder must be new."""
+    os.makedirs(folder)
+    found = sentences.join(occurrences(sentences, spec).select("sent_key").distinct(), "sent_key", "left_semi")
+    for r in found.select("sent_key", "sent_id", "conllu").orderBy("sent_key").toLocalIterator():
+        target = os.path.join(folder, f"{r['sent_id'] if r['sent_id'] is not None else r['sent_key']}.conllu".replace("/", "_"))
         if not os.path.exists(target):
             with open(target, "w", encoding="utf-8") as f:
                 f.write(r["conllu"].strip("\n") + "\n\n")
-        with open(os.path.join(details, hashlib.sha1(r["key"].encode()).hexdigest()), "a", encoding="utf-8") as f:
-            f.write(f"{r['sent_id']}\t{json.dumps(sorted(p + 1 for p in r['locs']))}\n")
+
+
+def write_places(sentences: DataFrame, spec: MineSpec, folder: str) -> None:
+    """For each key a file named by its hash, with the ids of sentences and the places of the nodes in them. The folder must be new."""
+    os.makedirs(folder)
+    found = occurrences(sentences, spec).join(sentences.select("sent_key", "sent_id"), "sent_key").orderBy("key", "sent_key", "ord")
+    out, key = None, None
+    try:
+        for r in found.select("key", "sent_id", "locs").toLocalIterator():
+            if r["key"] != key:
+                if out:
+                    out.close()
+                key = r["key"]
+                out = open(os.path.join(folder, hashlib.sha1(key.encode()).hexdigest()), "w", encoding="utf-8")
+            out.write(f"{r['sent_id']}\t{json.dumps(sorted(p + 1 for p in r['locs']))}\n")
+    finally:
+        if out:
+            out.close()
 
 
 def annodocs(spec: MineSpec) -> bool:
-    return bool(spec.annodoc_example_dir and spec.annodoc_detailed_dir)
+    return bool(spec.annodoc_example_dir and (spec.detailed_results_file or spec.example))
 
 
 def annodoc(row) -> str:
     """The JSON that names a key's example."""
-    return json.dumps({"id": row["example_id"] if "example_id" in row else row["exemplar"]["sent_key"], "positions": sorted(p + 1 for p in row["exemplar"]["locs"]), "subtree_hash": hashlib.sha1(row["key"].encode()).hexdigest()})
+    return json.dumps({"id": row["example_id"] if row["example_id"] is not None else row["exemplar"]["sent_key"], "positions": sorted(p + 1 for p in row["exemplar"]["locs"]), "subtree_hash": hashlib.sha1(row["key"].encode()).hexdigest()})

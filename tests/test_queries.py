@@ -4,7 +4,7 @@ from conftest import SF
 from grovecut.plans import queries as Q
 
 
-@pytest.mark.parametrize("name", Q.QUERIES)
+@pytest.mark.parametrize("name", Q.SQL)
 def test_query_equals_its_sql(spark, same_as_sql, name):
     same_as_sql(Q.QUERIES[name](spark, SF), Q.SQL[name])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from grovecut import MineSpec, mine, read_conllu, read_ini, run, run_each
 from grovecut.functions import stats
 from grovecut.operators import mine as M
+from grovecut.sources import sinks
 from grovecut.sources.corpora import corpus_name
 from grovecut.streaming import resume
 
@@ -44,6 +45,33 @@ def test_reader(spark, folder):
     assert [t["space_after"] for t in s[1]["toks"]] == [True, True, True, False, True]
 
 
+@pytest.mark.parametrize("change", [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: t.replace("\n\n", "\n \t\n\n"), lambda t: t.replace("\n\n", "\n  \n").replace("\n", "\r\n"), lambda t: "\ufeff\n\n" + t])
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_line_ends_and_blank_lines(spark, folder, change, scheme):
+    whole = ONE + TWO + ONE.replace("t1", "t3")
+    (folder / "x.conllu").write_bytes(change(whole).encode())
+    (folder / "plain.conllu").write_bytes(whole.encode())
+    spec = MineSpec(size=(1, 5), node_type="form+misc")
+    counts_ = lambda f: {r["key"]: r["number"] for r in M.counts(read_conllu(spark, f"{scheme}{folder}/{f}"), spec).collect()}
+    assert [r["sent_id"] for r in read_conllu(spark, f"{scheme}{folder}/x.conllu").orderBy("sent_key").collect()] == ["t1", "t2", "t3"]
+    assert counts_("x.conllu") == counts_("plain.conllu")
+    assert run(spark, MineSpec(input=f"{scheme}{folder}/x.conllu", size=(2, 2)))[1][:2] == ["ADJ <amod NOUN", "ADJ"]
+
+
+def test_keys_are_in_corpus_order_whatever_the_splits(spark, tmp_path):
+    sentences = [f"# sent_id = {k}\n1\tw{k}\t_\tX\t_\t_\t0\troot\t_\t_" for k in range(400)]
+    (tmp_path / "a.conllu").write_text("\n\n".join(sentences[:250]) + "\n")
+    (tmp_path / "b.conllu").write_text("\r\n\r\n".join(x.replace("\n", "\r\n") for x in sentences[250:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_conllu(spark, str(tmp_path)).orderBy("sent_key").select("sent_id", "sent_key").collect()
+            assert [r["sent_id"] for r in rows] == [str(k) for k in range(400)] and len({r["sent_key"] for r in rows}) == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_rendered_trees_and_missing_heads(spark, folder):
     s = read_conllu(spark, str(folder / "in"))
     got = {r["key"]: (r["number"], r["n"]) for r in M.counts(s, MineSpec(size=(1, 9), ignored_labels=("punct",))).collect()}
@@ -80,7 +108,13 @@ def test_compare_and_side_files(spark, folder):
     by = {r[0]: r for r in rows[1:]}
     assert by["ADJ <amod NOUN"][-8] == "0" and by["ADJ <amod NOUN"][-6] == "NaN"
     assert (folder / "s.tsv").read_text().splitlines()[1].startswith("t1\t") and len((folder / "d.tsv").read_text().splitlines()) == 2 * 4
-    assert sorted(os.listdir(folder / "e")) == ["t1.conllu", "t3.conllu"] and os.listdir(folder / "f")
+    assert sorted(os.listdir(folder / "e")) == ["t1.conllu", "t3.conllu"]
+    assert (folder / "s.tsv").read_text().splitlines()[0].startswith("Sentence_id\t") and len((folder / "s.tsv").read_text().splitlines()) == 3
+    places = {f.name: f.read_text() for f in (folder / "f").iterdir()}
+    import hashlib
+
+    assert places[hashlib.sha1(b"(ADJ <amod NOUN)AB").hexdigest()] == "t1\t[1, 2]\nt3\t[1, 2]\n"
+    assert '"id": "t1", "positions": [1, 2]' in rows[1 + [r[0] for r in rows[1:]].index("ADJ <amod NOUN")][rows[0].index("Annodoc")]
     with pytest.raises(FileExistsError):
         run(spark, spec)
 
@@ -93,9 +127,15 @@ def test_resume_and_batch(spark, folder):
     (folder / "in" / "c.conllu").write_text(TWO)
     assert {r["key"]: r["number"] for r in mine(spark, spec).collect()}["(NOUN <nsubj VERB)AB"] == 2
     written = run_each(spark, MineSpec(input=spec.input, size=(1, 4)), str(folder / "each"))
+    example = MineSpec(input=spec.input, size=(1, 4), example=True, grew_match=True, depsearch=True, internal_saves=str(folder / "kept2"), continuation_processing=True)
+    plain = MineSpec(input=spec.input, size=(1, 4), example=True, grew_match=True, depsearch=True)
+    assert run(spark, example) == run(spark, plain)
+    (folder / "in" / "a.conllu").write_text(ONE.replace("t1", "t0"))
+    assert run(spark, example) == run(spark, plain)
+    (folder / "in" / "a.conllu").unlink()
     assert len(written) == 3 and os.path.exists(folder / "each" / "deep" / "a.tsv")
     assert run_each(spark, MineSpec(input=spec.input, size=(1, 4)), str(folder / "each")) == []
-    assert len(resume.files_of(spec.input)) == 3
+    assert len(resume.files_of(spark, spec.input)) == 3
 
 
 def test_ini(tmp_path):
@@ -123,5 +163,24 @@ def test_keyness_formulas(spark):
     assert two["ratio"] != two["ratio"] and [round(two[k], 2) for k in ("ll", "bic", "log_ratio")] == [114.78, 103.93, 66.15]
 
 
-def test_corpus_names():
+def test_corpus_names(tmp_path):
     assert corpus_name("x/fr_gsd-ud-dev.conllu", "2.14") == "UD_French-GSD@2.14" and corpus_name("notes.conllu") is None
+    names = {"fr_partut-ud-dev": "UD_French-ParTUT", "en_lines-ud-train": "UD_English-LinES", "es_ancora-ud-test": "UD_Spanish-AnCora", "cop_scriptorium-ud-dev": "UD_Coptic-Scriptorium", "sl_ssj-ud-dev": "UD_Slovenian-SSJ", "fr_unknown-ud-dev": None, "xx_gsd-ud-dev": None}
+    assert {k: corpus_name(f"hdfs://h/{k}.conllu") for k in names} == names
+    (tmp_path / "m.json").write_text('{"xx": {"gsd": "UD_X-GSD"}}')
+    assert corpus_name("xx_gsd-ud-dev.conllu", mapping=str(tmp_path / "m.json")) == "UD_X-GSD" and "Grew-match URL" in sinks.header(MineSpec(size=(1, 2), grew_match=True), 2, False, "UD_X-GSD")
+
+
+def test_wide_grew_patterns_have_every_link(spark):
+    from grovecut.plans import queries as Q
+
+    rows = Q.grew_patterns_wide(spark, "/root/testdata/sf0.001").limit(3000).collect()
+    for r in rows:
+        key = r["key"][: -sum(c.isalpha() and c.isupper() for c in r["key"].rsplit(")", 1)[-1])]
+        n = key.count("&")
+        tests, places = r["pattern"].split("pattern {")[1][:-1].split("; "), []
+        nodes, edges, order = tests[:n], tests[n : 2 * n - 1], tests[2 * n - 1 :]
+        assert len(order) == n - 1 and all(x.count("[upos=") == 1 and ", xpos=" in x for x in nodes) and "without" not in r["pattern"]
+        places = [x.split(" ")[0] for x in nodes]
+        assert sorted(places) == [chr(65 + k) for k in range(n)] and {e.split("]-> ")[1] for e in edges} == set(places[1:])
+        assert sorted(e.split("-[")[1].split("]")[0] for e in edges) == sorted(x.split(" ")[0] for x in key.replace("<", ">").split(">")[1:])
