@@ -9,7 +9,8 @@ The hashes are as many bits as the number of documents needs plus SPARE_BITS, so
 SPARE_BITS bits a document at any size, and about one clean document in 2**SPARE_BITS is a suspect in vain.
 
 Null texts are never duplicates. Empty texts are duplicates of each other. Rows with the same text are duplicates
-whatever their ids, also when they have the same id or none.
+whatever their ids, also when they have the same id or none. Very long texts are hashed and compared whole. Ties: the least
+id is kept, and of rows that share it any one. An empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -82,7 +83,8 @@ def _own(bits: int):
         runs = [ungolomb(c, n, rice(bits, n)) for c, n in zip(codes, counts)]
         every = np.sort(np.concatenate(runs))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bitmaps = [np.packbits(np.isin(r, twice, assume_unique=False)).tobytes() for r in runs]
+        found = [np.isin(r, twice) for r in runs]
+        bitmaps = [np.packbits(f).tobytes() if f.any() else b"" for f in found]  # an empty one: nothing to send
         return pa.table({"sender": group["sender"], "owner": group["owner"], "bitmap": pa.array(bitmaps, pa.binary())})
 
     return run
@@ -119,9 +121,11 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = small(suspects(docs, id_col, text_col, **how))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("id")).join(found, "id", "left_semi")
-    groups = rows.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"), F.collect_list(F.struct("doc_id")).alias("all"))
-    return groups.where("copies > 1").select("keep_id", "copies", F.explode("all").alias("one")).select(F.col("one.doc_id").alias("doc_id"), "keep_id", "copies")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("id")).join(found, "id", "left_semi")
+    # Texts are grouped by their bytes; rows find their group again by a cryptographic hash, so that a text of many copies is no long list.
+    groups = rows.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies")).where("copies > 1")
+    groups = small(cut(groups.select(F.unhex(F.sha2("text", 256)).alias("s"), "keep_id", "copies")))
+    return rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("s")).join(groups, "s").select("doc_id", "keep_id", "copies")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
