@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, table
+from .text import words_of
 
 #: Bits of the hash, and bits that one round of the histogram resolves.
 HASH_BITS, ROUND_BITS = 60, 12
@@ -26,12 +27,6 @@ HASH_BITS, ROUND_BITS = 60, 12
 LEVELS = (0.25, 0.5, 1.0)
 
 
-def words_of(text: Column) -> Column:
-    """Tokens of a text: its runs of characters other than blanks."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
-    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, "[ \\t\\r\\n]+"))).cast("long")
-
-
 def place(id_col: str) -> Column:
     """The first 60 bits of md5 of the id as a number; a null id's is of the empty string."""
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")

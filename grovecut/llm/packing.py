@@ -1,13 +1,16 @@
 """Packing documents into windows of a fixed number of tokens with bounded space.
 
-Each partition keeps OPEN_WINDOWS windows open. A document goes into the open window that it fills best (the least
-room left over); where it fits none, the fullest window is emitted and a new one opened. A document longer than a
-window is cut: its whole windows are emitted full at once, its rest is packed like a document. What is open at a
-partition's end is a leftover: the leftovers of all partitions are packed once more in the same way, grouped so that
-a group's size is bounded, and then emitted.
+Documents are dealt to groups by a hash of id and text, GROUP_DOCS to a group, and taken in the order of that hash; so the
+result doesn't depend on how the table is partitioned. Each group keeps OPEN_WINDOWS windows open. A document goes into the
+open window that it fills best (the least room left over, then the oldest); where it fits none, the fullest window is
+emitted and a new one opened. A document longer than a window is cut: its whole windows are emitted full at once, its rest
+is packed like a document. What is open at a group's end is a leftover: the leftovers of all groups are merged, the fullest
+first, in groups of about MERGE_WINDOWS windows, whole leftovers into what they fill best.
 
 One row a piece: every token of every document is in exactly one row. A text without words gives one piece of length
-0. Null texts are like empty ones; a null id stays null. Window ids are unique; their values depend on the partitions.
+0. Null texts are like empty ones; a null id stays null. Repeated rows are packed each. Very long texts are cut, none is
+shortened. Ties between rows of equal id and text don't matter. An empty table gives an empty result. Other columns may
+have any names. Window ids are unique.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .mixing import words_of
+from .text import words_of
 
 WINDOW_TOKENS, OPEN_WINDOWS = 2048, 64
-#: Windows left over that are merged together by one task.
-MERGE_WINDOWS = 4096
+#: Documents of a group, and windows left over that are merged together by one task, about.
+GROUP_DOCS, MERGE_WINDOWS = 100_000, 4096
 
 SCHEMA = "window_id string, doc_id long, piece int, start long, length long, offset long"
 
@@ -86,38 +89,35 @@ def _window(prefix: str, number: int, items: list) -> list[tuple]:
 
 
 def _pack(capacity: int, most: int):
-    def run(batches):
-        from pyspark import TaskContext
-
-        prefix, packer, long = f"p{TaskContext.get().partitionId()}", Packer(capacity, most), 0
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, length in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist()):
-                whole, rest = divmod(length, capacity)
-                for piece in range(whole):
-                    out.append((f"{prefix}w{long}", doc, piece, piece * capacity, capacity, 0))
-                    long += 1
-                if rest or not whole:
-                    if (full := packer.add((doc, whole, whole * capacity, rest), rest)) is not None:
-                        out += _window(prefix, *full)
-                    for full in packer.done():
-                        out += _window(prefix, *full)
-            yield _rows(out, False)
-        yield _rows([r for number, items in packer.rest() for r in _window(prefix, number, items)], True)
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("tokens", "ascending")])
+        prefix, packer, long, out = f"g{key[0].as_py()}", Packer(capacity, most), 0, []
+        for doc, length in zip(group["doc_id"].to_pylist(), group["tokens"].to_pylist()):
+            whole, rest = divmod(length, capacity)
+            for piece in range(whole):
+                out.append((f"{prefix}w{long}", doc, piece, piece * capacity, capacity, 0))
+                long += 1
+            if rest or not whole:
+                if (full := packer.add((doc, whole, whole * capacity, rest), rest)) is not None:
+                    out += _window(prefix, *full)
+                for full in packer.done():
+                    out += _window(prefix, *full)
+        left = [r for number, items in packer.rest() for r in _window(prefix, number, items)]
+        return pa.Table.from_batches([_rows(out, False), _rows(left, True)])
 
     return run
 
 
-def _merge(capacity: int, most: int):
+def _merge(capacity: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("window_id", "ascending"), ("offset", "ascending")])
         rows = list(zip(*(group[c].to_pylist() for c in ("window_id", "doc_id", "piece", "start", "length"))))
         by: dict[str, list] = {}
         for window, *item in rows:
             by.setdefault(window, []).append(tuple(item))
-        sizes = sorted(((sum(i[3] for i in items), w) for w, items in by.items()), reverse=True)
+        sizes = sorted(((sum(i[3] for i in items), w) for w, items in by.items()), key=lambda x: (-x[0], x[1]))
         packer, prefix, out = Packer(capacity, len(sizes) + 1), f"m{key[0].as_py()}", []
-        for size, window in sizes:  # whole leftovers first find partners, the fullest first
+        for size, window in sizes:
             if (full := packer.add(window, size)) is not None:
                 out.append(full)
             out += packer.done()
@@ -128,13 +128,16 @@ def _merge(capacity: int, most: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = WINDOW_TOKENS, open_windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text", merge_windows: int = MERGE_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = WINDOW_TOKENS, open_windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text", merge_windows: int = MERGE_WINDOWS, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(window_id, doc_id, piece, start, length, offset): the document's tokens start .. start+length lie at offset of the window."""
-    lengths = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("tokens"))
-    placed = cut(lengths.mapInArrow(_pack(capacity, open_windows), SCHEMA + ", left boolean"))
+    text = F.col(text_col).cast("string")
+    lengths = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(text).alias("tokens"), F.xxhash64(F.col(id_col).cast("long"), text).alias("h")))
+    groups = max(1, -(-lengths.count() // group_docs))
+    grouped = lengths.groupBy(F.pmod("h", F.lit(groups)).cast("int").alias("g"))
+    placed = cut(grouped.applyInArrow(_pack(capacity, open_windows), SCHEMA + ", left boolean"))
     left = placed.where("left").drop("left")
-    groups = max(1, -(-left.agg(F.count_distinct("window_id")).head()[0] // merge_windows))
-    merged = left.groupBy(F.pmod(F.xxhash64("window_id"), F.lit(groups)).alias("g")).applyInArrow(_merge(capacity, open_windows), SCHEMA)
+    merges = max(1, -(-left.agg(F.count_distinct("window_id")).head()[0] // merge_windows))
+    merged = left.groupBy(F.pmod(F.xxhash64("window_id"), F.lit(merges)).alias("g")).applyInArrow(_merge(capacity), SCHEMA)
     return placed.where("not left").drop("left").unionByName(merged)
 
 

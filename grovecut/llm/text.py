@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
@@ -101,3 +103,28 @@ def grams(hashed: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     np.cumsum(counts, out=out[1:])
     at = np.arange(out[-1]) + np.repeat(bounds[:-1] - out[:-1], counts)
     return mix((total[at + n] - total[at]) * powers(_GRAM_INV, len(hashed) + 1)[at]), out
+
+
+def count_words(column: pa.Array) -> np.ndarray:
+    """The words of each row; a null has none."""
+    out = []
+    for _, part in chunks(column):
+        body, offsets = raw(part)
+        full = np.concatenate([~_SPACE[body], [False]])
+        start = full.copy()
+        start[1:] &= ~full[:-1]
+        first = offsets[:-1][np.diff(offsets) > 0]
+        start[first] = full[first]  # a row's first word may follow another row's last
+        total = np.concatenate([[0], np.cumsum(start)])
+        out.append(total[offsets[1:]] - total[offsets[:-1]])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, counted in Arrow batches; 0 for a null."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array(count_words(texts), pa.int64())
+
+    return count(text.cast("string"))
