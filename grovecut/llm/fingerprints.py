@@ -4,12 +4,16 @@ A text's words w0 w1 ... give, for two bases B and the modulus 2**31 - 1, the pr
 Any two spans of equal length are compared in constant time by S[e] - S[s], each multiplied by the other's power of B;
 the longest common extension of two places is found by binary search over such comparisons, for many pairs at once.
 
-The query links documents that begin alike: documents whose first HEAD_WORDS words have the same fingerprint are a
-group led by the least id, and each other member is told how many words it shares with the leader at the beginning
-and at the end. Fingerprints only are grouped; texts of members only are shuffled, in portions of bounded size.
-
-Null texts, texts of fewer words than HEAD_WORDS and rows without an id are in no group. Rows that share an id are
-each compared with the leader's first text.
+The query finds what documents share, wherever it stands in them. Of every SPAN_WORDS consecutive spans of SPAN_WORDS words the
+one whose fingerprint scrambles to the least number is a seed (the leftmost of equal ones); texts with fewer words have one
+seed, the whole text. So two documents that share 2 * SPAN_WORDS - 1 words in a row have a seed in common. Documents with a
+seed in common are a group led by the least id; every other member is extended around the seed, both ways, to the longest
+span that it shares with the leader. Only fingerprints and places are grouped; texts are sent to where they are compared,
+the leaders of large groups to several portions.
+
+Null texts, texts without words and rows without an id are in no group. Repeated rows don't match themselves: documents
+are told apart by id, and each text of an id counts. Very long texts are taken whole. Of several places of a seed in one
+text the first counts. An empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
-from .text import chunks, words
+from .common import cut, small, table, tidy_batches, tidy_group
+from .text import chunks, mix, words
 
 PRIME = np.uint64(2**31 - 1)
 BASES = (1_103_515_249, 805_459_861)
-HEAD_WORDS = 16
+SPAN_WORDS = 16
 #: Members that one portion of a group, and about one task, holds.
 PORTION, TASK_MEMBERS = 512, 2048
+#: Bits of a place within a piece of input.
+_PLACE = 28
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -78,83 +84,138 @@ class PrefixHashes:
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
+    def prints(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Fingerprints of spans that are equal for equal spans of any text: divided by the power of their place."""
+        out = np.zeros(len(start), np.uint64)
+        for base, s in zip(BASES, self.sums):
+            inverse = powers(pow(base, -1, int(PRIME)), self.n + 1)[start]
+            out = (out << np.uint64(31)) | ((s[end] + PRIME - s[start]) % PRIME * inverse % PRIME)
+        return out
+
 
-def _prints(head: int):
+def winnow(prints: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least scrambled print in each run of width prints of a row, or in all prints of a shorter row."""
+    if not len(prints):
+        return np.zeros(0, np.int64)
+    mask = np.uint64((1 << _PLACE) - 1)
+    code = (mix(prints) & ~mask) | np.arange(len(prints), dtype=np.uint64)
+    best, size = code.copy(), 1
+    while size < width:  # a running minimum
+        step = min(size, width - size)
+        best[: len(best) - step] = np.minimum(best[: len(best) - step], best[step:])
+        size += step
+    count = np.diff(bounds)
+    runs = np.maximum(count - width + 1, 0)
+    at = np.repeat(bounds[:-1], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    picked = [best[at]]
+    short = np.flatnonzero((count > 0) & (count < width))
+    if len(short):
+        cuts = np.stack([bounds[short], bounds[short + 1]], 1).ravel()
+        picked.append(np.minimum.reduceat(np.append(code, np.uint64(2**64 - 1)), cuts)[::2])
+    return np.unique(np.concatenate(picked) & mask).astype(np.int64)
+
+
+def seeds(column: pa.Array, span: int):
+    """(first row, row, place in it, print, words) of the seeds of pieces of a text column."""
+    for first, part in chunks(column):
+        _, _, bounds, hashed = words(part)
+        n = np.diff(bounds)
+        sums = PrefixHashes(hashed)
+        count = np.maximum(n - span + 1, 0)
+        spans = np.concatenate([[0], np.cumsum(count)])
+        row = np.repeat(np.arange(len(n)), count)
+        start = bounds[:-1][row] + np.arange(len(row)) - spans[:-1][row]
+        prints = sums.prints(start, start + span)
+        at = winnow(prints, spans, span)
+        short = np.flatnonzero((n > 0) & (n < span))
+        whole = mix(sums.prints(bounds[:-1][short], bounds[1:][short]) ^ mix(n[short].astype(np.uint64)))
+        rows = np.concatenate([row[at], short])
+        places = np.concatenate([start[at] - bounds[:-1][row[at]], np.zeros(len(short), np.int64)])
+        key = np.concatenate([prints[at], whole])
+        # a row's seed counts where it stands first
+        order = np.lexsort((places, key, rows))
+        new = np.ones(len(order), bool)
+        new[1:] = (rows[order][1:] != rows[order][:-1]) | (key[order][1:] != key[order][:-1])
+        keep = order[new]
+        yield first, rows[keep], places[keep], key[keep]
+
+
+def _seeds(span: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("id")
-            for first, part in chunks(batch.column("text")):
-                _, _, bounds, hashed = words(part)
-                n = np.diff(bounds)
-                has = np.flatnonzero(n >= head)
-                start = bounds[:-1][has]
-                sums = PrefixHashes(hashed)
-                fixed = np.zeros(len(has), np.uint64)
-                whole = np.zeros(len(has), np.uint64)
-                for base, s in zip(BASES, sums.sums):  # as if each began its text: divided by the power of its place
-                    inverse = powers(pow(base, -1, int(PRIME)), sums.n + 1)[start]
-                    fixed = (fixed << np.uint64(31)) | ((s[start + head] + PRIME - s[start]) % PRIME * inverse % PRIME)
-                    whole = (whole << np.uint64(31)) | ((s[bounds[1:][has]] + PRIME - s[start]) % PRIME * inverse % PRIME)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(part)).take(pa.array(has)), pa.array(fixed.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(n[has])], ["doc_id", "head", "whole", "words"])
+            for first, row, place, key in seeds(batch.column("text"), span):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(first + row)), pa.array(place)], ["seed", "doc_id", "place"])
+
+    return run
+
+
+def _prints(batches):
+    for batch in batches:
+        for first, part in chunks(batch.column("text")):
+            _, _, bounds, hashed = words(part)
+            whole = PrefixHashes(hashed).prints(bounds[:-1], bounds[1:])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(part)), pa.array(whole.view(np.int64)), pa.array(np.diff(bounds))], ["doc_id", "whole", "words"])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, whole, words): the fingerprint of each document, equal for equal sequences of words."""
+    return _rows(docs, id_col, text_col).mapInArrow(tidy_batches(_prints), "doc_id long, whole long, words long")
+
+
+def _compare(span: int):
+    def run(group: pa.Table) -> pa.Table:
+        is_text = group["text"].is_valid().to_numpy(zero_copy_only=False)
+        held, pairs = group.filter(pa.array(is_text)), group.filter(pa.array(~is_text))
+        hashes, bounds, at = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+        for _, part in chunks(held["text"]):
+            _, _, b, h = words(part)
+            hashes.append(h)
+            bounds.append(b[1:] + at)
+            at += len(h)
+        sums, bounds = PrefixHashes(np.concatenate(hashes)), np.concatenate(bounds)
+        where: dict[int, list[int]] = {}
+        for i, x in enumerate(held["doc_id"].to_pylist()):
+            where.setdefault(x, []).append(i)
+        asked = [(i, j, k) for k, (x, y) in enumerate(zip(pairs["doc_id"].to_pylist(), pairs["leader_id"].to_pylist())) for i in where.get(x, ()) for j in where.get(y, ())]
+        row, mate, of = np.array(asked, np.int64).reshape(-1, 3).T
+        place, other = pairs["place"].to_numpy()[of], pairs["leader_place"].to_numpy()[of]
+        n = np.diff(bounds)
+        there = (place < n[row]) & (other < n[mate])  # of several texts of an id one may be shorter
+        row, mate, of, place, other = (x[there] for x in (row, mate, of, place, other))
+        a, b = bounds[row] + place, bounds[mate] + other
+        after = sums.extension(a, b, np.minimum(n[row] - place, n[mate] - other))
+        before = sums.extension(a, b, np.minimum(place, other), back=True)
+        fine = (after >= span) | (after == n[row]) & (after == n[mate])
+        columns = [pairs["doc_id"].to_numpy()[of], pairs["leader_id"].to_numpy()[of], place - before, other - before, after + before]
+        found = np.unique(np.stack([c[fine] for c in columns], 1), axis=0)
+        return pa.table({c: found[:, k] for k, c in enumerate(("doc_id", "leader_id", "start", "leader_start", "words"))})
 
     return run
 
 
-def fingerprints(docs: DataFrame, head: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, head, whole, words): fingerprints of the first head words and of all words of each document that has so many."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_prints(head), "doc_id long, head long, whole long, words long")
-
-
-def _compare(group: pa.Table) -> pa.Table:
-    text = group["text"].combine_chunks()
-    leader, head, ids = group["leader"].to_numpy(), group["head"].to_numpy(), group["doc_id"].to_numpy()
-    first = {}
-    for i in np.flatnonzero(group["leads"].to_numpy(zero_copy_only=False)).tolist():
-        first.setdefault(int(head[i]), i)
-    hashes, bounds, at = [], [np.zeros(1, np.int64)], 0
-    for _, part in chunks(text):
-        _, _, b, h = words(part)
-        hashes.append(h)
-        bounds.append(b[1:] + at)
-        at += len(h)
-    sums, bounds = PrefixHashes(np.concatenate(hashes)), np.concatenate(bounds)
-    rows = np.flatnonzero(~group["leads"].to_numpy(zero_copy_only=False))
-    mate = np.array([first[int(h)] for h in head[rows]], np.int64)
-    most = np.minimum(np.diff(bounds)[rows], np.diff(bounds)[mate])
-    prefix = sums.extension(bounds[rows], bounds[mate], most)
-    suffix = sums.extension(bounds[rows + 1], bounds[mate + 1], most, back=True)
-    return pa.table({"doc_id": ids[rows], "leader_id": leader[rows], "words": np.diff(bounds)[rows], "common_prefix": prefix, "common_suffix": suffix})
-
-
-def alike_beginnings(docs: DataFrame, head: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, leader_id, words, common_prefix, common_suffix) of documents that share their first head words with one of a lesser id."""
-    found = cut(fingerprints(docs, head, id_col, text_col).select("doc_id", "head"))
-    groups = found.groupBy("head").agg(F.min("doc_id").alias("leader"), F.count_distinct("doc_id").alias("n")).where("n > 1")
-    members = cut(found.distinct().join(groups, "head"))
-    portions = F.ceil((F.col("n") - 1) / PORTION).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), portions).cast("int")
-    leads = members.where("doc_id = leader").select("doc_id", "head", "leader", F.lit(True).alias("leads"), F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"))
-    follows = members.where("doc_id <> leader").select("doc_id", "head", "leader", F.lit(False).alias("leads"), own.alias("portion"))
-    count = members.count()
-    tasks = max(4, count // TASK_MEMBERS)
-    asked = leads.union(follows).withColumn("task", F.pmod(F.xxhash64("head", "portion"), F.lit(tasks)))
-    asked = small(cut(asked.select("doc_id", "head", "leader", "leads", "task").distinct()))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(asked, "doc_id").groupBy("task").applyInArrow(_compare, "doc_id long, leader_id long, words long, common_prefix long, common_suffix long")
+def shared_spans(docs: DataFrame, span: int = SPAN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, leader_id, start, leader_start, words): the longest common spans of each document with the leaders of its seeds."""
+    rows = _rows(docs, id_col, text_col)
+    found = rows.mapInArrow(tidy_batches(_seeds(span)), "seed long, doc_id long, place long")
+    groups = found.groupBy("seed").agg(F.min("doc_id").alias("leader_id"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("leader_place")).where("leader_id < last").drop("last")
+    met = found.join(small(cut(groups)), "seed").where("doc_id <> leader_id")
+    pairs = cut(met.groupBy("doc_id", "leader_id", (F.col("place") - F.col("leader_place")).alias("apart")).agg(F.min("place").alias("place")))
+    size = pairs.groupBy("leader_id").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
+    tasks = max(4, pairs.count() // TASK_MEMBERS)
+    portion = F.pmod(F.xxhash64("doc_id"), F.col("portions"))
+    placed = cut(pairs.join(size, "leader_id").select("doc_id", "leader_id", "place", (F.col("place") - F.col("apart")).alias("leader_place"), F.pmod(F.xxhash64("leader_id", portion), F.lit(tasks)).alias("task")))
+    asked = small(cut(placed.select("task", "doc_id").union(placed.select("task", "leader_id")).distinct()))
+    texts = rows.withColumnRenamed("id", "doc_id").join(asked, "doc_id")
+    none = F.lit(None).cast("long")
+    both = texts.select("task", "doc_id", none.alias("leader_id"), none.alias("place"), none.alias("leader_place"), "text").union(placed.select("task", "doc_id", "leader_id", "place", "leader_place", F.lit(None).cast("string")))
+    return both.groupBy("task").applyInArrow(tidy_group(_compare(span)), "doc_id long, leader_id long, start long, leader_start long, words long")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents that begin with the same 16 words as an earlier one, with the words they share at both ends."""
-    return alike_beginnings(table(spark, sf_dir, "documents"))
-
-
-SQL = r"""
-WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, array_to_string(w[1:16], ' ') AS head FROM w WHERE len(w) >= 16),
-l AS (SELECT head, min(doc_id) AS leader_id, arg_min(w, doc_id) AS lw FROM h GROUP BY head HAVING count(DISTINCT doc_id) > 1)
-SELECT doc_id, leader_id, CAST(len(w) AS BIGINT) AS words,
-  CAST(coalesce(list_position(list_transform(range(1, least(len(w), len(lw)) + 1), lambda i: w[i] <> lw[i]), true) - 1, least(len(w), len(lw))) AS BIGINT) AS common_prefix,
-  CAST(coalesce(list_position(list_transform(range(0, least(len(w), len(lw))), lambda i: w[len(w) - i] <> lw[len(lw) - i]), true) - 1, least(len(w), len(lw))) AS BIGINT) AS common_suffix
-FROM h JOIN l USING (head) WHERE doc_id <> leader_id"""
+    """What each document shares with documents of lesser ids, wherever it stands, in all documents."""
+    return shared_spans(table(spark, sf_dir, "documents"))

@@ -22,7 +22,6 @@ QUERIES = {
 
 SQL = {
     "op1_suffix_dedup": suffixes.SQL,
-    "op3_fingerprints": fingerprints.SQL,
     "op4_ngram_join": ngramjoin.SQL,
     "op6_url_filter": urls.SQL,
     "op7_exact_dedup": exact.SQL,

@@ -21,6 +21,7 @@ def test_words_and_grams_depend_on_words_only():
     assert h[0:3].tolist() == h[4:7].tolist() == h[10:13].tolist() and h[7] != h[0]
     g, gb = text.grams(h, bounds, 2)
     assert np.diff(gb).tolist() == [2, 0, 0, 0, 3, 2, 2] and g[:2].tolist() == g[3:5].tolist() == g[7:9].tolist()
+    assert text.count_words(large(texts)).tolist() == text.count_words(pa.array(texts)).tolist() == [3, 0, 0, 0, 4, 3, 3] and len(text.count_words(pa.array([], pa.string()))) == 0
     assert [len(p) for _, p in text.chunks(large(texts), 1)] == [1, 3, 1, 1, 1] or sum(len(p) for _, p in text.chunks(large(texts), 1)) == 7
 
 

@@ -7,7 +7,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from grovecut.llm import components, exact, fingerprints, mixing, ngramjoin, packing, pii, registry, suffixes, toxicity, urls, wrappers
+from grovecut.llm import bloom, components, exact, fingerprints, mixing, ngramjoin, packing, pii, registry, suffixes, toxicity, urls, wrappers
 
 LONG = " ".join(f"w{i % 997}" for i in range(60_000))
 SCHEMA = "doc_id long, text string, source string, suspect int, row int, near_id int, near_keep int, toxic_score int, mix_source int, mix_at int, level int, id int, h int, label string"
@@ -121,8 +121,8 @@ def test_filter_lets_all_wanted_through(spark):
     import numpy as np
 
     names = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
-    bits = ngramjoin.bloom(spark.createDataFrame([(int(x),) for x in names], "name long"))
-    assert ngramjoin.passes(bits, names).all() and ngramjoin.passes(bits, names + 1).mean() < 0.01
+    bits = bloom.build(spark.createDataFrame([(int(x),) for x in names], "name long"))
+    assert bloom.passes(bits, names).all() and bloom.passes(bits, names + 1).mean() < 0.01
 
 
 def test_components(spark):
@@ -148,7 +148,7 @@ def test_passages(spark, awkward, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in suffixes.passages(docs).collect()}
     assert got == {(1, 2, 57), (2, 0, 55), (6, 0, 120)}
-    for how in ({"bucket_segments": 1}, {"filter_anchors": 1, "bucket_segments": 2}):
+    for how in ({"bucket_segments": 1}, {"splitter_sample": 1, "bucket_segments": 2}):
         assert {tuple(r) for r in suffixes.passages(docs, **how).collect()} == got
     assert {r["doc_id"] for r in suffixes.passages(awkward).collect()} >= {1, 2, 7} and suffixes.passages(empty).count() == 0
     with pytest.raises(ValueError):
@@ -165,29 +165,167 @@ def test_pii(awkward, empty, spark):
     assert {r["doc_id"]: (r["text"], r["replaced"]) for r in registry.QUERIES["op2_pii"](spark, SF).collect()} == {k: v for k, v in brute.items() if v[1]}
 
 
-def test_fingerprints(awkward, empty):
-    got = {tuple(r) for r in fingerprints.alike_beginnings(awkward, head=1).collect()}
-    assert (2, 1, 80, 80, 80) in got and fingerprints.alike_beginnings(empty).count() == 0 and fingerprints.fingerprints(awkward).count() >= 4
+def slow_spans(rows, span):
+    """The same from all spans of all texts: seeds, leaders and extensions word by word; only a span's fingerprint is the operator's."""
+    import numpy as np
+
+    from grovecut.llm.text import mix, words
 
+    import pyarrow as pa
 
-def test_packing(spark, awkward, empty):
+    texts, keys = [], []
+    for i, t in rows:
+        w = (t or "").split()
+        if i is None or not w:
+            continue
+        hashed = words(pa.array([t], pa.large_string()))[3]
+        assert len(hashed) == len(w)
+        p = fingerprints.PrefixHashes(hashed)
+        if len(w) < span:
+            seeds = {0: ("short", tuple(w))}
+        else:
+            prints = [int(x) for x in mix(p.prints(np.arange(len(w) - span + 1), np.arange(span, len(w) + 1)))]
+            prints = [x >> fingerprints._PLACE for x in prints]
+            seeds = {}
+            for k in range(max(1, len(prints) - span + 1)):
+                least = min(prints[k : k + span])
+                at = k + prints[k : k + span].index(least)
+                seeds[at] = tuple(w[at : at + span])
+        once: dict = {}
+        for at in sorted(seeds):
+            once.setdefault(seeds[at], at)
+        texts.append((i, w))
+        keys.append({at: seed for seed, at in once.items()})
+    leaders: dict = {}
+    for k in sorted(range(len(texts)), key=lambda k: texts[k][0]):
+        for at, seed in sorted(keys[k].items()):
+            leaders.setdefault(seed, (k, at))
+    out = set()
+    for k, (i, w) in enumerate(texts):
+        for at, seed in keys[k].items():
+            m, spot = leaders[seed]
+            if texts[m][0] == i:
+                continue
+            v = texts[m][1]
+            a, b = at, spot
+            while a and b and w[a - 1] == v[b - 1]:
+                a, b = a - 1, b - 1
+            c, d = at, spot
+            while c < len(w) and d < len(v) and w[c] == v[d]:
+                c, d = c + 1, d + 1
+            out.add((i, texts[m][0], a, b, c - a))
+    return out
+
+
+def test_shared_spans_against_brute_force(spark, awkward, empty, monkeypatch):
+    rng, rows = random.Random(12), []
+    phrases = [[f"p{g}x{k}" for k in range(rng.randint(3, 90))] for g in range(8)]
+    for i in range(120):
+        w = []
+        for _ in range(rng.randint(1, 5)):
+            w += rng.choice(phrases) if rng.random() < 0.5 else [rng.choice("abcde") + str(rng.randrange(30)) for _ in range(rng.randint(1, 40))]
+        rows.append((i, " ".join(w)))
+    rows += [(200, "tiny text"), (201, "tiny  text"), (202, "tiny"), (203, ""), (204, None), (205, "a " * 100), (206, "a " * 90), (None, "tiny text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for portion in (512, 2):
+        monkeypatch.setattr(fingerprints, "PORTION", portion)
+        got = [tuple(r) for r in fingerprints.shared_spans(docs, span=8).collect()]
+        assert len(got) == len(set(got)) and set(got) == slow_spans(rows, 8)
+    # whatever 2 * 8 - 1 words in a row two documents share, the later one shares 8 of them with a leader
+    spans, found = {}, {}
+    words = {i: (t or "").split() for i, t in rows}
+    for i, _, start, _, n in got:
+        found.setdefault(i, set()).update(tuple(words[i][k : k + 8]) for k in range(start, start + n - 7))
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - 14):
+            spans.setdefault(tuple(w[k : k + 15]), []).append((-1 if i is None else i, k))
+    for places in spans.values():
+        for i, k in places:
+            if i > min(places)[0] >= 0:
+                assert any(tuple(words[i][j : j + 8]) in found.get(i, ()) for j in range(k, k + 8))
+    got = {tuple(r) for r in fingerprints.shared_spans(awkward).collect()}
+    assert (2, 1, 0, 0, 80) in got and {(r[0], r[1]) for r in got} == {(2, 1), (3, 1)}
+    assert fingerprints.shared_spans(empty).count() == fingerprints.fingerprints(empty).count() == 0
+    prints = {r["doc_id"]: (r["whole"], r["words"]) for r in fingerprints.fingerprints(docs).collect()}
+    assert prints[200] == prints[201] != prints[202] and prints[203] == (0, 0) and 204 not in prints
+
+
+def test_op3_against_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = [tuple(r) for r in registry.QUERIES["op3_fingerprints"](spark, SF).collect()]
+    assert set(got) == slow_spans(rows, fingerprints.SPAN_WORDS) and len(got) == len(set(got)) and got
+
+
+def brute_pack(rows, capacity, most, merges):
+    """Windows as lists of (doc_id, start, length) from (doc_id, tokens) in order, group by group, with plain lists."""
+    out, left = [], []
+    for g, group in rows.items():
+        open_, number = [], 0
+
+        def emit(w):
+            out.append(w["items"])
+
+        for doc, n in group:
+            start = 0
+            while n - start >= capacity:
+                out.append([(doc, start, capacity)])
+                start += capacity
+            if n and start == n:
+                continue
+            rest = n - start
+            fits = [w for w in open_ if w["room"] >= rest]
+            if fits:
+                w = min(fits, key=lambda w: (w["room"], w["number"]))
+            else:
+                if len(open_) >= most:
+                    fullest = min(open_, key=lambda w: (w["room"], w["number"]))
+                    open_.remove(fullest)
+                    emit(fullest)
+                w = {"room": capacity, "number": number, "items": []}
+                number += 1
+                open_.append(w)
+            w["items"].append((doc, start, rest))
+            w["room"] -= rest
+            if not w["room"]:
+                open_.remove(w)
+                emit(w)
+        left += [(f"g{g}-{w['number']}", w["items"]) for w in open_]
+    for group in merges(left):
+        open_ = []
+        for size, name, items in sorted(((sum(i[2] for i in items), name, items) for name, items in group), key=lambda x: (-x[0], x[1])):
+            fits = [w for w in open_ if w[0] >= size]
+            w = min(fits, key=lambda w: (w[0], w[1])) if fits else [capacity, len(open_), []]
+            if not fits:
+                open_.append(w)
+            w[0] -= size
+            w[2] += items
+        out += [w[2] for w in open_]
+    return Counter(tuple(w) for w in out)
+
+
+def test_packing_against_brute_force(spark, awkward, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for table, capacity in ((docs, 2048), (docs, 50), (awkward, 100)):
-        rows = packing.pack(table, capacity=capacity, open_windows=3, merge_windows=5).collect()
-        fill, parts = Counter(), {}
-        for r in rows:
-            assert r["offset"] + r["length"] <= capacity
-            fill[r["window_id"]] += r["length"]
-            parts.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
-        by = {}
-        for r in rows:
-            by.setdefault(r["window_id"], []).append((r["offset"], r["length"]))
-        assert all(sum(n for _, n in w) == max(o + n for o, n in w) for w in by.values())
-        want = Counter()
-        for r in table.collect():
-            want[r["doc_id"]] += len((r["text"] or "").split())
-        assert {k: sum(n for _, n in v) for k, v in parts.items()} == dict(want)
-        assert sum(fill.values()) >= 0.8 * capacity * (len(fill) - 1)
+    for table, capacity, most, per in ((docs, 2048, 64, 10**6), (docs, 300, 3, 40), (awkward, 100, 2, 5)):
+        groups = max(1, -(-table.count() // per))
+        keyed = table.select("doc_id", F.length("text").alias("chars"), "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+        rows = {}
+        for r in sorted(keyed, key=lambda r: (r["h"], -1 if r["doc_id"] is None else r["doc_id"])):
+            rows.setdefault(r["h"] % groups, []).append((r["doc_id"], len((r["text"] or "").split())))
+        got = {}
+        for packed in (packing.pack(table, capacity, most, group_docs=per), packing.pack(table.repartition(7), capacity, most, group_docs=per)):
+            windows = {}
+            for r in sorted(packed.collect(), key=lambda r: (r["window_id"], r["offset"], r["length"])):
+                windows.setdefault(r["window_id"], []).append(r)
+            for w in windows.values():
+                at = 0
+                for r in sorted(w, key=lambda r: (r["offset"], r["length"])):
+                    assert r["offset"] == at and r["piece"] == r["start"] // capacity
+                    at += r["length"]
+                assert at <= capacity
+            got = Counter(tuple(sorted(((r["doc_id"], r["start"], r["length"]) for r in w), key=str)) for w in windows.values())
+            want = Counter(tuple(sorted(w, key=str)) for w in brute_pack(rows, capacity, most, lambda left: [left]).elements())
+            assert got == want
     assert packing.pack(empty).count() == 0
 
 
