@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import BROADCAST_ROWS, cut, fresh, small, table, tidy_batches, tidy_group
 from .components import components
 from .text import chunks, grams, mix, words
@@ -40,8 +41,6 @@ NGRAM, JACCARD, MOST_MATCHES = 3, 0.5, 16
 SKETCH_BITS = 22
 #: Prefix grams that one owner gets, about, sets on a side of a block of pairs, and sets that one verifying task gets, about.
 OWNER_GRAMS, BLOCK_SETS, TASK_SETS = 2_000_000, 4096, 1024
-#: Bits of the Bloom filter (16 MB whatever the corpus), slices in which it is built, and bits a name sets.
-BLOOM_BITS, BLOOM_SLICES, BLOOM_HASHES = 1 << 27, 16, 3
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -308,39 +307,6 @@ def _pairs(jaccard: float):
     return run
 
 
-def _bits(name: np.ndarray) -> np.ndarray:
-    """The places of names in the filter, a column for each hash."""
-    h = mix(name.view(np.uint64))
-    step = (mix(h) << np.uint64(1)) | np.uint64(1)
-    return np.stack([(h + np.uint64(k) * step) % np.uint64(BLOOM_BITS) for k in range(BLOOM_HASHES)], 1).astype(np.int64)
-
-
-def _places(batches):
-    for batch in batches:
-        at = np.unique(_bits(batch.column("name").to_numpy(zero_copy_only=False)))
-        yield pa.RecordBatch.from_arrays([pa.array((at // (BLOOM_BITS // BLOOM_SLICES)).astype(np.int32)), pa.array((at % (BLOOM_BITS // BLOOM_SLICES)).astype(np.int32))], ["slice", "at"])
-
-
-def _slice(group: pa.Table) -> pa.Table:
-    bits = np.zeros(BLOOM_BITS // BLOOM_SLICES, bool)
-    bits[group["at"].to_numpy()] = True
-    return pa.table({"slice": group["slice"][:1], "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
-
-
-def bloom(names_: DataFrame) -> np.ndarray:
-    """A filter of fixed size that lets all of names_ (column name) through, as packed bits."""
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    step = len(out) // BLOOM_SLICES
-    for r in names_.select("name").mapInArrow(_places, "slice int, at int").distinct().groupBy("slice").applyInArrow(_slice, "slice int, bits binary").collect():
-        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return out
-
-
-def passes(filter_: np.ndarray, name: np.ndarray) -> np.ndarray:
-    at = _bits(name)
-    return ((filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
-
-
 def _chosen(n: int, wanted):
     """(name, grams) of the documents whose set the filter lets through, each set once a task."""
 
@@ -350,7 +316,7 @@ def _chosen(n: int, wanted):
             for _, bounds, g in sets(batch.column("text"), n):
                 name, size = names(g, bounds), np.diff(bounds)
                 take = size > 0
-                take[take] = passes(wanted.value, name[take])
+                take[take] = bloom.passes(wanted.value, name[take])
                 rows = []
                 for i in np.flatnonzero(take).tolist():
                     if (x := int(name[i])) not in done:
@@ -422,7 +388,7 @@ def set_pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col:
     squares = parts.select("label", "x", "y", F.col("a").alias("name")).union(parts.select("label", "x", "y", F.col("b").alias("name"))).distinct()
     asked = cut(whole_.union(squares))
     n_asked = asked.count()
-    wanted = spark.sparkContext.broadcast(bloom(asked))
+    wanted = spark.sparkContext.broadcast(bloom.build(asked))
     whole = texts.mapInArrow(tidy_batches(_chosen(n, wanted)), "name long, grams binary")
     asked = F.broadcast(asked) if n_asked <= broadcast_rows else asked
     delivered = whole.join(asked, "name").select("label", "x", "y", F.col("name").alias("a"), F.lit(None).cast("long").alias("b"), "grams")

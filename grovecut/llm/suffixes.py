@@ -4,7 +4,8 @@ Asked for: all runs of at least L words that occur more than once in the corpus,
 
 Anchors. Of the ANCHOR_WORDS-word runs in each window of L words the one with the least hash is the window's anchor.
 Equal windows have equal anchors, so two equal windows are found if the suffixes of one anchor's windows are compared.
-1. All anchors of all documents are counted by their words; only anchors that occur twice can hold a repeat.
+1. All anchors of all documents are counted by their words; only anchors that occur twice can hold a repeat. A Bloom
+   filter of fixed size tells them to the scan; what it lets through in vain is sorted in vain.
 2. Splitters sampled from the anchors, weighted by their counts, range-partition them by leading words. An anchor
    that is heavier than a bucket is spread over several by a hash of its place.
 3. Each document sends an anchor's bucket the words that its windows span. A bucket sorts the suffixes that start there by
@@ -16,6 +17,8 @@ Neighbouring windows that repeat are joined into passages.
 Only words and their order count: blanks (space, tab, CR, LF) separate words. Words are compared by 32-bit and windows
 by 64-bit hashes of their bytes. Null texts and texts of fewer than L words have no passages. Repeated rows are copies of
 each other; rows with the same id are numbered as one document only if their text is the same, and are then reported once.
+Very long texts are taken whole. Ties don't matter: all of equal windows are reported. Rows without an id are left out. An
+empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import cut, table, tidy_batches, tidy_group
 from .text import chunks, grams, mix, words
 
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 4
 #: Anchored suffixes' segments that one bucket gets, about.
 BUCKET_SEGMENTS = 30_000
-#: Anchors up to which the repeated ones are broadcast as a filter; beyond it all are sent.
-FILTER_ANCHORS = 8_000_000
+#: Anchors from which splitters are chosen, about; those that are heavier than a bucket come on top.
+SPLITTER_SAMPLE = 500_000
 #: A group is split around a pivot as long as it has more suffixes than this.
 SMALL_GROUP = 8192
 
@@ -105,16 +109,28 @@ def _anchor_counts(length: int):
     return run
 
 
+def name_of(k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
+    """One number for the words of an anchor."""
+    return mix(k0 ^ mix(k1 + np.uint64(0x51ED270B))).view(np.int64)
+
+
+def _named(batches):
+    for batch in batches:
+        k0, k1 = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("k0", "k1"))
+        yield pa.RecordBatch.from_arrays([pa.array(name_of(k0, k1))], ["name"])
+
+
 class Splitters:
     """Range partition of anchors by leading words: bounds, the buckets each range has, and heavy anchors over several."""
 
-    def __init__(self, k0: np.ndarray, k1: np.ndarray, count: np.ndarray, segments: int, filtered: bool, scale: float = 1.0) -> None:
+    def __init__(self, k0: np.ndarray, k1: np.ndarray, weight: np.ndarray, segments: int, filter_: np.ndarray) -> None:
+        """weight: the occurrences that an anchor stands for. filter_: a Bloom filter of the anchors that are sent."""
         order = np.lexsort((k1, k0))
-        k0, k1, weight = k0[order], k1[order], count[order] * scale
+        k0, k1, weight = k0[order], k1[order], weight[order]
         total = np.cumsum(weight)
         goals = np.arange(segments, total[-1] if len(total) else 0, segments)
         at = np.unique(np.searchsorted(total, goals))
-        heavy = weight > segments
+        heavy = weight > segments  # an anchor of the sample that stands for many others may be a range of its own, too
         edge = np.zeros(len(k0) + 1, bool)
         edge[at] = True
         edge[:-1] |= heavy  # a heavy anchor is a range of its own
@@ -128,7 +144,7 @@ class Splitters:
         parts[which] = np.ceil(weight[heavy] / segments).astype(np.int64)
         self.parts, self.base = parts, np.cumsum(parts) - parts
         self.buckets = int(parts.sum())
-        self.known = (k0, k1) if filtered else None
+        self.filter = filter_
 
     def _rank(self, k0: np.ndarray, k1: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
         """How many (s0, s1) are at most (k0, k1)."""
@@ -139,10 +155,7 @@ class Splitters:
         return out
 
     def keep(self, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
-        if self.known is None:
-            return np.ones(len(k0), bool)
-        rank = self._rank(k0, k1, *self.known) - 1
-        return (rank >= 0) & (self.known[0][rank] == k0) & (self.known[1][rank] == k1) if len(self.known[0]) else np.zeros(len(k0), bool)
+        return bloom.passes(self.filter, name_of(k0, k1))
 
     def bucket(self, k0: np.ndarray, k1: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bucket, whether the anchor lies across buckets)."""
@@ -302,7 +315,7 @@ def _sort(length: int):
     return run
 
 
-def passages(docs: DataFrame, length: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", bucket_segments: int = BUCKET_SEGMENTS, filter_anchors: int = FILTER_ANCHORS) -> DataFrame:
+def passages(docs: DataFrame, length: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", bucket_segments: int = BUCKET_SEGMENTS, splitter_sample: int = SPLITTER_SAMPLE) -> DataFrame:
     """(doc_id, start_word, end_word): the maximal runs of windows of `length` words each of which occurs elsewhere too.
 
     end_word is exclusive. Rows without an id are left out.
@@ -313,11 +326,12 @@ def passages(docs: DataFrame, length: int = PASSAGE_WORDS, id_col: str = "doc_id
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counts = cut(rows.select("text").mapInArrow(tidy_batches(_anchor_counts(length)), "k0 long, k1 long").groupBy("k0", "k1").agg(F.count("*").alias("c")).where("c > 1"))
     n = counts.count()
-    filtered = n <= filter_anchors
-    sample = counts if filtered else counts.where(F.abs(F.xxhash64("k0", "k1") % 1_000_000) < 1_000_000 * filter_anchors / n)
-    got = sample.toArrow()
+    scale = max(1, n // splitter_sample)
+    heavy = F.col("c") > bucket_segments
+    got = counts.where(heavy | (F.pmod(F.xxhash64("k0", "k1"), F.lit(scale)) == 0)).toArrow()
     k0, k1, c = (got[x].to_numpy() for x in ("k0", "k1", "c"))
-    splitters = Splitters(k0.view(np.uint64), k1.view(np.uint64), c, bucket_segments, filtered, n / max(1, len(k0)))
+    weight = np.where(c > bucket_segments, c, c * scale)
+    splitters = Splitters(k0.view(np.uint64), k1.view(np.uint64), weight, bucket_segments, bloom.build(counts.mapInArrow(_named, "name long")))
     shared = spark.sparkContext.broadcast(splitters)
     sent = rows.mapInArrow(tidy_batches(_segments(length, shared)), "bucket int, doc binary, start binary, runs binary, across binary, words binary")
     found = sent.groupBy("bucket").applyInArrow(tidy_group(_sort(length)), "doc_id long, first long, last long, hash long, across boolean, known boolean")
