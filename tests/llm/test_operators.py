@@ -347,6 +347,44 @@ def test_urls(spark, empty):
     assert urls.decide(df.limit(0)).count() == 0
 
 
+def linked_pages(rng):
+    """Pages whose links are of every kind and form connected groups of several hosts."""
+    hosts = ["a.org", "www.b.net", "m.c.com", "Casino-Win.example.net", "free-bets.example.net", "d.org:8080", "sub.cheap-pills.example.com"]
+    url = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/x.html', '/p/', '/p/index.html', '/P', '/en'])}{rng.choice(['', '?a=1&utm_x=2', '?b=2&a=1', '#t'])}"
+    rows = []
+    for k in range(150):
+        to = rng.choice([url(), "/en/y", "z.html", "?q=1", "//a.org/p", url().replace("&", "&amp;"), "/P?x=1&#38;y=2"])
+        q = rng.choice(["'", '"', ""])
+        html = rng.choice([
+            "", "<p>nothing</p>", "<link rel=stylesheet href=/x.css>",
+            f"<html><LINK href={q}{to}{q} rel={q}canonical{q}>", f"<link rel=icon href=/i><link rel='canonical' data-x=1 href={q}{to}{q}/>", f"<meta http-equiv={q}refresh{q} content='0; url={to}'>",
+        ])
+        rows.append((k, rng.choice([None, "", "no host", "mailto:x@y"]) if rng.random() < 0.1 else url(), html if rng.random() < 0.9 else None))
+    return rows + rows[:3], [(url(), url()) for _ in range(12)] + [(None, url()), (url(), None)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_url_decisions_equal_their_sql_on_linked_pages(spark, seed):
+    import duckdb
+    import pandas as pd
+    from conftest import rows
+
+    pages, redirects = linked_pages(random.Random(seed))
+    con = duckdb.connect()
+    frames = [pd.DataFrame(pages, columns=["page_id", "url", "html"]), pd.DataFrame(redirects, columns=["source", "target"])]
+    con.register("pages", frames[0])
+    con.register("redirects", frames[1])
+    got = urls.decide(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), redirects=spark.createDataFrame(redirects, "source string, target string"))
+    want = con.execute(urls.sql("SELECT source, target FROM redirects WHERE source IS NOT NULL AND target IS NOT NULL")).df()
+    assert rows(got.toPandas()) == rows(want) and len(set(want.decision)) == 3 and want.resource.nunique() < want.url.nunique()
+
+
+def test_url_rules_and_links(spark):
+    pages = [(1, "https://a.org/Path/x", ""), (2, "https://a.org/path/x", ""), (3, "https://b.org/1", '<link rel=canonical href="//A.org/Path/y">'), (4, "https://b.org/d/2", '<link rel=canonical href="3?x=1&amp;y=2">'), (5, "https://b.org/d/3?y=2&x=1", '<meta http-equiv=refresh content="0;url=//a.org/Path">'), (None, "https://a.org/Path", ""), (6, "https://b.org/" + "z" * 50_000, '<link rel=canonical href="https://a.org/Path/' + "q" * 50_000 + '">')]
+    got = urls.decide(spark.createDataFrame(pages, "page_id long, url string, html string"), block=["A.org/Path"], allow=[]).collect()
+    assert {r["page_id"]: r["decision"] for r in got} == {1: "block", 2: "none", 3: "block", 4: "block", 5: "block", None: "block", 6: "block"}
+
+
 def test_wrappers(spark):
     page = lambda t, items: f"<h1>{t}</h1><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul><p>Imprint</p>"
     pages = [(1, "http://h/1", page("One", "ab")), (2, "http://h/2", page("Two", "cd")), (2, "http://h/2", page("Two", "cd")), (3, "http://i/", page("Three", "e")), (4, None, None), (5, "http://h/3", ""), (6, "http://h/4", page("Big", ["word"] * 30_000))]
