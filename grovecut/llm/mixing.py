@@ -4,21 +4,22 @@ A document's place is a hash of its id in [0, 1). For each source and each budge
 place is below a threshold, so a smaller budget's documents are among a larger one's. The threshold is found without
 sorting: tokens are summed by source and hash bucket, the bucket in which the budget runs out is cut again into finer
 buckets, and so on until it holds single hashes. Only documents of boundary buckets are summed again. Then one filter
-by a threshold a source reads the documents.
+by a threshold a source reads the documents. What is known of sources stays in tables, whatever their number.
 
 A budget is met from below: the kept documents are the longest run in hash order whose tokens don't exceed it. Rows
 whose ids have the same hash (repeated rows, null ids) stay or go together. A null source is a source of its own; a
 source without a weight gets nothing. A null text has 0 tokens; documents of 0 tokens stay if their place is below the threshold.
+Very long texts count whole. An empty table, or one without words, gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, small, table
 from .text import words_of
 
 #: Bits of the hash, and bits that one round of the histogram resolves.
@@ -32,83 +33,90 @@ def place(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def budgets(totals: Mapping[str | None, int], weights: Mapping[str | None, float], share: float) -> dict[str | None, int]:
-    """Tokens that each source gives in the largest mixture of these weights, times share."""
-    use = {s: w for s, w in weights.items() if w > 0 and totals.get(s, 0) > 0}
-    if not use:
-        return {}
-    total = sum(use.values())
-    most = min(totals[s] / (w / total) for s, w in use.items())
-    return {s: int(most * (w / total) * share + 1e-9) for s, w in use.items()}
+def weighted(totals: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
+    """(source, n, w): the sources that have tokens and a weight; by default the square root of their tokens, which draws less from the largest."""
+    totals = totals.where("n > 0")
+    if weights is None:
+        return totals.withColumn("w", F.sqrt("n"))
+    rows = [(s, float(w)) for s, w in weights.items() if w > 0]
+    given = totals.sparkSession.createDataFrame(rows, "s string, w double")
+    return totals.join(given, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
-def thresholds(sized: DataFrame, want: Mapping[tuple[str | None, int], int]) -> dict[tuple[str | None, int], int]:
-    """For (source, level) the place below which documents stay. sized has source, place and tokens and should be cheap to read again."""
-    start = {k: 0 for k in want}
-    left = dict(want)
-    done: dict[tuple[str | None, int], int] = {}
-    for low in range(HASH_BITS - ROUND_BITS, -1, -ROUND_BITS):
-        span = 1 << (low + ROUND_BITS)
-        cuts = sorted({(s, start[s, k]) for s, k in left}, key=str)
-        if not cuts:
-            break
-        spark = sized.sparkSession
-        here = F.broadcast(spark.createDataFrame([(s, a) for s, a in cuts], "s string, a long"))
-        rows = sized.join(here, F.col("source").eqNullSafe(F.col("s")) & (F.expr(f"shiftright(place, {low + ROUND_BITS}) = shiftright(a, {low + ROUND_BITS})")))
-        sums = rows.groupBy("s", "a", F.expr(f"shiftright(place - a, {low})").cast("int").alias("b")).agg(F.sum("tokens").alias("n")).collect()
-        by: dict = {}
-        for r in sums:
-            by.setdefault((r["s"], r["a"]), []).append((r["b"], r["n"]))
-        for key in list(left):
-            at, rest = start[key], left[key]
-            for b, n in sorted(by.get((key[0], at), ())):
-                if n > rest:
-                    start[key], left[key] = at + (b << low), rest
-                    if low == 0:
-                        done[key] = start[key]
-                        left.pop(key)
-                    break
-                rest -= n
-            else:
-                done[key] = at + span
-                left.pop(key)
-    return done
+def largest(sources: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+    """(source, level, left): tokens that each source gives in shares of the largest mixture of these weights without repetition."""
+    total = sources.agg(F.sum("w")).head()[0] or 1.0
+    most = sources.agg(F.min(F.col("n") / (F.col("w") / total))).head()[0] or 0.0
+    return _budgets(sources, F.lit(most) * (F.col("w") / total), levels)
 
 
-def _levels(docs: DataFrame, weights: Mapping[str | None, float] | None, levels: tuple[float, ...], id_col: str, text_col: str, source_col: str) -> dict:
-    sized = cut(docs.select(F.col(source_col).cast("string").alias("source"), place(id_col).alias("place"), words_of(F.col(text_col)).alias("tokens")))
-    totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    weights = weights if weights is not None else default_weights(totals)
-    want = {(s, k): b for k, share in enumerate(levels) for s, b in budgets(totals, weights, share).items()}
-    return thresholds(sized, want)
-
+def filled(sources: DataFrame, keep: float) -> DataFrame:
+    """(source, level, left) for a share keep of all tokens: a source that has less than its weight asks for is taken whole, and the others share the rest by weight.
 
-def default_weights(totals: Mapping[str | None, int]) -> dict[str | None, float]:
-    """Shares by the square root of a source's tokens, which draws less from the largest."""
-    return {s: float(n) ** 0.5 for s, n in totals.items() if n}
+    So a source of a few tokens holds up nobody.
+    """
+    all_, total = sources.agg(F.sum("n"), F.sum("w")).head()
+    want = keep * (all_ or 0)
+    by = Window.orderBy(F.col("n") / F.col("w"), F.col("source")).rowsBetween(Window.unboundedPreceding, 0)  # one row a source
+    steps = sources.select("n", "w", F.sum("n").over(by).alias("whole"), F.sum("w").over(by).alias("weight"))
+    used = F.col("whole") + F.col("n") / F.col("w") * (F.lit(total or 0.0) - F.col("weight"))
+    whole, weight = steps.where(used <= want).agg(F.max("whole"), F.max("weight")).head()
+    whole, weight = whole or 0, weight or 0.0
+    rest = (total or 0.0) - weight
+    a_weight = (want - whole) / rest if rest > 1e-9 * (total or 1.0) else float("inf")
+    return _budgets(sources, F.least(F.col("n").cast("double"), F.lit(a_weight) * F.col("w")), (1.0,))
+
+
+def _budgets(sources: DataFrame, tokens: Column, levels: tuple[float, ...]) -> DataFrame:
+    each = F.array(*[F.floor(tokens * share + 1e-9).cast("long") for share in levels])
+    return sources.select("source", F.posexplode(each).alias("level", "left"))
+
+
+def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(source, level, at): documents whose place is below at stay. sized has source, place and tokens and should be cheap to read again."""
+    now = cut(budgets.select("source", "level", "left", F.lit(0).cast("long").alias("start")))
+    done = None
+    for low in range(HASH_BITS - ROUND_BITS, -1, -ROUND_BITS):
+        top = low + ROUND_BITS
+        if top < HASH_BITS:  # only the buckets in which a budget ran out
+            here = small(cut(now.select(F.col("source").alias("s"), F.shiftright("start", top).alias("high")).distinct()))
+            sized = cut(sized.join(here, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("place", top) == F.col("high"))).select("source", "place", "tokens"))
+        sums = sized.groupBy(F.col("source").alias("s"), F.shiftright("place", top).alias("high"), F.shiftright("place", low).bitwiseAND(F.lit((1 << ROUND_BITS) - 1)).alias("b")).agg(F.sum("tokens").alias("n"))
+        by = Window.partitionBy("source", "level").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        met = now.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("start", top) == F.col("high"))).withColumn("upto", F.sum("n").over(by))
+        over = met.where(F.col("upto") > F.col("left")).groupBy("source", "level").agg(F.min(F.struct("b", (F.col("left") - (F.col("upto") - F.col("n"))).alias("rest"))).alias("x"))
+        over = over.select(F.col("source").alias("s"), F.col("level").alias("l"), "x.b", "x.rest")
+        joined = cut(now.join(over, F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")), "left"))
+        spot = F.col("start") + F.col("b") * F.lit(1 << low)
+        ended = joined.where("b IS NULL").select("source", "level", (F.col("start") + F.lit(1 << top)).alias("at"))
+        if low == 0:
+            ended = ended.union(joined.where("b IS NOT NULL").select("source", "level", spot.alias("at")))
+        done = ended if done is None else done.union(ended)
+        now = joined.where("b IS NOT NULL").select("source", "level", F.col("rest").alias("left"), spot.alias("start"))
+    return done
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, levels: tuple[float, ...] = LEVELS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, levels: tuple[float, ...] = LEVELS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: float | None = None) -> DataFrame:
     """docs with a column level: the number of the least budget that holds the document; the others are left out.
 
-    weights: target share of tokens by source, by default in proportion to the square root of its tokens. levels: rising shares of the largest mixture that the sources can give.
+    weights: target share of tokens by source, by default in proportion to the square root of its tokens. levels: rising shares of the largest mixture that the sources can give. keep: instead of these one budget, see filled().
     """
-    found = _levels(docs, weights, levels, id_col, text_col, source_col)
-    by: dict = {}
-    for (s, k), t in found.items():
-        by.setdefault(s, {})[k] = t
-    rows = [(s, [t.get(k, 0) for k in range(len(levels))]) for s, t in by.items()]
+    sized = cut(docs.select(F.col(source_col).cast("string").alias("source"), place(id_col).alias("place"), words_of(F.col(text_col)).alias("tokens")))
+    sources = cut(weighted(sized.groupBy("source").agg(F.sum("tokens").alias("n")), weights))
+    found = thresholds(sized, largest(sources, levels) if keep is None else filled(sources, keep))
     at, level, spot = fresh(docs, "mix_source"), fresh(docs, "level"), fresh(docs, "mix_at")
-    cuts = F.broadcast(docs.sparkSession.createDataFrame(rows, f"`{at}` string, `{spot}` array<long>"))
-    low = F.coalesce(*[F.when(place(id_col) < F.col(spot)[k], F.lit(k)) for k in range(len(levels))])
+    n = len(levels) if keep is None else 1
+    cuts = found.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("level", "at"))).alias("m"))
+    cuts = small(cut(cuts.select(F.col("source").alias(at), F.array(*[F.coalesce(F.col("m")[k], F.lit(0).cast("long")) for k in range(n)]).alias(spot))))
+    low = F.coalesce(*[F.when(place(id_col) < F.col(spot)[k], F.lit(k)) for k in range(n)])
     out = docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col(at))).withColumn(level, low)
     return out.where(F.col(level).isNotNull()).drop(at, spot)
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the largest mixture, with the columns of docs."""
+def mixed(docs: DataFrame, keep: float, **how) -> DataFrame:
+    """The documents of a mixture of a share keep of all tokens, with the columns of docs."""
     columns = docs.columns
-    return mix(docs, levels=(1.0,), **how).select(*columns)
+    return mix(docs, keep=keep, **how).select(*columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from grovecut.llm import exact, fingerprints, mixing, ngramjoin, packing, pii, suffixes, text, toxicity, wrappers
+from grovecut.llm import exact, fingerprints, ngramjoin, packing, pii, suffixes, text, toxicity, wrappers
 
 
 def large(texts):
@@ -327,8 +327,6 @@ def test_common_subsequence_is_longest():
         assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
 
 
-def test_budgets_and_prefix_rules():
-    assert mixing.budgets({"a": 100, "b": 10}, {"a": 1, "b": 1, "c": 5}, 1.0) == {"a": 10, "b": 10}
-    assert mixing.budgets({}, {"a": 1}, 1.0) == {}
+def test_sets_of_short_texts():
     _, bounds, g = next(ngramjoin.sets(pa.array(["a b c d", "a b", None, "b a"]), 3))
     assert np.diff(bounds).tolist() == [2, 1, 0, 1] and len(set(g.tolist())) == 4

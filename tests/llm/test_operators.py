@@ -333,10 +333,62 @@ def test_packing_against_brute_force(spark, awkward, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_mixing(awkward, empty):
-    got = mixing.mix(awkward, {"a": 1.0, "b": 1.0, None: 1.0}, (0.5, 1.0))
-    assert got.columns == [*awkward.columns, "level_"] and {r["source"] for r in got.collect()} <= {"a", "b", None}
-    assert mixing.mix(empty).count() == 0 and mixing.mixed(awkward).columns == awkward.columns
+def slow_mix(rows, weights, levels, keep=None):
+    """(doc_id, source): level, by sorting each source's documents by hash."""
+    import hashlib
+
+    docs = [(int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16), i, s, len((t or "").split())) for i, t, s in rows]
+    n = Counter()
+    for _, _, s, k in docs:
+        n[s] += k
+    w = {s: (k**0.5 if weights is None else weights.get(s, 0)) for s, k in n.items() if k}
+    w = {s: x for s, x in w.items() if x > 0}
+    if not w:
+        return Counter()
+    if keep is None:
+        scale = min(n[s] / w[s] for s in w)
+        budget = {s: [int(scale * w[s] * x + 1e-6) for x in levels] for s in w}
+    else:
+        low, high = 0.0, max(n[s] / w[s] for s in w)
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(n[s], mid * w[s]) for s in w) <= keep * sum(n[s] for s in w) else (low, mid)
+        budget = {s: [int(min(n[s], high * w[s]) + 1e-6)] for s in w}
+    out = Counter()
+    for s in w:
+        used = Counter()
+        for p, _, t, k in docs:
+            if t == s:
+                used[p] += k
+        upto, total = {}, 0
+        for p in sorted(used):
+            total += used[p]
+            upto[p] = total
+        for p, i, t, _ in docs:
+            if t == s and (level := next((k for k, b in enumerate(budget[s]) if upto[p] <= b), None)) is not None:
+                out[i, s, level] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights,keep", [(None, None), ({"a": 1.0, "b": 1.0, None: 1.0}, None), ({"a": 3.0, "zz": 2.0}, None), (None, 0.9), (None, 0.4), ({"a": 1.0, "b": 5.0}, 0.7), (None, 1.0), ({}, None)])
+def test_mixing_against_brute_force(spark, awkward, empty, weights, keep):
+    rng = random.Random(3)
+    rows = [(k % 390, " ".join(["w"] * rng.randrange(60)), rng.choice(["a", "a", "a", "b", "b", None, "stray"][: 6 if k else 7])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for table, of in ((docs, rows), (awkward, [(r["doc_id"], r["text"], r["source"]) for r in awkward.collect()])):
+        levels = (0.5, 1.0)
+        out = mixing.mix(table, weights, levels, keep=keep)
+        got = Counter((r["doc_id"], r["source"], r[out.columns[-1]]) for r in out.collect())
+        assert out.columns[:-1] == table.columns and got == slow_mix(of, weights, levels, keep)
+    assert mixing.mix(empty, weights, keep=keep).count() == 0
+    assert mixing.mixed(awkward, 1.0).columns == awkward.columns
+
+
+def test_a_stray_source_does_not_empty_a_mixture(spark):
+    rows = [(k, "w " * 50, "ab"[k % 2]) for k in range(400)] + [(1000, "w", "stray")]
+    kept = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), 0.9)
+    by = {r["source"]: r["count"] for r in kept.groupBy("source").count().collect()}
+    assert by["stray"] == 1 and min(by["a"], by["b"]) >= 175
 
 
 def test_urls(spark, empty):
@@ -541,6 +593,34 @@ def test_pipeline_stages_against_brute_force(spark):
     assert {r["doc_id"] for r in out.collect()} == set(now)
     mixed = P.STAGES[3][1](spark, out, SF).cache()
     kept = {r["doc_id"] for r in mixed.collect()}
+    assert kept == {i for i, _, _ in slow_mix([(r["doc_id"], r["text"], r["source"]) for r in out.collect()], None, (1.0,), P.KEEP_TOKENS)}
     packed = P.STAGES[4][1](spark, mixed, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert mixed.columns == docs.columns and {r["doc_id"]: r["n"] for r in packed} == {i: len(now[i].split()) for i in kept} and kept
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing", "packing"]
+
+
+def test_pipeline_run_on_awkward_and_empty_tables(spark, awkward, empty, tmp_path):
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, docs in (("awkward", awkward), ("empty", empty)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = P.run(spark, folder)
+        assert out.columns == ["window_id", "doc_id", "piece", "start", "length", "offset"]
+        by = Counter()
+        for r in out.collect():
+            by[r["doc_id"]] += r["length"]
+        if name == "empty":
+            assert not by
+            continue
+        # 10 is toxic, 2 and the third copy of 1 go, 6 is as empty as 5, 7 comes once, 3 is nearly 1
+        now = [(1, 80, "a"), (4, 0, "b"), (5, 0, "c"), (None, 2, None), (7, 60_000, "a"), (8, 1, "b"), (9, 0, "b"), (11, 2, "c")]
+        mixed = slow_mix([(i, "w " * n, s) for i, n, s in now], None, (1.0,), P.KEEP_TOKENS)
+        sizes = {i: n for i, n, _ in now}
+        assert by == Counter({i: sizes[i] for i, _, _ in mixed}) and set(by) == {i for i, _, _ in mixed}
+        shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        import glob
+
+        assert all(len(glob.glob(f"{f}/*")) == 1 for f in glob.glob(shared.removeprefix("file:") + "/pipeline-*"))
