@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .conllu import TOKEN
+from .tables import spread
 
 LENGTHS = (9, 28, 4, 17, 14)
 #: No derived tree is higher: edges from the top to the bottom.
@@ -102,10 +103,7 @@ def _run(batches: Iterable[pa.RecordBatch]):
 def derive(documents: DataFrame) -> DataFrame:
     """(path, sent_key, sent_id, toks, conllu): the sentences of each document, path is its lang. Null texts have none; without a doc_id sent_key is null."""
     texts = documents.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    if len(documents.inputFiles()) < cores:  # a file is split at its row groups only, of which a small one has one
-        texts = texts.repartition(cores, "doc_id")
-    return texts.mapInArrow(_run, f"path string, sent_key long, sent_id string, toks array<{TOKEN}>, conllu string")
+    return spread(texts).mapInArrow(_run, f"path string, sent_key long, sent_id string, toks array<{TOKEN}>, conllu string")
 
 
 #: The tokens in DuckDB, as a chain of WITH parts that ends in every (all tokens) and tok (those on a root).
