@@ -47,6 +47,14 @@ def test_exact(spark, awkward, empty):
     assert exact.duplicates(empty).count() == exact.deduplicate(empty).count() == 0
 
 
+def test_exact_on_long_texts_and_many_copies(spark):
+    rows = [(k, "hot") for k in range(3000)] + [(5000, LONG), (5001, LONG + " x"), (5002, LONG), (None, LONG), (5003, None), (5004, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r["keep_id"], r["copies"]) for r in exact.duplicates(docs).collect())
+    assert got == Counter({(0, 3000): 3000, (5000, 3): 3})
+    assert {r["doc_id"] for r in exact.deduplicate(docs).collect()} == {0, 5000, 5001, 5003, 5004}
+
+
 def test_exact_with_short_hashes_still_compares_bytes(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 390).alias("text"))
     assert exact.duplicates(docs, spare_bits=0, owner_docs=50).count() == 20 and exact.deduplicate(docs, spare_bits=0, owner_docs=50).count() == 390
@@ -142,6 +150,40 @@ def test_components(spark):
     assert got == {x: top(x) for x in list(root)}
 
 
+def slow_passages(rows, length):
+    """Runs of windows that occur at two places, from all windows; equal texts of one id are one document."""
+    docs = {(i, t) for i, t in rows if i is not None and t is not None}
+    at = {}
+    for k, (i, t) in enumerate(sorted(docs, key=str)):
+        w = t.split()
+        for p in range(len(w) - length + 1):
+            at.setdefault(tuple(w[p : p + length]), []).append((i, p))
+    starts = sorted({place for places in at.values() if len(places) > 1 for place in places})
+    out, before = [], None
+    for i, p in starts:
+        if before is not None and before[0] == i and p <= before[2] - length + 1:
+            before[2] = p + length
+        else:
+            before = [i, p, p + length]
+            out.append(before)
+    return {tuple(x) for x in out}
+
+
+def test_passages_against_brute_force(spark, awkward):
+    rng, rows = random.Random(6), []
+    shared = [[f"p{g}x{k}" for k in range(rng.randint(5, 40))] for g in range(6)]
+    for i in range(60):
+        w = []
+        for _ in range(rng.randint(1, 6)):
+            w += rng.choice(shared) if rng.random() < 0.4 else [rng.choice("abc") + str(rng.randrange(20)) for _ in range(rng.randint(1, 20))]
+        rows.append((i, " ".join(w)))
+    rows += [(100, "a b " * 40), (101, None), (102, ""), (None, rows[0][1]), (5, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for how in ({}, {"bucket_segments": 3, "splitter_sample": 20}):
+        assert {tuple(r) for r in suffixes.passages(docs, length=9, **how).collect()} == slow_passages(rows, 9)
+    assert {tuple(r) for r in suffixes.passages(awkward).collect()} == slow_passages([(r["doc_id"], r["text"]) for r in awkward.collect()], 50)
+
+
 def test_passages(spark, awkward, empty):
     shared = " ".join(f"s{i}" for i in range(55))
     rows = [(1, f"a b {shared} c"), (2, f"{shared} d"), (3, " ".join(f"s{i}" for i in range(49))), (4, None), (5, ""), (6, "x " * 120), (6, "x " * 120)]
@@ -489,6 +531,18 @@ def test_wrappers_find_the_slots_of_made_templates(spark, monkeypatch):
         assert texts(got) == texts(want)
 
 
+def test_wrappers_on_odd_pages(spark):
+    """Null and repeated ids, names that clash, deeply nested groups, pages of one tag and of no host."""
+    nested = "<a>x</a>"
+    for k in range(12):
+        nested = f"<t{k}>{nested}{nested}</t{k}>"
+    pages = [(None, "http://h/1", "<p>same</p><b>1</b>"), (None, "http://H/2", "<p>same</p><b>2</b>"), (3, None, "<p>u</p>"), (4, "no host", "<p>v</p>"), (5, "http://deep/", nested), (5, "http://deep/", nested), (6, "http://one/", "<p>"), (7, "http://two/", "< & text"), (8, "http://h/3", None)]
+    df = spark.createDataFrame([(*p, "n", 1, True) for p in pages], "page_id long, url string, html string, name string, leaf int, fixed boolean")
+    got = sorted(((r["page_id"], r["slots"]) for r in wrappers.extract(df).collect()), key=str)
+    assert got == sorted([(None, ["1"]), (None, ["2"]), (3, ["u"]), (4, ["v"]), (5, []), (5, []), (6, []), (7, ["< & text"]), (8, [])], key=str)
+    assert wrappers.extract(df.limit(0)).count() == 0
+
+
 def test_a_common_part_of_pages_of_different_forms_is_template(spark):
     pages = [(i, f"http://h/{i}", f"<h1>T{i}</h1>" + "".join(f"<i{j}>x{i}{j}</i{j}>" for j in range(i)) + "<p>Imprint</p>") for i in range(4)]
     learned, _ = wrappers.wrappers(spark.createDataFrame(pages, "page_id long, url string, html string"))
