@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: Rows up to which a table of a few numbers a row is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder, dealt to all cores if it is too small a number of files for them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared(spark: SparkSession) -> None:
@@ -52,7 +55,7 @@ def least(df: DataFrame, key: str) -> Column:
     return F.struct(F.col(key).isNull(), F.col(key))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: a Python worker outlives its tasks, and what it keeps is missing elsewhere."""
     pa.default_memory_pool().release_unused()
     try:
@@ -68,7 +71,7 @@ def tidy_batches(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], It
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return inner
 
@@ -80,6 +83,18 @@ def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.T
         try:
             return run(group)
         finally:
-            _give_back()
+            give_back()
+
+    return inner
+
+
+def tidy_keyed(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """As tidy_group, for a function of key and group."""
+
+    def inner(key, group):
+        try:
+            return run(key, group)
+        finally:
+            give_back()
 
     return inner

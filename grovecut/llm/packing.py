@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy_keyed
 from .text import words_of
 
 WINDOW_TOKENS, OPEN_WINDOWS = 2048, 64
 #: Documents of a group, and windows left over that are merged together by one task, about.
-GROUP_DOCS, MERGE_WINDOWS = 100_000, 4096
+GROUP_DOCS, MERGE_WINDOWS = 20_000, 4096
 
 SCHEMA = "window_id string, doc_id long, piece int, start long, length long, offset long"
 
@@ -134,10 +134,10 @@ def pack(docs: DataFrame, capacity: int = WINDOW_TOKENS, open_windows: int = OPE
     lengths = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(text).alias("tokens"), F.xxhash64(F.col(id_col).cast("long"), text).alias("h")))
     groups = max(1, -(-lengths.count() // group_docs))
     grouped = lengths.groupBy(F.pmod("h", F.lit(groups)).cast("int").alias("g"))
-    placed = cut(grouped.applyInArrow(_pack(capacity, open_windows), SCHEMA + ", left boolean"))
+    placed = cut(grouped.applyInArrow(tidy_keyed(_pack(capacity, open_windows)), SCHEMA + ", left boolean"))
     left = placed.where("left").drop("left")
     merges = max(1, -(-left.agg(F.count_distinct("window_id")).head()[0] // merge_windows))
-    merged = left.groupBy(F.pmod(F.xxhash64("window_id"), F.lit(merges)).alias("g")).applyInArrow(_merge(capacity), SCHEMA)
+    merged = left.groupBy(F.pmod(F.xxhash64("window_id"), F.lit(merges)).alias("g")).applyInArrow(tidy_keyed(_merge(capacity)), SCHEMA)
     return placed.where("not left").drop("left").unionByName(merged)
 
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
 _SPACE = np.zeros(256, bool)
@@ -124,7 +126,11 @@ def words_of(text: Column) -> Column:
     """The words of a text, counted in Arrow batches; 0 for a null."""
 
     @F.arrow_udf("long")
-    def count(texts: pa.Array) -> pa.Array:
-        return pa.array(count_words(texts), pa.int64())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield pa.array(count_words(texts), pa.int64())
+        finally:
+            give_back()
 
     return count(text.cast("string"))

@@ -23,15 +23,14 @@ from __future__ import annotations
 import bisect
 import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, tidy_batches
+from .common import cut, fresh, give_back, table, tidy_batches
 from .text import CHUNK_BYTES, chunks
 
 #: Labelled rows that the lexicon is learned from at most, chosen by hash of the id.
@@ -372,14 +371,17 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
     """docs, less the rows whose score reaches threshold. Columns and other rows stay as they are."""
     columns, name = docs.columns, fresh(docs, "toxic_score")
 
-    def score(texts: pd.Series) -> pd.Series:
-        out = np.zeros(len(texts))
-        for row, s, *_ in model.scores(pa.array(texts, pa.string(), from_pandas=True), _automaton(model)):
-            out[row] = s
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                out = np.zeros(len(texts))
+                for row, s, *_ in model.scores(texts, _automaton(model)):
+                    out[row] = s
+                yield pa.array(out)
+        finally:
+            give_back()
 
-    score.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    scored = F.pandas_udf(score, "double")
     return docs.withColumn(name, scored(F.col(text_col).cast("string"))).where(F.col(name) < threshold).select(*columns)
 
 
