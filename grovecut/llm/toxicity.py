@@ -2,8 +2,8 @@
 
 The lexicon is a seed and what is learned from labelled documents: word beginnings (3 to 9 letters) and words that occur
 nearly only in toxic ones, each as long as its support allows. Every term, seed or learned, word or beginning, is matched
-with as many edits as its length allows (see edits()), the first letter included; terms of fewer than 5 letters exactly, and
-so are learned terms whose near words are found in clean labelled documents (see fit()).
+with as many edits as its length allows (see edits()), the first letter included, and a swap of neighbours is one edit; terms
+of fewer than 5 letters are matched exactly, and so are learned terms whose near words are found in clean labelled documents (see fit()).
 The Levenshtein automata of all terms are intersected with the trie into one deterministic automaton, whose states are
 built as words reach them; it runs over all words of a batch at once, one character a step, in numpy. Words that look like
 misspellings of a term but occur in clean labelled documents as often as in toxic ones are left alone.
@@ -72,24 +72,27 @@ class Automaton:
     """The Levenshtein automata of the terms intersected with their trie, determinised on demand.
 
     terms: (text, is a beginning, edits allowed). State 0 is dead, 1 the start. accept[state] is (term number, edits) or None.
-    A state is the nodes that may have been reached, with their edits, and the best beginning (edits, term) so far.
+    A state is the nodes that may have been reached, with their edits, and the best beginning (edits, term) so far. ~node
+    stands for a node that is reached if the next letter is the one before it, as in a swap.
     """
 
     def __init__(self, terms: Iterable[tuple[str, bool, int]]) -> None:
         self.terms = list(terms)
         self.children: list[dict[int, int]] = [{}]
+        self.before = [-1]  # the letter before a node's own
         self.ends: list[list[int]] = [[]]
         self.most: list[int] = [0]
         for number, (term, _, most) in enumerate(self.terms):
-            node = 0
+            node, last = 0, -1
             self.most[0] = max(self.most[0], most)
             for c in map(ord, term):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
+                    self.before.append(last)
                     self.ends.append([])
                     self.most.append(0)
-                node = self.children[node][c]
+                node, last = self.children[node][c], c
                 self.most[node] = max(self.most[node], most)
             self.ends[node].append(number)
         symbols = sorted({ord(c) for t, *_ in self.terms for c in t})
@@ -107,7 +110,7 @@ class Automaton:
 
     def _closed(self, states: dict[int, int]) -> dict[int, int]:
         """With the characters that the word may lack."""
-        todo = list(states)
+        todo = [node for node in states if node >= 0]
         while todo:
             node = todo.pop()
             for child in self.children[node].values():
@@ -121,16 +124,23 @@ class Automaton:
         kept, begun = self.sets[state]
         char, out = self.chars[symbol], {}
         for node, e in kept:
+            if node < 0:
+                if char == self.before[~node] and e < out.get(~node, 99):
+                    out[~node] = e
+                continue
             for c, child in self.children[node].items():
                 cost = e + (c != char)
                 if cost <= self.most[child] and cost < out.get(child, 99):
                     out[child] = cost
+                swapped = self.children[child].get(char) if c != char else None
+                if swapped is not None and e < self.most[swapped] and e + 1 < out.get(~swapped, 99):
+                    out[~swapped] = e + 1
             if e < self.most[node] and e + 1 < out.get(node, 99):
                 out[node] = e + 1
         return self._state(self._closed(out), begun)
 
     def _state(self, out: dict[int, int], begun: tuple[int, int] | None) -> int:
-        met = [(e, t) for node, e in out.items() for t in self.ends[node] if e <= self.terms[t][2]]
+        met = [(e, t) for node, e in out.items() if node >= 0 for t in self.ends[node] if e <= self.terms[t][2]]
         begun = min([m for m in met if self.terms[m[1]][1]] + [begun] * (begun is not None), default=None)
         if begun is not None:  # what can't be better any more is left out
             out = {node: e for node, e in out.items() if e <= begun[0]}
