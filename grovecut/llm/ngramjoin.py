@@ -40,7 +40,7 @@ NGRAM, JACCARD, MOST_MATCHES = 3, 0.5, 16
 #: Cells of the count sketch, 16 MB of counts whatever the corpus.
 SKETCH_BITS = 22
 #: Prefix grams that one owner gets, about, sets on a side of a block of pairs, and sets that one verifying task gets, about.
-OWNER_GRAMS, BLOCK_SETS, TASK_SETS = 2_000_000, 4096, 1024
+OWNER_GRAMS, BLOCK_SETS, TASK_SETS = 1_000_000, 4096, 1024
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -182,7 +182,7 @@ def _prefixes(n: int, jaccard: float, owners: int, sketch_of):
                 kept.append((g[bounds[doc] + rank], doc + count, name, size, ls))
                 count += len(size)
                 held += len(doc)
-                if held > 1_000_000:
+                if held > 600_000:
                     yield flush()
                     held = count = 0
         if held:
@@ -423,7 +423,7 @@ def one_of_each(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_co
     Rows without grams and rows without an id all stay; rows that share an id stay or go together.
     """
     named, pairs = set_pairs(docs, jaccard, n, id_col, text_col, **how)
-    linked = components(pairs.select("a", "b"))
+    linked = components(cut(pairs.select("a", "b")))  # read more than once
     grouped = named.join(linked.select(F.col("node").alias("name"), "root"), "name", "left").select("id", F.coalesce("root", "name").alias("root"))
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("keep"))
     marks = cut(grouped.join(sizes.where("n > 1"), "root").where("id IS NOT NULL").groupBy("id").agg(F.min("keep").alias("keep")))
