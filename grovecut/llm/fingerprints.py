@@ -7,8 +7,8 @@ the longest common extension of two places is found by binary search over such c
 The query finds what documents share, wherever it stands in them. Of every SPAN_WORDS consecutive spans of SPAN_WORDS words the
 one whose fingerprint scrambles to the least number is a seed (the leftmost of equal ones); texts with fewer words have one
 seed, the whole text. So two documents that share 2 * SPAN_WORDS - 1 words in a row have a seed in common. Documents with a
-seed in common are a group led by the least id; every other member is extended around the seed, both ways, to the longest
-span that it shares with the leader. Only fingerprints and places are grouped; texts are sent to where they are compared,
+seed in common are a group led by the least id; every other member is laid beside the leader so that the seeds meet, and
+wherever spans of SPAN_WORDS words are equal they are extended to the longest that the two share there. Only fingerprints and places are grouped; texts are sent to where they are compared,
 the leaders of large groups to several portions.
 
 Null texts, texts without words and rows without an id are in no group. Repeated rows don't match themselves: documents
@@ -31,6 +31,8 @@ BASES = (1_103_515_249, 805_459_861)
 SPAN_WORDS = 16
 #: Members that one portion of a group, and about one task, holds.
 PORTION, TASK_MEMBERS = 512, 2048
+#: Places that are compared at once.
+PLACES = 1_000_000
 #: Bits of a place within a piece of input.
 _PLACE = 28
 _POWERS: dict[int, np.ndarray] = {}
@@ -187,19 +189,31 @@ def _compare(span: int):
         n = np.diff(bounds)
         there = (place < n[row]) & (other < n[mate])  # of several texts of an id one may be shorter
         row, mate, of, place, other = (x[there] for x in (row, mate, of, place, other))
-        a, b = bounds[row] + place, bounds[mate] + other
-        after = sums.extension(a, b, np.minimum(n[row] - place, n[mate] - other))
-        before = sums.extension(a, b, np.minimum(place, other), back=True)
-        fine = (after >= span) | (after == n[row]) & (after == n[mate])
-        columns = [pairs["doc_id"].to_numpy()[of], pairs["leader_id"].to_numpy()[of], place - before, other - before, after + before]
-        found = np.unique(np.stack([c[fine] for c in columns], 1), axis=0)
-        return pa.table({c: found[:, k] for k, c in enumerate(("doc_id", "leader_id", "start", "leader_start", "words"))})
+        early = np.minimum(place, other)
+        a, b = bounds[row] + place - early, bounds[mate] + other - early  # where the two lie side by side
+        both = np.minimum(n[row] - place, n[mate] - other) + early
+        short = np.flatnonzero((n[row] == n[mate]) & (n[row] < span))
+        short = short[sums.equal(a[short], b[short], both[short])]
+        found = [np.stack([short, np.zeros(len(short), np.int64), both[short]], 1)]
+        count = np.maximum(both - span + 1, 0)
+        upto = np.cumsum(count)
+        for part in np.split(np.arange(len(count)), np.flatnonzero(np.diff(upto // PLACES)) + 1) if len(count) else ():
+            k = np.repeat(part, count[part])
+            at = np.arange(len(k)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+            same = sums.equal(a[k] + at, b[k] + at, np.full(len(k), span))
+            first = np.flatnonzero(same & ~(np.concatenate([[False], same[:-1]]) & (at > 0)))
+            k, at = k[first], at[first]
+            found.append(np.stack([k, at, sums.extension(a[k] + at, b[k] + at, both[k] - at)], 1))
+        k, at, length = np.concatenate(found).T
+        columns = [pairs["doc_id"].to_numpy()[of[k]], pairs["leader_id"].to_numpy()[of[k]], place[k] - early[k] + at, other[k] - early[k] + at, length]
+        rows = np.unique(np.stack(columns, 1), axis=0)
+        return pa.table({c: rows[:, j] for j, c in enumerate(("doc_id", "leader_id", "start", "leader_start", "words"))})
 
     return run
 
 
 def shared_spans(docs: DataFrame, span: int = SPAN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, leader_id, start, leader_start, words): the longest common spans of each document with the leaders of its seeds."""
+    """(doc_id, leader_id, start, leader_start, words): the longest common spans of each document with the leaders of its seeds, for each way that a seed lays the two side by side."""
     rows = _rows(docs, id_col, text_col)
     found = rows.mapInArrow(tidy_batches(_seeds(span)), "seed long, doc_id long, place long")
     groups = found.groupBy("seed").agg(F.min("doc_id").alias("leader_id"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("leader_place")).where("leader_id < last").drop("last")

@@ -40,7 +40,7 @@ NGRAM, JACCARD, MOST_MATCHES = 3, 0.5, 16
 #: Cells of the count sketch, 16 MB of counts whatever the corpus.
 SKETCH_BITS = 22
 #: Prefix grams that one owner gets, about, sets on a side of a block of pairs, and sets that one verifying task gets, about.
-OWNER_GRAMS, BLOCK_SETS, TASK_SETS = 1_000_000, 4096, 1024
+OWNER_GRAMS, BLOCK_SETS, TASK_SETS = 2_000_000, 4096, 1024
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -72,6 +72,16 @@ def names(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds) + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in 16 bits each if all fit, else in 32."""
+    return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(blobs: list[bytes], counts: list[int]) -> np.ndarray:
+    """The numbers of packed() blobs of so many numbers each, one blob after the other."""
+    return np.concatenate([np.frombuffer(b, np.uint16 if len(b) == 2 * n else np.uint32).astype(np.int64) for b, n in zip(blobs, counts)])
+
+
 def _scan(n: int):
     """(name, size, id) of each document's set, and this task's sketch (as rows with a slice)."""
 
@@ -163,7 +173,7 @@ def _prefixes(n: int, jaccard: float, owners: int, sketch_of):
             for o, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
                 if j > i:
                     used, each = np.unique(docs[i:j], return_counts=True)
-                    rows.append((o, (mix(g[i:j]) >> np.uint64(32)).astype(np.uint32).tobytes(), each.astype(np.uint32).tobytes(), names_[used].tobytes(), sizes[used].astype(np.uint32).tobytes(), ls[used].astype(np.uint8).tobytes()))
+                    rows.append((o, (mix(g[i:j]) >> np.uint64(32)).astype(np.uint32).tobytes(), packed(each), names_[used].tobytes(), packed(sizes[used]), ls[used].astype(np.uint8).tobytes()))
             kept.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], ["owner", "grams", "each", "name", "size", "l"])
 
@@ -194,7 +204,9 @@ def _prefixes(n: int, jaccard: float, owners: int, sketch_of):
 def _read(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, document, name, size, l) from rows of grams, each, name, size, l; of equal names the first alone counts, with all its grams."""
     col = lambda c, kind: np.frombuffer(b"".join(group[c].to_pylist()), kind)
-    key, each, name, size, ls = col("grams", np.uint32), col("each", np.uint32), col("name", np.int64), col("size", np.uint32), col("l", np.uint8)
+    counts = [len(b) // 8 for b in group["name"].to_pylist()]
+    key, name, ls = col("grams", np.uint32), col("name", np.int64), col("l", np.uint8)
+    each, size = (unpacked(group[c].to_pylist(), counts) for c in ("each", "size"))
     name, at, inverse = np.unique(name, return_index=True, return_inverse=True)
     one = np.repeat(at[inverse] == np.arange(len(inverse)), each)
     return key[one], np.repeat(inverse.astype(np.int32), each)[one], name, size[at].astype(np.int64), ls[at].astype(np.int64)
@@ -219,9 +231,9 @@ def _lists(tasks: int):
         for i, j in zip(edges, np.append(edges[1:], len(task))):
             inner = np.arange(length[i:j].sum()) - np.repeat(np.cumsum(length[i:j]) - length[i:j], length[i:j])
             used, local = np.unique(doc[np.repeat(start[i:j], length[i:j]) + inner], return_inverse=True)
-            rows.append((int(task[i]), local.astype(np.uint32).tobytes(), length[i:j].astype(np.uint32).tobytes(), name[used].tobytes(), size[used].astype(np.uint32).tobytes(), ls[used].astype(np.uint8).tobytes()))
-        columns = list(zip(*rows)) if rows else [()] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 5))], ["task", "docs", "length", "name", "size", "l"])
+            rows.append((int(task[i]), packed(local), packed(length[i:j]), int(j - i), name[used].tobytes(), packed(size[used]), ls[used].astype(np.uint8).tobytes()))
+        columns = list(zip(*rows)) if rows else [()] * 7
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.int32(), *[pa.binary()] * 3))], ["task", "docs", "length", "lists", "name", "size", "l"])
 
     return run
 
@@ -235,11 +247,11 @@ def _pairs(jaccard: float):
 
     def run(group: pa.Table) -> pa.Table:
         docs, lengths, tables, base = [], [], [], 0
-        for r in group.select(["docs", "length", "name", "size", "l"]).to_pylist():
+        for r in group.select(["docs", "length", "lists", "name", "size", "l"]).to_pylist():
             name = np.frombuffer(r["name"], np.int64)
-            docs.append(np.frombuffer(r["docs"], np.uint32).astype(np.int64) + base)
-            lengths.append(np.frombuffer(r["length"], np.uint32).astype(np.int64))
-            tables.append((name, np.frombuffer(r["size"], np.uint32).astype(np.int64), np.frombuffer(r["l"], np.uint8).astype(np.int64)))
+            lengths.append(unpacked([r["length"]], [r["lists"]]))
+            docs.append(unpacked([r["docs"]], [int(lengths[-1].sum())]) + base)
+            tables.append((name, unpacked([r["size"]], [len(name)]), np.frombuffer(r["l"], np.uint8).astype(np.int64)))
             base += len(name)
         name, size, ls = (np.concatenate(x) for x in zip(*tables))
         name, at, inverse = np.unique(name, return_index=True, return_inverse=True)
@@ -372,7 +384,7 @@ def set_pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col:
     shared = spark.sparkContext.broadcast(sketch)
     texts = rows.select("text")
     sent = texts.mapInArrow(tidy_batches(_prefixes(n, jaccard, owners, shared)), "owner int, grams binary, each binary, name binary, size binary, l binary")
-    lists = sent.groupBy("owner").applyInArrow(tidy_group(_lists(owners)), "task int, docs binary, length binary, name binary, size binary, l binary")
+    lists = sent.groupBy("owner").applyInArrow(tidy_group(_lists(owners)), "task int, docs binary, length binary, lists int, name binary, size binary, l binary")
     counted = lists.groupBy("task").applyInArrow(tidy_group(_pairs(jaccard)), "a long, b long, n int, l int")
     candidates = counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("l").alias("l"))
     pairs = cut(candidates.where("n >= l").select("a", "b"))

@@ -115,7 +115,7 @@ def test_grams_that_collide_in_32_bits_keep_their_number():
     import pyarrow as pa
 
     grams_ = lambda *x: np.array(x, np.uint32).tobytes()
-    row = lambda name: (grams_(5, 5, 9), grams_(3), np.array([name], np.int64).tobytes(), grams_(4), np.array([1], np.uint8).tobytes())
+    row = lambda name: (grams_(5, 5, 9), ngramjoin.packed(np.array([3])), np.array([name], np.int64).tobytes(), ngramjoin.packed(np.array([4])), np.array([1], np.uint8).tobytes())
     columns = zip(*[row(11), row(22), row(11)])  # the last is a copy of the first document
     group = pa.table([pa.array(c, pa.binary()) for c in columns], ["grams", "each", "name", "size", "l"])
     for long in (24, 0):
@@ -253,13 +253,19 @@ def slow_spans(rows, span):
             if texts[m][0] == i:
                 continue
             v = texts[m][1]
-            a, b = at, spot
-            while a and b and w[a - 1] == v[b - 1]:
-                a, b = a - 1, b - 1
-            c, d = at, spot
-            while c < len(w) and d < len(v) and w[c] == v[d]:
-                c, d = c + 1, d + 1
-            out.add((i, texts[m][0], a, b, c - a))
+            early = min(at, spot)
+            x, y, run = at - early, spot - early, 0
+            both = min(len(w) - x, len(v) - y)
+            if len(w) < span:
+                out.add((i, texts[m][0], 0, 0, len(w)))
+                continue
+            for j in range(both + 1):
+                if j < both and w[x + j] == v[y + j]:
+                    run += 1
+                else:
+                    if run >= span:
+                        out.add((i, texts[m][0], x + j - run, y + j - run, run))
+                    run = 0
     return out
 
 
