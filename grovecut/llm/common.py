@@ -88,6 +88,18 @@ def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.T
     return inner
 
 
+def tidy_stream(run: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As tidy_group, for a function that returns a group's result in parts."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(pa.Table.from_batches(batches))
+        finally:
+            give_back()
+
+    return inner
+
+
 def tidy_keyed(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
     """As tidy_group, for a function of key and group."""
 

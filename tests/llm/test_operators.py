@@ -125,6 +125,70 @@ def test_grams_that_collide_in_32_bits_keep_their_number():
         assert [(r["a"], r["b"]) for r in found] == [(11, 22)] and found[0]["n"] >= 3
 
 
+def test_clusters_of_near_copies_make_no_row_a_pair(spark, monkeypatch):
+    """Large groups of near copies, in several squares, beside small groups and copies; nothing that a task returns is as long as their pairs."""
+    rng, rows = random.Random(4), []
+    for g, many in enumerate([260, 90, 3, 2, 1, 1]):
+        base = [f"{rng.choice('abcdefg')}{rng.randrange(3000)}" for _ in range(90)]
+        for _ in range(many):
+            w = [x if rng.random() > 0.06 else f"z{rng.randrange(3000)}" for x in base]
+            rows += [(len(rows) + k, " ".join(w)) for k in range(2 if rng.random() < 0.05 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = jaccard_pairs(rows)
+    assert len(want) > 20_000
+    links, class_ = Counter(i for pair in want for i in pair), {i: i for i, _ in rows}
+    while True:
+        before = dict(class_)
+        for a, b in want:
+            class_[a] = class_[b] = min(class_[a], class_[b])
+        if before == class_:
+            break
+    monkeypatch.setattr(ngramjoin, "SQUARE_SETS", 50)
+    for how in ({"cluster_sets": 40}, {"cluster_sets": 40, "broadcast_rows": 0, "owner_grams": 2000}, {"cluster_sets": 10**6}):
+        got = {(r["doc_id"], r["class_id"], r["links"]) for r in ngramjoin.near_duplicates(docs, **how).collect()}
+        assert got == {(i, class_[i], n) for i, n in links.items()}, how
+    kept = {r["doc_id"] for r in ngramjoin.one_of_each(docs, cluster_sets=40).collect()}
+    assert kept == {class_[i] for i, _ in rows}
+    assert ngramjoin.set_pairs(docs, cluster_sets=40)[2].count() < len(want) / 5
+
+
+def test_counts_come_in_parts_of_bounded_size(monkeypatch):
+    """A task with more pairs than it may hold passes them on in parts; the parts add up."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngramjoin, "HELD_PAIRS", 300)
+    rng = np.random.default_rng(3)
+    rows, sets_ = [], {}
+    for name in range(1, 61):
+        g = np.unique(rng.integers(0, 25, 8)).astype(np.uint32)
+        sets_[name] = set(g.tolist())
+        rows.append((g.tobytes(), ngramjoin.packed(np.array([len(g)])), np.array([name], np.int64).tobytes(), ngramjoin.packed(np.array([10])), np.array([1], np.uint8).tobytes()))
+    group = pa.table([pa.array(c, pa.binary()) for c in zip(*rows)], ["grams", "each", "name", "size", "l"])
+    for long in (24, 3):
+        monkeypatch.setattr(ngramjoin, "LONG_LIST", long)
+        parts = list(ngramjoin._counted(0.5)(ngramjoin._lists(1)(group)))
+        got = Counter()
+        for part in parts:
+            for r in part.to_pylist():
+                got[r["a"], r["b"]] += r["n"]
+        assert got == Counter({(a, b): n for a in sets_ for b in sets_ if a < b and (n := len(sets_[a] & sets_[b]))})
+        assert len(parts) > 1 and max(len(p) for p in parts) < 1770
+
+
+def test_shared_grams_of_two_sides(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    side = lambda many: [np.unique(np.concatenate([rng.integers(0, 9, 6), rng.integers(0, 4000, rng.integers(0, 40))])).astype(np.uint64) for _ in range(many)]
+    flat = lambda s: (np.concatenate([*s, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int64))
+    for p, q in ((side(700), side(600)), (side(3), side(5)), ([], side(2)), (side(2), [])):
+        got = ngramjoin.shared_grams(*flat(p), *flat(q))
+        assert got.shape == (len(p), len(q))
+        for i in range(0, len(p), 37):
+            assert got[i].tolist() == [len(np.intersect1d(p[i], y)) for y in q]
+
+
 def test_filter_lets_all_wanted_through(spark):
     import numpy as np
 
