@@ -601,7 +601,7 @@ def set_pairs(docs: DataFrame, jaccard: float = JACCARD, n: int = NGRAM, id_col:
     wanted = spark.sparkContext.broadcast(bloom.build(asked))
     whole = texts.mapInArrow(tidy_batches(_chosen(n, wanted)), "name long, grams binary")
     tasks = max(4, n_asked // TASK_SETS)
-    asked = F.broadcast(asked) if n_asked <= broadcast_rows else asked
+    asked = F.broadcast(asked) if n_asked <= broadcast_rows // 4 else asked  # wider than the other tables
     delivered = whole.join(asked, "name").select("label", "x", "y", F.col("name").alias("a"), none.cast("long").alias("b"), "grams", "side", "copies")
     block = delivered.union(placed.select("label", "x", "y", "a", "b", none.cast("binary").alias("grams"), none.cast("int").alias("side"), none.cast("long").alias("copies")))
     # Blocks share tasks; a cluster's square is one of its own.

@@ -152,6 +152,27 @@ def test_clusters_of_near_copies_make_no_row_a_pair(spark, monkeypatch):
     assert ngramjoin.set_pairs(docs, cluster_sets=40)[2].count() < len(want) / 5
 
 
+def test_near_stage_of_the_pipeline_connects_clusters_without_their_pairs(spark, monkeypatch):
+    """One row of a cluster stays, and what is connected is far shorter than the pairs."""
+    import corpus_pipeline
+
+    rng, counted = random.Random(8), []
+    base = [f"{rng.choice('abcdefg')}{rng.randrange(3000)}" for _ in range(120)]
+    rows = [(k, " ".join(x if rng.random() > 0.04 else f"z{rng.randrange(3000)}" for x in base)) for k in range(150)]
+    rows += [(500 + k, " ".join(f"y{rng.randrange(3000)}" for _ in range(50))) for k in range(5)]
+    want = jaccard_pairs(rows)
+    assert len(want) > 5_000
+
+    def watched(edges, *names):
+        counted.append(edges.count())
+        return components.components(edges, *names)
+
+    monkeypatch.setattr(ngramjoin, "components", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {0, *range(500, 505)} and max(counted) < len(want) / 2
+
+
 def test_counts_come_in_parts_of_bounded_size(monkeypatch):
     """A task with more pairs than it may hold passes them on in parts; the parts add up."""
     import numpy as np
