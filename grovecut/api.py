@@ -36,7 +36,7 @@ def mine(spark: SparkSession, spec: MineSpec) -> DataFrame:
     if other is not None:
         again, _, tokens = M.surveyed(other, spec, ())
         second = (again, tokens)
-    return M.ranked(sentences, spec, counted, M.unigrams(sentences, spec), size, *second)
+    return M.ranked(spec, counted, M.unigrams(sentences, spec), size, *second)
 
 
 def run(spark: SparkSession, spec: MineSpec) -> list[list[str]] | None:

@@ -171,37 +171,70 @@ class Forest:
         return kept
 
 
+def packed(name: np.ndarray, rel: np.ndarray, above: np.ndarray, place: np.ndarray, names: int, rels: int) -> np.ndarray:
+    """A number for each match that holds all of its ordered tree, of so many names and labels. See packs()."""
+    m, k = name.shape
+    n, r, c = (max(0, x - 1).bit_length() for x in (names, rels, k))
+    out = np.full(m, k, np.uint64)
+    for j in range(k):
+        rank = sum(((place[:, i] < place[:, j]).astype(np.uint64) for i in range(k) if i != j), np.zeros(m, np.uint64))
+        for x, bits in ((name[:, j], n), (rank, c), *(((rel[:, j], r), (above[:, j], c)) if j else ())):
+            out <<= np.uint64(bits)
+            out |= x.astype(np.uint64)
+    return out
+
+
+def packs(k: int, names: int, rels: int) -> bool:
+    """Whether ordered trees of k nodes fit into 64 bits."""
+    n, r, c = (max(0, x - 1).bit_length() for x in (names, rels, k))
+    return k <= 6 and 3 + k * (n + c) + (k - 1) * (r + c) <= 64
+
+
 def identity(name: np.ndarray, rel: np.ndarray, above: np.ndarray, place: np.ndarray, ordered: bool) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit numbers for each match, equal for equal trees; ordered: with the order of the words.
 
     name, rel, above (column of the head) and place (in the text) are matrices of the matches' shape.
     """
     m, k = name.shape
+    if not ordered:
+        a, b = branches(name, rel, above)
+        return mix(a[:, 0] + np.uint64(k)), mix(b[:, 0] + np.uint64(k))
     out = []
-    for seed in (0x243F6A8885A308D3, 0x13198A2E03707344):
-        c = [np.uint64(int(x)) for x in mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(seed)) | np.uint64(1)]
-        if ordered:
-            total = np.full(m, k, np.uint64)
-            rank = np.argsort(np.argsort(place, 1), 1) if k > 6 else sum((place[:, [i]] < place).astype(np.int64) for i in range(k))
-            for j in range(k):
-                x = name[:, j].astype(np.uint64) * c[0] + above[:, j].astype(np.uint64) * c[2] + rank[:, j].astype(np.uint64) * c[3] + np.uint64(j)
-                if j:
-                    x += rel[:, j].astype(np.uint64) * c[1]
-                total = mix(total + mix(x))
-        else:
-            sums = mix(name.astype(np.uint64) * c[0] + c[3])
-            rows = np.arange(m)
-            for j in range(k - 1, 0, -1):
-                x = mix(mix(sums[:, j]) + rel[:, j].astype(np.uint64) * c[1])
-                sums[rows, above[:, j]] += x
-            total = mix(sums[:, 0] + np.uint64(k))
+    for seed in _SEEDS:
+        c = _factors(seed)
+        total = np.full(m, k, np.uint64)
+        rank = np.argsort(np.argsort(place, 1), 1) if k > 6 else sum((place[:, [i]] < place).astype(np.int64) for i in range(k))
+        for j in range(k):
+            x = name[:, j].astype(np.uint64) * c[0] + above[:, j].astype(np.uint64) * c[2] + rank[:, j].astype(np.uint64) * c[3] + np.uint64(j)
+            if j:
+                x += rel[:, j].astype(np.uint64) * c[1]
+            total = mix(total + mix(x))
         out.append(total)
     return out[0], out[1]
 
 
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+
+
+def _factors(seed: int) -> list[np.uint64]:
+    return [np.uint64(int(x)) for x in mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(seed)) | np.uint64(1)]
+
+
+def branches(name: np.ndarray, rel: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each node of each match, equal for equal branches whatever their order."""
+    rows, out = np.arange(len(name)), []
+    for seed in _SEEDS:
+        c = _factors(seed)
+        sums = mix(name.astype(np.uint64) * c[0] + c[3])
+        for j in range(name.shape[1] - 1, 0, -1):
+            sums[rows, above[:, j]] += mix(mix(sums[:, j]) + rel[:, j].astype(np.uint64) * c[1])
+        out.append(sums)
+    return out[0], out[1]
+
+
 def first_of_each(a: np.ndarray, b: np.ndarray, *ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, start of each group in it, first): groups of equal (a, b) and the row of each that comes first by ranks."""
-    order = np.argsort(a, kind="stable")
+    order = np.argsort(a, kind="stable" if ranks else None)
     same = a[order][1:] == a[order][:-1]
     if (same & (b[order][1:] != b[order][:-1])).any():
         order = np.lexsort((b, a))

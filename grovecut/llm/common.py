@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.memory import give_back, tidy_batches  # noqa: F401
 from ..sources.tables import spread
 
 #: Rows up to which a table of a few numbers a row is broadcast; beyond it the join shuffles.
@@ -55,27 +55,6 @@ def least(df: DataFrame, key: str) -> Column:
     return F.struct(F.col(key).isNull(), F.col(key))
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: a Python worker outlives its tasks, and what it keeps is missing elsewhere."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not every C library has it
-        pass
-
-
-def tidy_batches(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run for mapInArrow, giving back memory at its end."""
-
-    def inner(batches):
-        try:
-            yield from run(batches)
-        finally:
-            give_back()
-
-    return inner
-
-
 def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """run for applyInArrow, giving back memory after each group."""
 

@@ -14,9 +14,9 @@ from .spec import MineSpec
 HEIGHT = derived.HEIGHT
 
 
-def bank(spark: SparkSession, sf_dir: str, where: str = "TRUE") -> DataFrame:
+def bank(spark: SparkSession, sf_dir: str, where: str = "TRUE") -> derived.Derived:
     """The sentences of all documents, or of those that meet a condition."""
-    return derived.derive(spark.read.parquet(f"{sf_dir}/documents.parquet").where(where))
+    return derived.Derived(spark.read.parquet(f"{sf_dir}/documents.parquet").where(where))
 
 
 def tree_sql(name: str = "upos", fixed: bool = True, labeled: bool = True, ignored: str = "FALSE", allowed: str = "TRUE", tok: str = "tok", at: str = "k", height: int = HEIGHT, by: str = "key, deprel, id") -> str:
@@ -116,19 +116,19 @@ _PARTIAL: dict[str, tuple[dict, str]] = {
 
 
 def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bank(spark, sf_dir).groupBy("path").agg(F.sum(F.size("toks")).cast("long").alias("tokens"), F.count("*").alias("sentences")).withColumnRenamed("path", "lang")
+    return bank(spark, sf_dir).frame().groupBy("path").agg(F.sum(F.size("toks")).cast("long").alias("tokens"), F.count("*").alias("sentences")).withColumnRenamed("path", "lang")
 
 
 def parent_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each tag governs each, by label: parents are looked up in the sentence's own array, without a join."""
-    tags = bank(spark, sf_dir).select(F.col("toks.upos").alias("tags"), F.explode(F.arrays_zip(F.col("toks.head").alias("head"), F.col("toks.upos").alias("upos"), F.col("toks.deprel_full").alias("rel"))).alias("t")).where("t.head > 0")
+    tags = bank(spark, sf_dir).frame().select(F.col("toks.upos").alias("tags"), F.explode(F.arrays_zip(F.col("toks.head").alias("head"), F.col("toks.upos").alias("upos"), F.col("toks.deprel_full").alias("rel"))).alias("t")).where("t.head > 0")
     return tags.groupBy(F.element_at("tags", F.col("t.head")).alias("parent"), F.col("t.upos").alias("child"), F.substring_index("t.rel", ":", 1).alias("deprel")).agg(F.count("*").alias("number"))
 
 
 def forest_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences by their numbers of roots and of tokens without a head."""
     head = F.col("toks.head")
-    return bank(spark, sf_dir).groupBy(F.size(F.filter(head, lambda h: h == 0)).alias("roots"), F.size(F.filter(head, lambda h: h.isNull())).alias("unattached")).agg(F.count("*").alias("sentences"))
+    return bank(spark, sf_dir).frame().groupBy(F.size(F.filter(head, lambda h: h == 0)).alias("roots"), F.size(F.filter(head, lambda h: h.isNull())).alias("unattached")).agg(F.count("*").alias("sentences"))
 
 
 def closure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ def frequency_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exemplar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each key with its example: the first match in a sentence of fewer than 15 words, else the first in a shortest one."""
-    return M.mine(bank(spark, sf_dir), spec(example=True), parts=["exemplar"]).select("key", "number", "example")
+    return M.mine(bank(spark, sf_dir), spec(example=True), parts=["example"]).select("key", "number", "example")
 
 
 _MARK = "string_agg(CASE WHEN list_contains(nodes, t.id) THEN chr(CAST(64 + list_position(nodes, t.id) AS INT)) || '[' || t.form || ']' ELSE t.form END || CASE WHEN t.space_after THEN ' ' ELSE '' END, '' ORDER BY t.id)"
@@ -244,8 +244,7 @@ def subtree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grew(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
-    how = spec(grew_match=True, **settings)
-    return sinks.with_grew(M.counts(bank(spark, sf_dir), how), how).select("key", "pattern", "number")
+    return M.counts(bank(spark, sf_dir), spec(grew_match=True, **settings), ["pattern"]).select("key", "pattern", "number")
 
 
 def grew_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +253,7 @@ def grew_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grew_patterns_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grew patterns of partial trees of two to four nodes with tags and forms."""
+    """Grew patterns of partial trees of two to four nodes with both kinds of tags."""
     return _grew(spark, sf_dir, size=(2, 4), processing_size=(2, 4), complete=False, node_type="upos+xpos")
 
 
@@ -268,7 +267,7 @@ FROM k JOIN tok t ON t.sent_key = k.sent_key AND t.head = k.id WHERE n0 = 2 GROU
 
 def depsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads-first keys of complete trees of two to four nodes."""
-    return M.counts(bank(spark, sf_dir), spec(size=(2, 4)), ["shape"]).select("key", "key_sorted", "number")
+    return M.counts(bank(spark, sf_dir), spec(size=(2, 4)), ["sorted"]).select("key", "key_sorted", "number")
 
 
 DEPSEARCH_SQL = f"""WITH {derived.SQL},

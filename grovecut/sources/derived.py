@@ -7,7 +7,8 @@ Sentences of 17 words and more have a second root, their last word but one; of s
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import tidy_batches
 from .conllu import TOKEN
 from .tables import spread
 
@@ -25,7 +27,13 @@ HEIGHT = 14
 SENTENCE_BITS = 30
 _BEGINS = np.cumsum([0, *LENGTHS])
 _TAGS = pa.array(["NOUN", "VERB", "ADJ", "ADP", "DET"])
-_LABELS = pa.array(["nsubj", "obj", "case", "amod", "root", "punct"])
+_LABELS = pa.array([x + sub for x in ("nsubj", "obj", "case", "amod", "root", "punct") for sub in ("", ":x")])
+_XPOS, _MISC = pa.array(["X0", "X1", "X2"]), pa.array(["Gloss=g", "_"])
+_VALUES = pa.array(["Acc", "Nom", "Sing", "Plur"])
+_FEATS = pa.array([f"Case={c}|Number={n}" for c in ("Acc", "Nom") for n in ("Sing", "Plur")])
+_FIELDS = ["id", "form", "lemma", "upos", "xpos", "feats", "feats_raw", "head", "deprel_full", "misc", "space_after"]
+#: Whether a byte is part of a word.
+_INSIDE = ~np.isin(np.arange(256), [9, 10, 13, 32])
 
 
 def _sentences(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,73 +45,123 @@ def _sentences(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc, number, np.minimum(np.array(LENGTHS)[number % 5], words[doc] - begin)
 
 
-def _pick(values: pa.Array, at: np.ndarray) -> pa.Array:
-    return values.take(pa.array(at))
-
-
-def _trees(batch: pa.RecordBatch) -> pa.RecordBatch:
-    split = pc.split_pattern_regex(pc.cast(batch.column("text"), pa.large_string()), "[ \t\r\n]+")
-    flat = split.flatten()
-    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(split)), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))[full]
-    form = flat.filter(pa.array(full)).cast(pa.string())
-    words = np.bincount(row, minlength=len(split))
-    ids = batch.column("doc_id")
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    doc_id = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-    most = 1 << 63 - SENTENCE_BITS
-    if (known & ((doc_id < -most) | (doc_id >= most))).any():
-        raise ValueError("doc_id is too large for sent_key")
-    doc, number, n = _sentences(doc_id, words)
-    key = pa.array((doc_id[doc] << SENTENCE_BITS) + number, mask=~known[doc])
-    k = np.arange(len(form)) - np.repeat(np.cumsum(n) - n, n) + 1  # 1 .. n
-    n_ = np.repeat(n, n)
-    root = (n_ + 1) // 2
-    size = pc.utf8_length(form).to_numpy(zero_copy_only=False).astype(np.int64)
-    head = np.where(k > root, np.maximum(root, k - 1 - size % 3), np.minimum(root, k + 1 + size % 3))
-    head[(k == root) | ((n_ >= 17) & (k == n_ - 1))] = 0
-    label = np.where(k == root, 4, np.where(pc.ends_with(form, ".").to_numpy(zero_copy_only=False), 5, (k + size) % 4))
-    even = size % 2 == 0
-    plain = _pick(_LABELS, label)
-    rel = pc.if_else(pa.array(even), pc.binary_join_element_wise(plain, ":x", ""), plain)
-    case = _pick(pa.array(["Acc", "Nom"]), even.astype(np.int64))
-    numbered = _pick(pa.array(["Sing", "Plur"]), (size % 3 == 0).astype(np.int64))
-    pairs = pa.array(np.arange(0, 2 * len(k) + 1, 2).astype(np.int32))
-    names = _pick(pa.array(["Case", "Number"]), np.tile([0, 1], len(k)))
-    values = pa.concat_arrays([case, numbered]).take(pa.array(np.arange(2 * len(k)).reshape(2, -1).T.ravel()))
-    fields = {
-        "id": pa.array(k.astype(np.int32)),
-        "form": form,
-        "lemma": pc.utf8_lower(form),
-        "upos": _pick(_TAGS, size % 5),
-        "xpos": _pick(pa.array(["X0", "X1", "X2"]), size % 3),
-        "feats": pa.MapArray.from_arrays(pairs, names, values),
-        "feats_raw": pc.binary_join_element_wise("Case=", case, "|Number=", numbered, ""),
-        "head": pa.array(head.astype(np.int32), mask=(n_ == 14) & (k == 14)),
-        "deprel_full": rel,
-        "misc": _pick(pa.array(["Gloss=g", "_"]), (size % 4 != 0).astype(np.int64)),
-        "space_after": pa.array(size % 7 != 0),
-    }
-    toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
-    sent_id = pc.binary_join_element_wise("s", pc.cast(key, pa.string()), "")
-    path = batch.column("lang").cast(pa.string()).take(pa.array(doc))
-    return pa.RecordBatch.from_arrays([path, key, sent_id, toks, pa.array([""] * len(doc), pa.string())], ["path", "sent_key", "sent_id", "toks", "conllu"])
-
-
-def _run(batches: Iterable[pa.RecordBatch]):
+def _tags(values: pa.Array, at: np.ndarray) -> pa.DictionaryArray:
+    return pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int32)), values)
+
+
+class Piece:
+    """The sentences of a batch of documents; columns of their tokens are made when they are asked for."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        ids, text = batch.column("doc_id"), pc.fill_null(pc.cast(batch.column("text"), pa.large_string()), "")
+        begin = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[begin[0] : begin[-1]]
+        begin = begin - begin[0]
+        inside = _INSIDE[data]
+        first = inside.copy()  # bytes with which a word begins
+        first[1:] &= ~inside[:-1]
+        at = begin[:-1][begin[:-1] < len(data)]
+        first[at] = inside[at]
+        starts = np.flatnonzero(first)
+        self.kept = data[inside]
+        self.ends = np.append(np.cumsum(inside)[starts] - 1, len(self.kept))  # where each word begins in kept, and the end
+        words = np.bincount(np.searchsorted(begin, starts, "right") - 1, minlength=len(text))
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        doc_id = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        most = 1 << 63 - SENTENCE_BITS
+        if (known & ((doc_id < -most) | (doc_id >= most))).any():
+            raise ValueError("doc_id is too large for sent_key")
+        self.doc, number, n = _sentences(doc_id, words)
+        self.lang = batch.column("lang")
+        self.key = pa.array((doc_id[self.doc] << SENTENCE_BITS) + number, mask=~known[self.doc])
+        self.k = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n) + 1  # 1 .. n
+        self.n = np.repeat(n, n)
+        self.root = (self.n + 1) // 2
+        self.offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+
+    @cached_property
+    def form(self) -> pa.Array:
+        return pa.StringArray.from_buffers(len(self.k), pa.py_buffer(self.ends.astype(np.int32)), pa.py_buffer(self.kept))
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        """Characters of each word."""
+        total = np.concatenate([[0], np.cumsum((self.kept & 0xC0) != 0x80)])
+        return np.diff(total[self.ends])
+
+    def column(self, name: str) -> pa.Array:
+        """A column of the tokens by its name in the reader's schema; tags and labels are dictionaries."""
+        k, n, root = self.k, self.n, self.root
+        if name == "id":
+            return pa.array(k.astype(np.int32))
+        if name == "form":
+            return self.form
+        if name == "lemma":
+            return pc.utf8_lower(self.form)
+        size = self.size
+        if name == "head":
+            head = np.where(k > root, np.maximum(root, k - 1 - size % 3), np.minimum(root, k + 1 + size % 3))
+            head[(k == root) | ((n >= 17) & (k == n - 1))] = 0
+            return pa.array(head.astype(np.int32), mask=(n == 14) & (k == 14))
+        if name == "deprel_full":
+            label = np.where(k == root, 4, np.where(self.kept[self.ends[1:] - 1] == ord("."), 5, (k + size) % 4))
+            return _tags(_LABELS, label * 2 + (size % 2 == 0))
+        if name in ("feats", "feats_raw"):
+            even, third = (size % 2 == 0).astype(np.int64), (size % 3 == 0).astype(np.int64)
+            if name == "feats_raw":
+                return _tags(_FEATS, even * 2 + third)
+            pairs, twice = pa.array(np.arange(0, 2 * len(k) + 1, 2).astype(np.int32)), np.arange(2 * len(k)).reshape(2, -1).T.ravel()
+            return pa.MapArray.from_arrays(pairs, pa.array(["Case", "Number"]).take(pa.array(np.tile([0, 1], len(k)))), _VALUES.take(pa.array(np.concatenate([even, third + 2])[twice])))
+        if name == "space_after":
+            return pa.array(size % 7 != 0)
+        return _tags(*{"upos": (_TAGS, size % 5), "xpos": (_XPOS, size % 3), "misc": (_MISC, (size % 4 != 0).astype(np.int64))}[name])
+
+    def lists(self, name: str) -> pa.Array:
+        """A column of the sentences: of their own, or a list of their tokens' values."""
+        if name == "path":
+            return self.lang.cast(pa.string()).take(pa.array(self.doc))
+        if name == "sent_key":
+            return self.key
+        if name == "sent_id":
+            return pc.binary_join_element_wise("s", pc.cast(self.key, pa.string()), "")
+        return pa.ListArray.from_arrays(self.offsets, self.column(name))
+
+    def whole(self) -> pa.RecordBatch:
+        columns = [self.column(f) for f in _FIELDS]
+        toks = pa.StructArray.from_arrays([c.dictionary_decode() if isinstance(c, pa.DictionaryArray) else c for c in columns], _FIELDS)
+        return pa.RecordBatch.from_arrays([self.lists("path"), self.key, self.lists("sent_id"), pa.ListArray.from_arrays(self.offsets, toks), pa.array([""] * len(self.key), pa.string())], ["path", "sent_key", "sent_id", "toks", "conllu"])
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[Piece]:
     for batch in batches:
         # Tokens take much more room than text: a piece has about a megabyte of it.
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
         cuts = np.flatnonzero(np.diff(size // 1_000_000)) + 1 if len(size) else []
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             if b > a:
-                yield _trees(batch.slice(a, b - a))
+                yield Piece(batch.slice(a, b - a))
+
+
+class Derived:
+    """The sentences of each document. Steps in Python that read few of their columns derive them where they run, so that no token passes through the JVM."""
+
+    def __init__(self, documents: DataFrame) -> None:
+        self.texts = spread(documents.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+
+    def frame(self) -> DataFrame:
+        """All columns, see derive()."""
+        return self.texts.mapInArrow(tidy_batches(lambda batches: (p.whole() for p in _pieces(batches))), f"path string, sent_key long, sent_id string, toks array<{TOKEN}>, conllu string")
+
+    def mapped(self, columns: Iterable[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """run over batches of sentences with some columns, those of the tokens as lists."""
+        columns = list(columns)
+        lists = lambda batches: (pa.RecordBatch.from_arrays([p.lists(c) for c in columns], columns) for p in _pieces(batches))
+        return self.texts.mapInArrow(tidy_batches(lambda batches: run(lists(batches))), schema)
 
 
 def derive(documents: DataFrame) -> DataFrame:
     """(path, sent_key, sent_id, toks, conllu): the sentences of each document, path is its lang. Null texts have none; without a doc_id sent_key is null."""
-    texts = documents.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return spread(texts).mapInArrow(_run, f"path string, sent_key long, sent_id string, toks array<{TOKEN}>, conllu string")
+    return Derived(documents).frame()
 
 
 #: The tokens in DuckDB, as a chain of WITH parts that ends in every (all tokens) and tok (those on a root).

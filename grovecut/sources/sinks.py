@@ -14,10 +14,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.trees import label
-from ..operators.mine import detailed, occurrences, sentence_counts
+from ..operators.mine import detailed, grew_tests, occurrences, sentence_counts
 from ..plans.spec import MineSpec
 from .corpora import corpus_name
 
@@ -48,15 +47,7 @@ def grew(row, spec: MineSpec) -> str:
     words = dict(zip(locs, row["words"]))
     nodes, links, order = [], [], []
     for p in before:
-        tests = []
-        for kind, value in zip(spec.node_types or ("generic",), words[p]):
-            if kind == "feats":
-                tests += [x for x in value.split("|") if x != "_"]
-            elif kind in ("upos", "xpos", "deprel"):
-                tests.append(f"{kind}={value}")
-            elif kind != "generic":
-                tests.append(f'{"lemma" if kind == "lemma" else "form"}="{value}"')
-        nodes.append(f"{name[p]} [{', '.join(tests)}]")
+        nodes.append(f"{name[p]} [{grew_tests(words[p], spec.node_types)}]")
     for edge, rel in zip(row["grew_links"], row["grew_rels"]):
         a, b = before[edge["a"]], before[edge["b"]]
         links.append(f"{name[a]} -[{rel}]-> {name[b]}" if spec.labeled else f"{name[a]} -> {name[b]}")
@@ -85,18 +76,6 @@ def header(spec: MineSpec, width: int, compare: bool, corpus: str | None = None)
     return out
 
 
-def with_grew(counted: DataFrame, spec: MineSpec) -> DataFrame:
-    """counted with a column pattern, the Grew pattern of each key."""
-    columns = counted.columns
-
-    def run(batches):
-        for batch in batches:
-            patterns = pa.array([grew(row, spec) for row in batch.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, patterns], [*columns, "pattern"])
-
-    return counted.mapInArrow(run, StructType([*counted.schema.fields, StructField("pattern", StringType())]))
-
-
 def result_width(result: DataFrame, spec: MineSpec) -> int:
     """Node columns of a result."""
     if spec.query or not spec.greedy_counter:

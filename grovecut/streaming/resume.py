@@ -49,7 +49,7 @@ def resumed_counts(spark: SparkSession, path: str, spec: MineSpec, folder: str)
         run = uuid.uuid4().hex
         stamps = spark.createDataFrame(new, "path string, stamp string")
         sentences = read_conllu(spark, [f for f, _ in new])
-        counted = M.example(sentences, M.counts(sentences, spec, by_path=True))
+        counted = M.counts(sentences, spec, [*M.PARTS, "example"], by_path=True)
         counted.join(stamps, "path").drop("path").write.parquet(f"{base}/counts/run={run}")
         sizes = sentences.groupBy("path").agg(F.sum(F.size("toks")).alias("tokens"))
         stamps.join(sizes, "path", "left").select("stamp", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).write.parquet(f"{base}/done/run={run}")
